@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it many times inside ``body``."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def total(arr: Column) -> Column:
     return F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def scaled_to_one(arr: Column, floor: float = 0.0) -> Column:
+    """Elements divided by their sum (never by less than ``floor``)."""
+    return let(arr, lambda a: let(F.greatest(total(a), F.lit(floor)), lambda s: F.transform(a, lambda x: x / s)))
+
+
 def softmax(arr: Column, temperature: float | Column = 1.0) -> Column:
     """Numerically stable softmax of ``arr / temperature``."""
     t = F.lit(float(temperature)) if isinstance(temperature, (int, float)) else temperature
-    e = F.transform(arr, lambda x: F.exp((x - F.array_max(arr)) / t))
-    return F.transform(e, lambda x: x / total(e))
+    return let(arr, lambda a: let(F.array_max(a), lambda m: scaled_to_one(
+        F.transform(a, lambda x: F.exp((x - m) / t)))))
 
 
 def temperature_softmax(arr: Column, temperature: float | Column) -> Column:
@@ -24,11 +36,7 @@ def temperature_softmax(arr: Column, temperature: float | Column) -> Column:
 
 def argmax(arr: Column) -> Column:
     """0-based position of the first largest element."""
-    return (F.array_position(arr, F.array_max(arr)) - 1).cast("int")
-
-
-def normalize_sum(arr: Column, floor: float = 0.0) -> Column:
-    return F.transform(arr, lambda x: x / F.greatest(total(arr), F.lit(floor)))
+    return let(arr, lambda a: F.array_position(a, F.array_max(a)) - 1).cast("int")
 
 
 def entropy(arr: Column, eps: float = 1e-10) -> Column:
@@ -36,7 +44,7 @@ def entropy(arr: Column, eps: float = 1e-10) -> Column:
 
 
 def clipped_entropy(arr: Column) -> Column:
-    return -F.aggregate(arr, F.lit(0.0), lambda acc, p: acc + p * F.log(F.least(F.lit(1.0), F.greatest(p, F.lit(1e-8)))))
+    return -F.aggregate(arr, F.lit(0.0), lambda acc, p: acc + p * F.log(clip(p, 1e-8, 1.0)))
 
 
 def l2_norm(arr: Column) -> Column:
@@ -44,7 +52,7 @@ def l2_norm(arr: Column) -> Column:
 
 
 def l2_normalize(arr: Column, eps: float = 1e-8) -> Column:
-    return F.transform(arr, lambda x: x / (l2_norm(arr) + eps))
+    return let(arr, lambda a: let(l2_norm(a) + eps, lambda n: F.transform(a, lambda x: x / n)))
 
 
 def clip(col: Column, low: float, high: float) -> Column:
