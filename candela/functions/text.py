@@ -35,23 +35,25 @@ def strip(col: Column) -> Column:
 
 # ------------------------------------------------------------------ keywords
 
+def word_list(words: Sequence[str]) -> Column:
+    """A constant array (folded by Catalyst into one literal)."""
+    return F.split(F.lit("\u0001".join(words)), "\u0001")
+
+
 def hits(text: Column, keywords: Sequence[str]) -> Column:
     """How many of the keywords occur in (lower-case) text."""
-    return sum((F.when(F.contains(text, F.lit(k)), 1).otherwise(0) for k in keywords), F.lit(0))
+    return let(text, lambda x: F.size(F.filter(word_list(keywords), lambda k: F.contains(x, k))))
 
 
 def any_hit(text: Column, keywords: Sequence[str], word_boundary: bool = False) -> Column:
     if word_boundary:
         return text.rlike("|".join(rf"\b\Q{k}\E\b" for k in keywords))
-    out = F.lit(False)
-    for k in keywords:
-        out = out | F.contains(text, F.lit(k))
-    return out
+    return let(text, lambda x: F.exists(word_list(keywords), lambda k: F.contains(x, k)))
 
 
-def occurrences(text: Column, keyword: str) -> Column:
+def occurrences(text: Column, keyword: Column) -> Column:
     """Non-overlapping occurrences of a substring."""
-    return (F.length(text) - F.length(F.replace(text, F.lit(keyword), F.lit("")))) / len(keyword)
+    return (F.length(text) - F.length(F.replace(text, keyword, F.lit("")))) / F.length(keyword)
 
 
 def keyword_presence(col: Column, keywords: Sequence[str] = lx.PRICE_KEYWORDS) -> Column:
@@ -88,7 +90,8 @@ def keyword_counts(title: Column, content: Column, ontology=lx.FACTORS) -> Colum
     """Occurrences per factor; the title counts three times."""
     t, c = F.lower(F.coalesce(title, F.lit(""))), F.lower(F.coalesce(content, F.lit("")))
     text = F.concat(*[t, F.lit(" ")] * lx.TITLE_WEIGHT, c)
-    return F.array(*[sum((occurrences(text, k) for k in words), F.lit(0.0)) for words in ontology.values()])
+    count = lambda x, words: F.aggregate(word_list(words), F.lit(0.0), lambda acc, k: acc + F.when(F.contains(x, k), occurrences(x, k)).otherwise(0.0))
+    return let(text, lambda x: F.array(*[count(x, words) for words in ontology.values()]))
 
 
 def source_prior(source: Column, size: int = len(lx.FACTORS), table=lx.SOURCE_PRIORS) -> Column:

@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from candela.plans import market, news  # noqa: F401
+from candela.plans import evaluation, market, news  # noqa: F401

@@ -22,6 +22,7 @@ def build_session(name: str = "candela", master: str | None = None, **conf: str)
     builder = SparkSession.builder.appName(name)
     if master:
         builder = builder.master(master)
+    builder = builder.config("spark.python.sql.dataFrameDebugging.enabled", "false")
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return prepare(builder.getOrCreate())
