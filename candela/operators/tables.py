@@ -69,7 +69,7 @@ def fan_out(alerts: DataFrame, users: DataFrame, shards: int = 64) -> DataFrame:
     so neither side is collected and each user row is read by one shard only.
     """
     u = active_users(users).select("user_id", "email").withColumn("_shard", F.pmod(F.xxhash64("user_id"), F.lit(shards)))
-    a = alerts.withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("bigint"))
+    a = alerts.withColumn("_shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint"))))
     return a.join(u, ["_shard"]).drop("_shard")
 
 

@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from candela.plans import evaluation, market, news, trading  # noqa: F401
+from candela.plans import evaluation, market, news, records, trading  # noqa: F401

@@ -7,6 +7,20 @@ from pyspark.sql import Column, DataFrame, functions as F
 from candela.functions.text import to_ts
 
 
+def _object(json: Column) -> Column:
+    """Top-level fields of a JSON object as text (nested objects stay JSON); one parse for all fields."""
+    return F.from_json(json, "map<string,string>")
+
+
+def _get(obj: str, *names: str) -> Column:
+    return F.coalesce(*[F.try_element_at(F.col(obj), F.lit(n)) for n in names])
+
+
+def _first(obj: str, *names: str) -> Column:
+    """First value that is present and neither empty nor 0."""
+    return F.coalesce(*[F.nullif(F.nullif(F.try_element_at(F.col(obj), F.lit(n)), F.lit("")), F.lit("0")) for n in names])
+
+
 def _path(col: str, *paths: str) -> Column:
     """First present, non-empty value among JSON paths."""
     return F.coalesce(*[F.nullif(F.nullif(F.get_json_object(col, f"$.{p}"), F.lit("")), F.lit("0")) for p in paths])
@@ -16,51 +30,59 @@ def _raw(col: str, *paths: str) -> Column:
     return F.coalesce(*[F.get_json_object(col, f"$.{p}") for p in paths])
 
 
+def _is_object(col: Column) -> Column:
+    return F.coalesce(F.startswith(F.ltrim(col), F.lit("{")), F.lit(False))
+
+
 def normalize_klines(raw: DataFrame, value_col: str = "value") -> DataFrame:
-    """``{symbol, kline}``, ``data.k`` / ``k`` or flat messages; everything else is dropped."""
-    v = value_col
-    nested = F.startswith(F.ltrim(F.coalesce(_raw(v, "kline"), F.lit(""))), F.lit("{"))
-    stream = F.startswith(F.ltrim(F.coalesce(_raw(v, "data.k", "k", "K"), F.lit(""))), F.lit("{"))
-    flat = _path(v, "s").isNotNull() & _path(v, "o", "c").isNotNull()
-    k = lambda *names: [f"{p}.{n}" for n in names for p in ("data.k", "k", "K")]
-    pick = lambda a, b, c: F.when(nested, a).when(stream, b).when(flat, c)
-    num = lambda c: c.try_cast("double")
-    ms = lambda c: c.try_cast("bigint")
-    symbol = pick(_path(v, "symbol", "kline.s"), _path(v, *k("s")), _path(v, "s"))
-    opened = pick(_path(v, "kline.openTime", "kline.t", "kline.T"), _path(v, *k("t")), _path(v, "t", "openTime"))
-    closed = pick(_path(v, "kline.closeTime", "kline.T"), _path(v, *k("T")), _path(v, "T", "closeTime"))
-    value = lambda long, short: num(pick(_path(v, f"kline.{long}", f"kline.{short}"), _path(v, *k(short)), _path(v, short, long)))
-    volume = num(pick(_raw(v, "kline.volume", "kline.v"), _raw(v, *k("v")), _raw(v, "v", "volume")))
-    final = pick(_raw(v, "kline.isFinal", "kline.x"), _raw(v, *k("x")), _raw(v, "x", "isFinal"))
-    keep = [c for c in raw.columns if c != v]
-    return raw.select(
-        *keep, F.upper(symbol).alias("symbol"),
-        F.timestamp_millis(F.coalesce(ms(opened), ms(closed))).alias("ts"),
-        F.timestamp_millis(ms(closed)).alias("close_time"),
-        value("open", "o").alias("open"), value("high", "h").alias("high"), value("low", "l").alias("low"),
-        value("close", "c").alias("close"), volume.alias("volume"),
-        pick(_path(v, "seq", "kline.seq"), _path(v, "seq", *k("seq")), _path(v, "seq")).try_cast("bigint").alias("sequence"),
+    """``{symbol, kline}``, ``data.k`` / ``k`` or flat messages; everything else is dropped.
+
+    A message is parsed level by level: its own fields, ``data``, the candle.
+    """
+    keep = [c for c in raw.columns if c != value_col]
+    rows = raw.withColumn("_m", _object(F.col(value_col)))
+    inner = _get("_d", "k")
+    rows = rows.withColumn("_d", _object(_get("_m", "data"))).withColumn(
+        "_shape", F.when(_is_object(_get("_m", "kline")), "nested").when(_is_object(F.coalesce(inner, _get("_m", "k", "K"))), "stream")
+        .when(_first("_m", "s").isNotNull() & _first("_m", "o", "c").isNotNull(), "flat"))
+    rows = rows.filter("_shape is not null").withColumn("_k", F.when(F.col("_shape") == "nested", _object(_get("_m", "kline"))).when(
+        F.col("_shape") == "stream", _object(F.coalesce(inner, _get("_m", "k", "K")))).otherwise(F.col("_m")))
+    nested, stream = F.col("_shape") == "nested", F.col("_shape") == "stream"
+    pick = lambda a, b, c: F.when(nested, a).when(stream, b).otherwise(c)
+    num, whole = (lambda c: c.try_cast("double")), (lambda c: c.try_cast("bigint"))
+    opened = pick(_first("_k", "openTime", "t", "T"), _first("_k", "t"), _first("_k", "t", "openTime"))
+    closed = pick(_first("_k", "closeTime", "T"), _first("_k", "T"), _first("_k", "T", "closeTime"))
+    value = lambda long, short: num(pick(_first("_k", long, short), _first("_k", short), _first("_k", short, long)))
+    final = pick(_get("_k", "isFinal", "x"), _get("_k", "x"), _get("_k", "x", "isFinal"))
+    symbol = pick(F.coalesce(_first("_m", "symbol"), _first("_k", "s")), _first("_k", "s"), _first("_k", "s"))
+    return rows.select(
+        *keep, F.upper(symbol).alias("symbol"), F.timestamp_millis(F.coalesce(whole(opened), whole(closed))).alias("ts"),
+        F.timestamp_millis(whole(closed)).alias("close_time"), value("open", "o").alias("open"), value("high", "h").alias("high"),
+        value("low", "l").alias("low"), value("close", "c").alias("close"),
+        num(pick(_get("_k", "volume", "v"), _get("_k", "v"), _get("_k", "v", "volume"))).alias("volume"),
+        whole(F.coalesce(_first("_m", "seq"), _first("_k", "seq"))).alias("sequence"),
         (F.coalesce(final, F.lit("false")) == "true").alias("is_final"),
     ).filter(F.col("symbol").isNotNull() & F.col("ts").isNotNull())
 
 
 def normalize_cached_klines(raw: DataFrame, value_col: str = "value") -> DataFrame:
     """Tolerant variant of the price cache: missing prices take the close, the interval defaults to 1m."""
-    v = value_col
-    one = lambda *names: _path(v, *[p + n for n in names for p in ("data.", "")])
-    k = lambda *names: _path(v, *[f"{p}{q}.{n}" for n in names for p in ("data.", "") for q in ("kline", "k")])
-    nested = F.coalesce(_raw(v, "data.kline", "data.k", "kline", "k"), F.lit("")).startswith("{")
-    t = F.when(nested, k("closeTime", "close_time", "openTime", "open_time", "t", "T")).otherwise(
-        one("time", "ts", "open_time", "t")).try_cast("bigint")
-    close = F.when(nested, k("close", "c")).otherwise(one("close", "c", "price")).try_cast("double")
-    price = lambda a, b: F.coalesce(F.when(nested, k(a, b)).otherwise(one(a, b)).try_cast("double"), F.coalesce(close, F.lit(0.0)))
-    return raw.select(
-        *[c for c in raw.columns if c != v], F.upper(one("symbol", "s")).alias("symbol"),
-        F.coalesce(one("interval", "i"), F.lit("1m")).alias("interval"),
+    keep = [c for c in raw.columns if c != value_col]
+    rows = raw.withColumn("_o", _object(F.col(value_col)))
+    rows = rows.withColumn("_m", F.when(_is_object(_get("_o", "data")), _object(_get("_o", "data"))).otherwise(F.col("_o")))
+    candle = _get("_m", "kline", "k")
+    rows = rows.withColumn("_nested", _is_object(candle)).withColumn("_k", F.when(_is_object(candle), _object(candle)).otherwise(F.col("_m")))
+    nested = F.col("_nested")
+    t = F.when(nested, _first("_k", "closeTime", "close_time", "openTime", "open_time", "t", "T")).otherwise(
+        _first("_k", "time", "ts", "open_time", "t")).try_cast("bigint")
+    close = F.when(nested, _first("_k", "close", "c")).otherwise(_first("_k", "close", "c", "price")).try_cast("double")
+    price = lambda a, b: F.coalesce(_first("_k", a, b).try_cast("double"), close, F.lit(0.0))
+    return rows.select(
+        *keep, F.upper(F.coalesce(_first("_m", "symbol", "s"), F.when(nested, _first("_k", "s")))).alias("symbol"),
+        F.coalesce(_first("_m", "interval", "i"), F.lit("1m")).alias("interval"),
         F.timestamp_seconds(F.when(t > 1_000_000_000_000, F.floor(t / 1000)).otherwise(t)).alias("ts"),
         price("open", "o").alias("open"), price("high", "h").alias("high"), price("low", "l").alias("low"),
-        F.coalesce(close, F.lit(0.0)).alias("close"),
-        F.coalesce(F.when(nested, k("volume", "v")).otherwise(one("volume", "v")).try_cast("double"), F.lit(0.0)).alias("volume"),
+        F.coalesce(close, F.lit(0.0)).alias("close"), F.coalesce(_first("_k", "volume", "v").try_cast("double"), F.lit(0.0)).alias("volume"),
     ).filter(F.col("symbol").isNotNull() & F.col("ts").isNotNull())
 
 
