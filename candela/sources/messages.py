@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from candela.functions.arrays import let
 from candela.functions.text import to_ts
 
 
@@ -12,13 +13,13 @@ def _object(json: Column) -> Column:
     return F.from_json(json, "map<string,string>")
 
 
-def _get(obj: str, *names: str) -> Column:
-    return F.coalesce(*[F.try_element_at(F.col(obj), F.lit(n)) for n in names])
+def _get(obj: Column, *names: str) -> Column:
+    return F.coalesce(*[F.try_element_at(obj, F.lit(n)) for n in names])
 
 
-def _first(obj: str, *names: str) -> Column:
+def _first(obj: Column, *names: str) -> Column:
     """First value that is present and neither empty nor 0."""
-    return F.coalesce(*[F.nullif(F.nullif(F.try_element_at(F.col(obj), F.lit(n)), F.lit("")), F.lit("0")) for n in names])
+    return F.coalesce(*[F.nullif(F.nullif(F.try_element_at(obj, F.lit(n)), F.lit("")), F.lit("0")) for n in names])
 
 
 def _path(col: str, *paths: str) -> Column:
@@ -34,56 +35,72 @@ def _is_object(col: Column) -> Column:
     return F.coalesce(F.startswith(F.ltrim(col), F.lit("{")), F.lit(False))
 
 
+def _unpack(raw: DataFrame, value_col: str, row: Column) -> DataFrame:
+    """Fields of ``row`` where it names a symbol and a time.
+
+    The struct is built once per message and exploded; a filter on its fields
+    would be pushed below the parsing and repeat it.
+    """
+    keep = [c for c in raw.columns if c != value_col]
+    known = F.filter(F.array(row), lambda r: r["symbol"].isNotNull() & r["ts"].isNotNull())
+    return raw.select(*keep, F.explode(known).alias("_r")).select(*keep, "_r.*")
+
+
 def normalize_klines(raw: DataFrame, value_col: str = "value") -> DataFrame:
     """``{symbol, kline}``, ``data.k`` / ``k`` or flat messages; everything else is dropped.
 
     A message is parsed level by level: its own fields, ``data``, the candle.
     """
-    keep = [c for c in raw.columns if c != value_col]
-    rows = raw.withColumn("_m", _object(F.col(value_col)))
-    inner = _get("_d", "k")
-    rows = rows.withColumn("_d", _object(_get("_m", "data"))).withColumn(
-        "_shape", F.when(_is_object(_get("_m", "kline")), "nested").when(_is_object(F.coalesce(inner, _get("_m", "k", "K"))), "stream")
-        .when(_first("_m", "s").isNotNull() & _first("_m", "o", "c").isNotNull(), "flat"))
-    rows = rows.filter("_shape is not null").withColumn("_k", F.when(F.col("_shape") == "nested", _object(_get("_m", "kline"))).when(
-        F.col("_shape") == "stream", _object(F.coalesce(inner, _get("_m", "k", "K")))).otherwise(F.col("_m")))
-    nested, stream = F.col("_shape") == "nested", F.col("_shape") == "stream"
-    pick = lambda a, b, c: F.when(nested, a).when(stream, b).otherwise(c)
     num, whole = (lambda c: c.try_cast("double")), (lambda c: c.try_cast("bigint"))
-    opened = pick(_first("_k", "openTime", "t", "T"), _first("_k", "t"), _first("_k", "t", "openTime"))
-    closed = pick(_first("_k", "closeTime", "T"), _first("_k", "T"), _first("_k", "T", "closeTime"))
-    value = lambda long, short: num(pick(_first("_k", long, short), _first("_k", short), _first("_k", short, long)))
-    final = pick(_get("_k", "isFinal", "x"), _get("_k", "x"), _get("_k", "x", "isFinal"))
-    symbol = pick(F.coalesce(_first("_m", "symbol"), _first("_k", "s")), _first("_k", "s"), _first("_k", "s"))
-    return rows.select(
-        *keep, F.upper(symbol).alias("symbol"), F.timestamp_millis(F.coalesce(whole(opened), whole(closed))).alias("ts"),
-        F.timestamp_millis(whole(closed)).alias("close_time"), value("open", "o").alias("open"), value("high", "h").alias("high"),
-        value("low", "l").alias("low"), value("close", "c").alias("close"),
-        num(pick(_get("_k", "volume", "v"), _get("_k", "v"), _get("_k", "v", "volume"))).alias("volume"),
-        whole(F.coalesce(_first("_m", "seq"), _first("_k", "seq"))).alias("sequence"),
-        (F.coalesce(final, F.lit("false")) == "true").alias("is_final"),
-    ).filter(F.col("symbol").isNotNull() & F.col("ts").isNotNull())
+
+    def candle(m: Column, d: Column) -> Column:
+        nested = _is_object(_get(m, "kline"))
+        packed = F.coalesce(_get(d, "k"), _get(m, "k", "K"))
+        stream = ~nested & _is_object(packed)
+        flat = _first(m, "s").isNotNull() & _first(m, "o", "c").isNotNull()
+        inner = F.when(nested, _object(_get(m, "kline"))).when(stream, _object(packed)).when(flat, m)
+        pick = lambda a, b, c: F.when(nested, a).when(stream, b).otherwise(c)
+
+        def fields(k: Column) -> Column:
+            opened = pick(_first(k, "openTime", "t", "T"), _first(k, "t"), _first(k, "t", "openTime"))
+            closed = pick(_first(k, "closeTime", "T"), _first(k, "T"), _first(k, "T", "closeTime"))
+            value = lambda long, short: num(pick(_first(k, long, short), _first(k, short), _first(k, short, long)))
+            final = pick(_get(k, "isFinal", "x"), _get(k, "x"), _get(k, "x", "isFinal"))
+            symbol = pick(F.coalesce(_first(m, "symbol"), _first(k, "s")), _first(k, "s"), _first(k, "s"))
+            return F.struct(
+                F.upper(symbol).alias("symbol"), F.timestamp_millis(F.coalesce(whole(opened), whole(closed))).alias("ts"),
+                F.timestamp_millis(whole(closed)).alias("close_time"), value("open", "o").alias("open"),
+                value("high", "h").alias("high"), value("low", "l").alias("low"), value("close", "c").alias("close"),
+                num(pick(_get(k, "volume", "v"), _get(k, "v"), _get(k, "v", "volume"))).alias("volume"),
+                whole(F.coalesce(_first(m, "seq"), _first(k, "seq"))).alias("sequence"),
+                (F.coalesce(final, F.lit("false")) == "true").alias("is_final"))
+        return let(inner, fields)
+
+    return _unpack(raw, value_col, let(_object(F.col(value_col)), lambda m: let(_object(_get(m, "data")), lambda d: candle(m, d))))
 
 
 def normalize_cached_klines(raw: DataFrame, value_col: str = "value") -> DataFrame:
     """Tolerant variant of the price cache: missing prices take the close, the interval defaults to 1m."""
-    keep = [c for c in raw.columns if c != value_col]
-    rows = raw.withColumn("_o", _object(F.col(value_col)))
-    rows = rows.withColumn("_m", F.when(_is_object(_get("_o", "data")), _object(_get("_o", "data"))).otherwise(F.col("_o")))
-    candle = _get("_m", "kline", "k")
-    rows = rows.withColumn("_nested", _is_object(candle)).withColumn("_k", F.when(_is_object(candle), _object(candle)).otherwise(F.col("_m")))
-    nested = F.col("_nested")
-    t = F.when(nested, _first("_k", "closeTime", "close_time", "openTime", "open_time", "t", "T")).otherwise(
-        _first("_k", "time", "ts", "open_time", "t")).try_cast("bigint")
-    close = F.when(nested, _first("_k", "close", "c")).otherwise(_first("_k", "close", "c", "price")).try_cast("double")
-    price = lambda a, b: F.coalesce(_first("_k", a, b).try_cast("double"), close, F.lit(0.0))
-    return rows.select(
-        *keep, F.upper(F.coalesce(_first("_m", "symbol", "s"), F.when(nested, _first("_k", "s")))).alias("symbol"),
-        F.coalesce(_first("_m", "interval", "i"), F.lit("1m")).alias("interval"),
-        F.timestamp_seconds(F.when(t > 1_000_000_000_000, F.floor(t / 1000)).otherwise(t)).alias("ts"),
-        price("open", "o").alias("open"), price("high", "h").alias("high"), price("low", "l").alias("low"),
-        F.coalesce(close, F.lit(0.0)).alias("close"), F.coalesce(_first("_k", "volume", "v").try_cast("double"), F.lit(0.0)).alias("volume"),
-    ).filter(F.col("symbol").isNotNull() & F.col("ts").isNotNull())
+    def candle(m: Column) -> Column:
+        packed = _get(m, "kline", "k")
+        nested = _is_object(packed)
+
+        def fields(k: Column) -> Column:
+            t = F.when(nested, _first(k, "closeTime", "close_time", "openTime", "open_time", "t", "T")).otherwise(
+                _first(k, "time", "ts", "open_time", "t")).try_cast("bigint")
+            close = F.when(nested, _first(k, "close", "c")).otherwise(_first(k, "close", "c", "price")).try_cast("double")
+            price = lambda a, b: F.coalesce(_first(k, a, b).try_cast("double"), close, F.lit(0.0))
+            return F.struct(
+                F.upper(F.coalesce(_first(m, "symbol", "s"), F.when(nested, _first(k, "s")))).alias("symbol"),
+                F.coalesce(_first(m, "interval", "i"), F.lit("1m")).alias("interval"),
+                F.timestamp_seconds(F.when(t > 1_000_000_000_000, F.floor(t / 1000)).otherwise(t)).alias("ts"),
+                price("open", "o").alias("open"), price("high", "h").alias("high"), price("low", "l").alias("low"),
+                F.coalesce(close, F.lit(0.0)).alias("close"),
+                F.coalesce(_first(k, "volume", "v").try_cast("double"), F.lit(0.0)).alias("volume"))
+        return let(F.when(nested, _object(packed)).otherwise(m), fields)
+
+    body = lambda o: F.when(_is_object(_get(o, "data")), _object(_get(o, "data"))).otherwise(o)
+    return _unpack(raw, value_col, let(_object(F.col(value_col)), lambda o: let(body(o), candle)))
 
 
 def final_only(df: DataFrame) -> DataFrame:
