@@ -149,27 +149,28 @@ def factor_sentences(title: Column, content: Column, keywords: Sequence[str], li
 
 # ------------------------------------------------------------------ lexicon scores
 
-def _sentiment_parts(text: Column, lists=None) -> tuple[Column, Column]:
+def lexicon_sentiment_raw(text: Column, lists=None) -> Column:
+    """Balance of positive and negative words; the lists of strong words count twice."""
     vp, p, vn, n = lists or (lx.VERY_POSITIVE, lx.POSITIVE, lx.VERY_NEGATIVE, lx.NEGATIVE)
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return 2 * hits(low, vp) + hits(low, p), 2 * hits(low, vn) + hits(low, n)
 
-
-def lexicon_sentiment_raw(text: Column, lists=None) -> Column:
-    pos, neg = _sentiment_parts(text, lists)
-    return F.when(pos + neg == 0, F.lit(0.0)).otherwise((pos - neg) / (pos + neg) * 0.8)
+    def balance(low: Column) -> Column:
+        counts = F.struct((2 * hits(low, vp) + hits(low, p)).alias("pos"), (2 * hits(low, vn) + hits(low, n)).alias("neg"))
+        return let(counts, lambda c: F.when(c["pos"] + c["neg"] == 0, F.lit(0.0)).otherwise(
+            (c["pos"] - c["neg"]) / (c["pos"] + c["neg"]) * 0.8))
+    return let(F.lower(F.coalesce(text, F.lit(""))), balance)
 
 
 def lexicon_sentiment(text: Column, lists=None) -> Column:
     """Struct of label (±0.3) and score rounded to two digits."""
-    raw = lexicon_sentiment_raw(text, lists)
-    label = F.when(raw >= 0.3, "Positive").when(raw <= -0.3, "Negative").otherwise("Neutral")
-    return F.struct(label.alias("label"), F.round(raw, 2).alias("score"))
+    def described(raw: Column) -> Column:
+        label = F.when(raw >= 0.3, "Positive").when(raw <= -0.3, "Negative").otherwise("Neutral")
+        return F.struct(label.alias("label"), F.round(raw, 2).alias("score"))
+    return let(lexicon_sentiment_raw(text, lists), described)
 
 
 def lexicon_relevance(text: Column, high=lx.HIGH_IMPACT_WORDS, crypto=lx.CRYPTO_WORDS) -> Column:
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.least(F.lit(1.0), F.round(0.2 + 0.3 * hits(low, high) + 0.1 * hits(low, crypto), 2))
+    return let(F.lower(F.coalesce(text, F.lit(""))), lambda low: F.least(
+        F.lit(1.0), F.round(0.2 + 0.3 * hits(low, high) + 0.1 * hits(low, crypto), 2)))
 
 
 def relevance_category(score: Column) -> Column:
@@ -179,22 +180,20 @@ def relevance_category(score: Column) -> Column:
 def symbol_tags(text: Column, mode: str = "substring") -> Column:
     """Sorted symbols a text mentions; ``words`` matches whole words only."""
     if mode == "substring":
-        low = F.lower(F.coalesce(text, F.lit("")))
         table: dict[str, list[str]] = {}
         for word, symbol in lx.SYMBOL_WORDS:
             table.setdefault(symbol, []).append(word)
-        marks = [F.when(any_hit(low, words), F.lit(symbol)) for symbol, words in table.items()]
-        default = lx.DEFAULT_SYMBOL
+        marks = lambda low: [F.when(any_hit(low, words), F.lit(symbol)) for symbol, words in table.items()]
+        source, default = F.lower(F.coalesce(text, F.lit(""))), lx.DEFAULT_SYMBOL
     else:
-        raw = F.coalesce(text, F.lit(""))
-        marks = [
+        marks = lambda raw: [
             F.when(raw.rlike("(?i)" + "|".join(rf"\b{w}\b" for w in names))
                    | raw.rlike("|".join(rf"\b{x}\b" for x in tickers)), F.lit(symbol))
             for symbol, names, tickers in lx.SYMBOL_PATTERNS
         ]
-        default = "ALL"
-    found = F.array_sort(F.array_compact(F.array(*marks)))
-    return F.when(F.size(found) == 0, F.array(F.lit(default))).otherwise(found)
+        source, default = F.coalesce(text, F.lit("")), "ALL"
+    found = let(source, lambda x: F.array_sort(F.array_compact(F.array(*marks(x)))))
+    return let(found, lambda f: F.when(F.size(f) == 0, F.array(F.lit(default))).otherwise(f))
 
 
 def sentiment_bucket(score: Column) -> Column:

@@ -336,7 +336,7 @@ PAGE = {"pgs": f"SELECT page_id, url, html, coalesce(nullif({TITLE}, ''), 'Untit
 @query("s17_extract_articles", sql_with("", f"""SELECT page_id, md5(title) AS title, length(content) AS chars, md5(content) AS content, {R(f"least(1, round(0.2 + 0.3 * {hits_sql('x', lx.HIGH_IMPACT_WORDS)} + 0.1 * {hits_sql('x', lx.CRYPTO_WORDS)}, 2))", 2)} AS relevance_score,
     {R(sentiment_sql('x', REF_LISTS), 2)} AS sentiment_score FROM (SELECT *, lower(title || ' ' || content) AS x FROM pgs)""", PAGE))
 def _(t):
-    out = pg.extract_articles(t.raw("pages"))
+    out = pg.extract_articles(t.texts("pages"))
     return rounded(out.select("page_id", F.md5("title").alias("title"), F.length("content").cast("bigint").alias("chars"), F.md5("content").alias("content"), "relevance_score", "sentiment_score"), 2)
 
 
@@ -366,7 +366,7 @@ LINKS = {
 @query("f23_discover_links", sql_with("", f"""SELECT DISTINCT page, link FROM pa WHERE regexp_extract(link, '^[^:]+://([^/?#]+)', 1) = regexp_extract(base, '://(.*)$', 1)
     AND NOT {any_sql('path', lx.LINK_EXCLUDE)} AND (length(path) > 10 OR {any_sql('path', lx.LINK_FOLLOW)})""", LINKS))
 def _(t):
-    return pg.discover_links(t.raw("pages"))
+    return pg.discover_links(t.texts("pages"))
 
 
 # ------------------------------------------------------------------ insights

@@ -25,6 +25,15 @@ class Tables:
         df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return df.select(*[F.col(c).cast("timestamp") if t == "timestamp_ntz" else F.col(c) for c, t in df.dtypes])
 
+    def texts(self, name: str) -> DataFrame:
+        """A text table; when it has fewer files than the cluster has cores, its rows are spread over the cores.
+
+        With many files (any large table) the scan is left as it is.
+        """
+        df = self.raw(name)
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
     @cached_property
     def ticks(self) -> DataFrame:
         return self.raw("events").select(
@@ -50,7 +59,7 @@ class Tables:
     @cached_property
     def articles(self) -> DataFrame:
         minutes = F.pmod(F.col("doc_id") * 7919, F.lit(43200))
-        return self.raw("documents").select(
+        return self.texts("documents").select(
             F.col("doc_id").alias("article_id"),
             F.substring(F.substring_index("text", "\n", 1), 1, 80).alias("title"),
             F.col("text").alias("content"), "source", "lang",
