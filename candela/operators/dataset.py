@@ -151,6 +151,14 @@ def horizon_steps(horizon: str, interval_seconds: float) -> int:
     return round(ratio)
 
 
+def horizon_steps_from(intervals: DataFrame, horizon: str) -> DataFrame:
+    """Steps per key from inferred bar intervals; a horizon that is no whole number of bars raises an error."""
+    ratio = F.lit(float(HORIZON_SECONDS[horizon])) / F.col("median_gap")
+    whole = (F.round(ratio) >= 1) & (F.abs(ratio - F.round(ratio)) <= 1e-3)
+    return intervals.withColumn("steps", F.when(whole, F.round(ratio).cast("int")).otherwise(
+        F.raise_error(F.lit(f"horizon {horizon} is not a multiple of the bar interval")).cast("int")))
+
+
 def look_ahead(df: DataFrame, h: int) -> DataFrame:
     """Entry price (next open), exit price (close ``h`` bars on) and their return."""
     def compute(d, w):

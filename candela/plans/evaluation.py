@@ -10,6 +10,7 @@ from candela.plans.market import REGIME, bar_sql, tf_sql, DELTA
 from candela.plans.news import VISIBLE, _visible
 from candela.plans.registry import R, Rs, query, rd, rounded
 from candela.plans.tables import _softmax, sql_with
+from candela.session import durable
 
 ORDER = ["ts", "pred_id"]
 CNT = "SELECT count(*) AS n, " + ", ".join(
@@ -502,7 +503,7 @@ def _(t):
 @query("a20_apply_bar_scaler", sql_with("c1h i4h", f"""SELECT symbol, ts, {R('least(8, greatest(-8, (body - m) / s))')} AS last_body FROM l4h,
     (SELECT sum(body) / any_value(slots) AS m, sqrt(sum(body * body) / any_value(slots) - (sum(body) / any_value(slots)) ** 2) AS s FROM cell, dcnt) WHERE back = 1""", _REL))
 def _(t):
-    b = ds.last_closed_bars(t.candles(), t.indexed("4h"), "4h")
+    b = durable(ds.last_closed_bars(t.candles(), t.indexed("4h"), "4h"))
     return ds.apply_bar_scaler(b, ds.fit_bar_scaler(b)).filter("filled > 0").select("symbol", "ts", rd(F.element_at("bars", -1)["body"]).alias("last_body"))
 
 
@@ -565,3 +566,16 @@ def _(t):
 def _(t):
     s = t.predictions.select("pred_id", ar.temperature_softmax(F.col("logits"), 0.6).alias("s"))
     return s.select("pred_id", *[rd(F.col("s")[i]).alias(f"p{i}") for i in range(3)])
+
+
+@query("f24_epsilon_override", sql_with("i1h", """SELECT symbol, count(*) FILTER (ret > 0.03) AS up, count(*) FILTER (ret < -0.03) AS down, count(*) FILTER (ret BETWEEN -0.03 AND 0.03) AS neutral FROM la GROUP BY symbol""", {"la": LAB["la"]}))
+def _(t):
+    rows = ds.look_ahead(t.indexed(), 1).withColumn("direction", ds.direction_label(F.col("ret"), ds.epsilon("1h", 0.03)))
+    count = lambda c: F.sum(F.when(F.col("direction") == c, 1).otherwise(0))
+    return rows.groupBy("symbol").agg(count(2).alias("up"), count(0).alias("down"), count(1).alias("neutral"))
+
+
+@query("f26_horizon_steps", sql_with("i1h", """SELECT symbol, CAST(round(14400 / median(g)) AS INTEGER) AS steps FROM (SELECT symbol, epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY symbol ORDER BY rn) AS g FROM i1h)
+    WHERE g IS NOT NULL GROUP BY symbol"""))
+def _(t):
+    return ds.horizon_steps_from(cd.infer_interval(t.indexed()), "4h").select("symbol", "steps")

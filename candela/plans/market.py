@@ -510,3 +510,17 @@ def _(t):
 def _(t):
     df = ind.technical_indicators(t.indexed())
     return rounded(ind.fill_warmup(df, TECH_COLS.split()).select("symbol", "ts", *TECH_COLS.split()))
+
+
+LEAD = ("return_1", "log_return_1", "rsi_14", "macd_hist")
+
+
+@query("j07_join_lead_asset", sql_with("i1h", "SELECT f.symbol, f.ts, " + ", ".join(f"{R(f'coalesce(b.{c}, 0)')} AS btc_{c}" for c in LEAD)
+       + " FROM i1h f LEFT JOIN (SELECT * FROM lead WHERE symbol = 'click') b ON b.ts = f.ts WHERE f.symbol <> 'click'", {
+    **TECH, "lead": f"""SELECT tech.*, close / lag(close) OVER (PARTITION BY tech.symbol ORDER BY tech.rn) - 1 AS return_1,
+    ln(close / lag(close) OVER (PARTITION BY tech.symbol ORDER BY tech.rn)) AS log_return_1 FROM tech JOIN i1h ON i1h.symbol = tech.symbol AND i1h.rn = tech.rn"""}))
+def _(t):
+    c = t.indexed()
+    lead = ind.technical_indicators(c.filter("symbol = 'click'"), (ind.returns_step(),))
+    out = ind.join_lead_asset(c.filter("symbol <> 'click'"), lead)
+    return rounded(out.select("symbol", "ts", *[f"btc_{x}" for x in LEAD]))

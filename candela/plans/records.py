@@ -92,6 +92,31 @@ def _(t):
     return jobs.read_klines(t.spark, sink)
 
 
+@query("t10_late_updates", sql_with("ticks", MERGED, KL))
+def _(t):
+    """The newest messages arrive first; late ones still merge."""
+    path = scratch_path(t.spark, "late")
+    rows = _messages(t)
+    for test in ("offset >= 4000", "offset < 4000"):
+        rows.filter(test).select(F.to_json(F.struct("offset", "value")).alias("value")).coalesce(1).write.mode("append").text(path)
+    src = jobs.read_stream(t.spark, "json", {"path": path, "maxFilesPerTrigger": "1"}, "offset bigint, value string")
+    sink = scratch_path(t.spark, "late-sink")
+    jobs.stream_klines(src, sink, scratch_path(t.spark, "late-ck"), order="offset").awaitTermination()
+    return jobs.read_klines(t.spark, sink)
+
+
+@query("s02_rename_time_column", sql_with("ticks", "SELECT event_id, ts AS timestamp FROM ticks"))
+def _(t):
+    return files.rename_time_column(t.ticks.select("event_id", F.col("ts").alias("Open_Time "))).select("event_id", "timestamp")
+
+
+@query("s16_read_stream", sql_with("ticks", "SELECT event_id % 4 AS shape, count(*) AS n FROM ticks GROUP BY 1"))
+def _(t):
+    src, sink, ck = _stream(t, _messages(t), "raw")
+    logs.start(src, lambda b, i: logs.write_batch(b, sink, i), ck).awaitTermination()
+    return logs.read_log(t.spark, sink).groupBy(F.pmod("offset", F.lit(4)).alias("shape")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("t07_last_n_state", sql_with("ticks", """SELECT symbol, ts, close FROM (SELECT symbol, ts, arg_max(close, sequence) AS close FROM kl WHERE sequence IS NOT NULL GROUP BY symbol, ts)
     QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= 50""", KL))
 def _(t):
@@ -114,13 +139,17 @@ def _(t):
     return cd.detect_gaps(t.ticks.select("symbol", F.col("event_id").alias("sequence")))
 
 
+# three numbered lanes that lost every fifth number; every second lost one came back
+LANES = {"ln": "SELECT CAST(event_id % 3 AS VARCHAR) AS symbol, event_id // 3 AS s FROM ticks",
+         "lk": "SELECT symbol, s, lag(s) OVER (PARTITION BY symbol ORDER BY s) AS p FROM ln WHERE s % 5 <> 0",
+         "lg": "SELECT symbol, p AS from_seq, s - 1 AS to_seq, s - p - 1 AS gap_size FROM lk WHERE s > p + 1"}
+
+
 @query("w32_gap_stats", sql_with("ticks", """SELECT symbol, count(*) AS total_gaps, CAST(sum(gap_size) AS BIGINT) AS total_missed, arg_max(from_seq, to_seq) AS last_from, max(to_seq) AS last_to,
-    (SELECT count(*) FROM gp g JOIN ticks k ON k.event_id BETWEEN g.from_seq + 1 AND g.to_seq AND k.event_id % 3 = 0 WHERE g.symbol = gp.symbol) AS total_recovered FROM gp GROUP BY symbol""", GAPS))
+    (SELECT count(*) FROM lg g JOIN ln k ON k.symbol = g.symbol AND k.s BETWEEN g.from_seq + 1 AND g.to_seq AND k.s % 10 = 0 WHERE g.symbol = lg.symbol) AS total_recovered FROM lg GROUP BY symbol""", LANES))
 def _(t):
-    gaps = cd.detect_gaps(t.ticks.select("symbol", F.col("event_id").alias("sequence")))
-    back = t.ticks.filter("event_id % 3 = 0").select(F.col("event_id").alias("sequence"))
-    every = t.ticks.select("symbol").distinct()
-    return cd.gap_stats(gaps, back.join(F.broadcast(every)))  # five symbols
+    lanes = t.ticks.select(F.pmod("event_id", F.lit(3)).cast("string").alias("symbol"), F.floor(F.col("event_id") / 3).alias("sequence"))
+    return cd.gap_stats(cd.detect_gaps(lanes.filter("sequence % 5 <> 0")), lanes.filter("sequence % 10 = 0"))
 
 
 @query("t08_stream_gaps", sql_with("ticks", """SELECT symbol, count(*) AS gaps, CAST(sum(s - p - 1) AS BIGINT) AS missed FROM (SELECT upper(symbol) AS symbol, event_id AS s, lag(event_id) OVER (PARTITION BY symbol ORDER BY event_id) AS p
@@ -561,3 +590,18 @@ def _(t):
     out = t.predictions.select("symbol", "ts", word.alias("signal_1h"), F.lit("HOLD").alias("signal_4h"), F.col("confidence").alias("confidence_1h"), F.lit(0.0).alias("confidence_4h"),
                                F.col("max_prob").alias("max_prob_1h"), F.lit(0.0).alias("max_prob_4h"), *[F.lit(v).alias(f"{k}_{h}") for h in ("1h", "4h") for k, v in (("tau", 0.5), ("gamma", 0.0))])
     return jobs.decision_batch(durable(t.indexed()), t.articles, out).select("symbol", "ts", "alert")
+
+
+@query("x03_strategy_json", sql_with("c1h", "SELECT symbol, ts, CASE WHEN close > 100 OR close < 20 THEN 'SELL' ELSE 'HOLD' END AS signal FROM c1h"))
+def _(t):
+    from candela.operators.strategy import compile_strategy
+    text = '{"name":"edges","logic":"OR","action":"SELL","conditions":[{"type":"price","operator":">","value":"100"},{"type":"price","operator":"<","value":20}]}'
+    c = t.candles()
+    return c.select("symbol", "ts", compile_strategy(text, c.columns).alias("signal"))
+
+
+@query("x04_user_lexicons", sql_with("articles", f"""SELECT article_id, {R("least(1, (CASE WHEN contains(lower(content), 'tion') THEN 1 ELSE 0 END + CASE WHEN contains(lower(content), 'zzz') THEN 1 ELSE 0 END) / CAST(1 AS DOUBLE))")} AS presence,
+    CAST(CASE WHEN contains(source, 'src1') THEN 0.9 WHEN contains(source, 'src2') THEN 0.8 ELSE 0.5 END AS DOUBLE) AS credibility FROM articles"""))
+def _(t):
+    return t.articles.select("article_id", rd(tx.keyword_presence(F.col("content"), ("tion", "zzz"))).alias("presence"),
+                             tx.source_credibility(F.col("source"), (("src1", 0.9), ("src2", 0.8))).alias("credibility"))
