@@ -27,7 +27,7 @@ def _messages(t):
     stream = f"""concat('{{"data":{{"k":{{"s":"', symbol, '","t":', {o}, ',"T":', {o}, ',"o":"', {p}, '","h":"', {p}, '","l":"', {p}, '","c":"', {p}, '","v":"', {v}, '","x":', event_id % 3 = 0, '}}}}', {seq}, '}}')"""
     flat = f"""concat('{{"s":"', symbol, '","t":', {o}, ',"T":', {o}, ',"o":"', {p}, '","h":"', {p}, '","l":"', {p}, '","c":"', {p}, '","v":"', {v}, '","x":', event_id % 3 = 0, {seq}, '}}')"""
     value = f"case event_id % 4 when 0 then {nested} when 1 then {stream} when 2 then {flat} else '{{\"foo\":1}}' end"
-    return t.ticks.select(F.col("event_id").alias("offset"), F.expr(value).alias("value"))
+    return t.spread_ticks.select(F.col("event_id").alias("offset"), F.expr(value).alias("value"))
 
 
 KL = {"kl": """SELECT event_id AS "offset", upper(symbol) AS symbol, make_timestamp((epoch_us(ts) // 3600000000) * 3600000000) AS ts, price AS open, price AS high, price AS low, price AS close, volume,

@@ -36,7 +36,15 @@ class Tables:
 
     @cached_property
     def ticks(self) -> DataFrame:
-        return self.raw("events").select(
+        return self._ticks(self.raw("events"))
+
+    @cached_property
+    def spread_ticks(self) -> DataFrame:
+        """Ticks for jobs that parse text per row."""
+        return self._ticks(self.texts("events"))
+
+    def _ticks(self, events: DataFrame) -> DataFrame:
+        return events.select(
             "event_id", F.col("event_type").alias("symbol"), "ts", "user_id", (F.col("value") + 1).alias("price"),
             F.get_json_object("props", "$.k").cast("double").alias("volume"))
 
