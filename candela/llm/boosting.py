@@ -16,9 +16,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from candela.llm.common import sampled_by
+from candela.llm.common import id_and_text, long_id, sampled_by
 
 STATISTICS = (
     "log_bytes", "log_words", "word_length", "upper", "lower", "digit", "punctuation", "symbol", "high_bytes", "line_words",
@@ -156,16 +156,29 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
     return fit(table[list(STATISTICS)].to_numpy(float), table["_y"].to_numpy(float))
 
 
-def score_documents(docs: DataFrame, forest: Forest, *keep: str) -> DataFrame:
-    """``keep``, score and predicted (1 if score >= 0.5) for every row."""
-    kept = docs.select(*keep, F.col("text").alias("_text"))
+def _scores(texts, forest: Forest) -> np.ndarray:
+    rows = [statistics(t.encode() if isinstance(t, str) else b"") for t in texts]
+    return forest.scores(np.array(rows).reshape(-1, len(STATISTICS)))
+
+
+def score_documents(docs: DataFrame, forest: Forest) -> DataFrame:
+    """doc_id, score and predicted (1 if score >= 0.5) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(forest)  # trees of a fixed size
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            x = np.array([statistics(t.encode() if isinstance(t, str) else b"") for t in b["_text"]]).reshape(-1, len(STATISTICS))
-            score = shared.value.scores(x)
-            yield b.drop(columns="_text").assign(score=score, predicted=(score >= 0.5).astype(np.int32))
+            score = _scores(b["text"], shared.value)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "score": score, "predicted": (score >= 0.5).astype(np.int32)})
 
-    types = ", ".join([f"`{n}` {t}" for n, t in kept.drop("_text").dtypes] + ["score double", "predicted int"])
-    return kept.mapInPandas(run, types)
+    return long_id(id_and_text(docs).mapInPandas(run, "doc_id string, score double, predicted int"))
+
+
+def score_column(text: Column, forest: Forest, spark: SparkSession) -> Column:
+    """The score as a column, for filters that keep the table as it is."""
+    shared = spark.sparkContext.broadcast(forest)
+
+    @F.pandas_udf("double")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series(_scores(texts, shared.value), index=texts.index)
+
+    return run(text)

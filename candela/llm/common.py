@@ -73,6 +73,15 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64(F.col("text").isNull(), F.col("text")).alias("text_key"))
 
 
+def id_and_text(docs: DataFrame) -> DataFrame:
+    """``doc_id`` as text and ``text``: pandas would turn whole numbers with gaps into floating point."""
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+
+
+def long_id(df: DataFrame) -> DataFrame:
+    return df.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 def sampled_by(rows: DataFrame, group: str, key: str, most: int) -> DataFrame:
     """About ``most`` rows of each value of ``group``, chosen by the hash of ``key``; all rows of smaller groups."""
     shares = [

@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from candela.llm.common import sampled_by
+from candela.llm.common import id_and_text, long_id, sampled_by
 
 WIDTH = 4
 MAX_DOCS = 5_000
@@ -162,6 +162,6 @@ def identify_languages(docs: DataFrame, filters: LanguageFilters) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = shared.value.predict(list(b["text"]))
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64").values, "lang_pred": [x for x, _ in found], "score": [s for _, s in found]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "lang_pred": [x for x, _ in found], "score": [s for _, s in found]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, lang_pred string, score double")
+    return long_id(id_and_text(docs).mapInPandas(run, "doc_id string, lang_pred string, score double"))

@@ -21,6 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from candela.llm.common import id_and_text, long_id
 from candela.llm.units import UnitEncoder
 
 MARK = "▁"
@@ -222,12 +223,11 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
             codes = enc.encode(texts)
             ids = [np.frombuffer(c, "<u4").astype(np.int32) for c in codes]
             yield pd.DataFrame({
-                "doc_id": b["doc_id"].astype("Int64").values, "n_tokens": [len(i) for i in ids], "ids": ids,
+                "doc_id": b["doc_id"], "n_tokens": [len(i) for i in ids], "ids": ids,
                 "ids_crc32": [zlib.crc32(c) for c in codes],
                 "round_trip": [enc.vocabulary.decode(i.tolist()) == t for i, t in zip(ids, texts)]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
-        run, "doc_id long, n_tokens long, ids array<int>, ids_crc32 long, round_trip boolean")
+    return long_id(id_and_text(docs).mapInPandas(run, "doc_id string, n_tokens long, ids array<int>, ids_crc32 long, round_trip boolean"))
 
 
 def decode_documents(rows: DataFrame, path: str) -> DataFrame:
@@ -236,6 +236,6 @@ def decode_documents(rows: DataFrame, path: str) -> DataFrame:
         vocabulary = encoder(path).vocabulary
         for b in batches:
             yield pd.DataFrame({
-                "doc_id": b["doc_id"].astype("Int64").values, "text": [vocabulary.decode(list(i)) if i is not None else "" for i in b["ids"]]})
+                "doc_id": b["doc_id"], "text": [vocabulary.decode(list(i)) if i is not None else "" for i in b["ids"]]})
 
-    return rows.select("doc_id", "ids").mapInPandas(run, "doc_id long, text string")
+    return long_id(rows.select(F.col("doc_id").cast("string").alias("doc_id"), "ids").mapInPandas(run, "doc_id string, text string"))

@@ -98,5 +98,4 @@ def op9(spark, sf_dir):
 def op10(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     forest = boosting.train(docs, table(spark, sf_dir, "labels").filter(crc_rest("doc_id", 3) != 1))
-    scored = boosting.score_documents(docs, forest, "doc_id")
-    return scored.select("doc_id", (crc_rest("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+    return boosting.score_documents(docs, forest).select("doc_id", (crc_rest("doc_id", 3) == 1).alias("held_out"), "score", "predicted")

@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from candela.llm.common import id_and_text
 from candela.llm.units import UnitEncoder
 
 SEGMENT = 2_000_000
@@ -197,7 +198,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
                 some = b.iloc[at : at + 64]
                 for name, codes in zip(some["doc_id"], encoder.encode([t if isinstance(t, str) else "" for t in some["text"]])):
                     ids.append(b"".join([*codes, end]))
-                    names.append(None if pd.isna(name) else int(name))
+                    names.append(None if name is None else int(name))
                     size += len(ids[-1]) // 4
                     if size >= segment:
                         yield close()
@@ -205,7 +206,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
             yield close()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    rows.mapInPandas(run, "part int, segment int, n_tokens long, doc_ids array<long>, lengths array<long>, data binary").write.option(
+    id_and_text(rows).mapInPandas(run, "part int, segment int, n_tokens long, doc_ids array<long>, lengths array<long>, data binary").write.option(
         "compression", "uncompressed").parquet(path)
 
 

@@ -24,6 +24,8 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from candela.llm.common import id_and_text, long_id
+
 KINDS = ("assign", "access", "hex", "format")
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -230,11 +232,10 @@ def scan_secrets(docs: DataFrame, formats: Formats) -> DataFrame:
                 base = joined([s for s in spans if s[1] < 3])
                 rows.append((*(kinds.count(k) for k in range(4)), hashlib.sha256(base.encode()).hexdigest(), joined(spans)))
             out = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "n_format", "base_sha256", "spans"])
-            out.insert(0, "doc_id", b["doc_id"].astype("Int64").values)
+            out.insert(0, "doc_id", b["doc_id"].values)
             yield out
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
-        run, "doc_id long, n_assign long, n_access long, n_hex long, n_format long, base_sha256 string, spans string")
+    return long_id(id_and_text(docs).mapInPandas(run, "doc_id string, n_assign long, n_access long, n_hex long, n_format long, base_sha256 string, spans string"))
 
 
 def redact(text: str, spans: list[tuple[int, int, int]]) -> str:

@@ -1,12 +1,15 @@
 """SimHash near-duplicates: exact comparison of fingerprints in tiles.
 
-1. Each text becomes a 64-bit fingerprint: numpy counts the bits of the XXH64 values of its shingles.
-2. Equal fingerprints collapse to one row.  Each is put into a *cell*: the four population counts of its 16-bit parts.
-   Two fingerprints within ``radius`` bits have counts whose differences sum to at most ``radius``, so a cell only
-   meets the few cells around it; all other pairs are skipped.
-3. Cells are cut into tiles of at most ``TILE`` fingerprints.  Each pair of tiles is compared in full with exclusive-or and bit counts in numpy.
-   A pair of tiles gives a spanning forest of its links, never all pairs, so dense groups stay small and no link
-   between components is lost.
+1. Each text becomes a fingerprint: numpy counts the bits of the hashes of its shingles.  64 bits use XXH64 (seed 42),
+   wider fingerprints the 128-bit XXH3 values of several seeds.
+2. Equal fingerprints collapse to one row.  Rows are put into *cells*, and only cells that can hold pairs within the
+   radius meet.  For a small radius a cell is the four population counts of the 16-bit parts: two fingerprints within the
+   radius have counts whose differences sum to at most the radius.  For a large radius a cell is a range of the number of
+   shingles: texts of the similarity that is asked for have numbers of shingles in the same or the next range.
+3. Cells are cut into tiles of about ``tile`` fingerprints.  A pair of tiles is skipped when the ranges of their population counts
+   are further apart than the radius, else it is compared in full with exclusive-or and bit counts in numpy.
+   It gives a spanning forest of its links, never all pairs, so dense groups stay small and no link between components
+   is lost.  Pairs of tiles are dealt out by tile, so a large cell is the work of many tasks.
 4. Components come from rounds of large-star and small-star steps, each written to the shared folder.
 
 Null and empty texts have fingerprint zero and are linked like any other.  Rows without an id take part; the component
@@ -20,48 +23,62 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
-from candela.llm.common import stored
+from candela.llm.common import long_id, stored
 
 WIDTH = 3
 RADIUS = 2
-TILE = 2048
+BITS = 64
 PARTS = 4
+TILE = 4096
+ROWS_AT_ONCE = 512
 
+# near copies: five-word shingles of similarity 0.8 or more differ in about 15 % of the bits, 39 of 256
+COPY_WIDTH, COPY_BITS, COPY_RADIUS, COPY_SIMILARITY = 5, 256, 48, 0.8
 
-def fingerprint(data: bytes, width: int = WIDTH) -> int:
-    """Majority of each bit over the XXH64 values (seed 42) of all shingles; A-Z is lower-cased."""
+
+def _hashes(shingles: list[bytes], bits: int) -> np.ndarray:
+    """One row of ``bits // 8`` bytes per shingle."""
     import xxhash
 
+    if bits == 64:
+        h = xxhash.xxh64_intdigest
+        return np.array([h(s, 42) for s in shingles], "<u8").view(np.uint8).reshape(-1, 8)
+    d = xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join([d(s, seed) for s in shingles for seed in range(bits // 128)]), np.uint8).reshape(-1, bits // 8)
+
+
+def fingerprint(data: bytes, width: int = WIDTH, bits: int = BITS) -> tuple[np.ndarray, int]:
+    """64-bit words of the majority of each bit over all shingles, and the number of shingles; A-Z is lower-cased."""
     words = data.lower().split()  # on bytes: ASCII letters and ASCII white space only
     if not words:
-        return 0
+        return np.zeros(bits // 64, np.uint64), 0
     n = max(1, len(words) - width + 1)
-    h = xxhash.xxh64_intdigest
-    total = np.zeros(64, np.int64)
-    for at in range(0, n, 65536):  # a long text in bounded pieces
-        some = words[at : at + 65536 + width - 1]
+    total = np.zeros(bits, np.int64)
+    for at in range(0, n, 16384):  # a long text in bounded pieces
+        some = words[at : at + 16384 + width - 1]
         if len(some) <= width:
             shingles = [b" ".join(some)]
         elif width == 3:
             shingles = [b"%b %b %b" % t for t in zip(some, some[1:], some[2:])]
         else:
-            shingles = [b" ".join(some[i : i + width]) for i in range(len(some) - width + 1)]
-        bits = np.unpackbits(np.array([h(s, 42) for s in shingles], "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        total += bits.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * total > n, bitorder="little").tobytes(), "little")
+            shingles = [b" ".join(t) for t in zip(*(some[i:] for i in range(width)))]
+        total += np.unpackbits(_hashes(shingles, bits), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * total > n, bitorder="little").view("<u8"), n
 
 
-def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, text_key, fp): ``fp`` is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, width: int = WIDTH, bits: int = BITS) -> DataFrame:
+    """(doc_id, text_key, node, fp, n): ``fp`` the words of the fingerprint, ``node`` its key, ``n`` its shingles."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            fps = np.array([fingerprint(t.encode() if isinstance(t, str) else b"", width) for t in b["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "text_key": b["text_key"], "fp": fps.view(np.int64)})
+            found = [fingerprint(t.encode() if isinstance(t, str) else b"", width, bits) for t in b["text"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "text_key": b["text_key"], "fp": [f.view(np.int64) for f, _ in found], "n": [n for _, n in found]})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.col("text").isNull(), F.col("text")).alias("text_key"))
-    return rows.mapInPandas(run, "doc_id long, text_key long, fp long")
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.xxhash64(F.col("text").isNull(), F.col("text")).alias("text_key"))
+    made = long_id(rows.mapInPandas(run, "doc_id string, text_key long, fp array<long>, n long"))
+    return made.withColumn("node", F.col("fp")[0] if bits == 64 else F.xxhash64("fp"))
 
 
 def _forest(hit: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -88,11 +105,17 @@ def _forest(hit: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, in
     return links
 
 
-def compare_tiles(a: np.ndarray, b: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links between two tiles of signed fingerprints."""
+def compare_tiles(a: np.ndarray, b: np.ndarray, names_a: np.ndarray, names_b: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Links between two tiles: rows of words, and the node of each row."""
     x, y = a.view(np.uint64), b.view(np.uint64)
-    hit = np.bitwise_count(x[:, None] ^ y[None, :]) <= radius
-    return [(int(p), int(q)) for p, q in _forest(hit, a, b) if p != q]
+    links: list[tuple[int, int]] = []
+    for at in range(0, len(x), ROWS_AT_ONCE):
+        some = x[at : at + ROWS_AT_ONCE]
+        far = np.bitwise_count(some[:, None, 0] ^ y[None, :, 0]).astype(np.uint16)
+        for k in range(1, x.shape[1]):
+            far += np.bitwise_count(some[:, None, k] ^ y[None, :, k])
+        links += _forest(far <= radius, names_a[at : at + ROWS_AT_ONCE], names_b)
+    return [(int(p), int(q)) for p, q in links if p != q]
 
 
 def _steps(radius: int) -> list[tuple[int, ...]]:
@@ -101,31 +124,50 @@ def _steps(radius: int) -> list[tuple[int, ...]]:
     return [s for s in all_steps if s >= (0,) * PARTS]
 
 
-def tile_links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """(u, v): a spanning set of all links between different fingerprints ``fp``."""
-    counts = [F.bit_count(F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF))) for i in range(PARTS)]
-    base = 32  # counts are 0 to 16; neighbours reach below and above by less than 8
-    code = sum((c + 8) * base**i for i, c in enumerate(counts))
-    cells = fps.select("fp", code.cast("int").alias("cell"))
-    sizes = cells.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).cast("int").alias("n_tiles"))
-    # at most 17^4 cells: a fixed bound
-    dealt = cells.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("n_tiles")).cast("int"))
-    tiles = stored(dealt.groupBy("cell", "part").agg(F.collect_list("fp").alias("fps")), "tiles")  # about ``tile`` values
-    offsets = [sum(d * base**i for i, d in enumerate(s)) for s in _steps(radius)]
-    left = tiles.select(F.col("cell").alias("_a"), F.col("part").alias("pa"), F.col("fps").alias("a"),
-                        F.explode(F.array(*[F.lit(o) for o in offsets])).alias("_o"))
-    left = left.select((F.col("_a") + F.col("_o")).alias("cell"), "_o", "pa", "a")
-    right = tiles.select("cell", F.col("part").alias("pb"), F.col("fps").alias("b"))
-    pairs = left.join(right, "cell").filter((F.col("_o") != 0) | (F.col("pa") <= F.col("pb"))).select("a", "b")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def cells_by_counts(rows: DataFrame, radius: int) -> tuple[Column, list[int]]:
+    """Cell of a 64-bit fingerprint and the distances to the cells it must meet."""
+    counts = [F.bit_count(F.shiftrightunsigned(rows["fp"][0], 16 * i).bitwiseAND(F.lit(0xFFFF))) for i in range(PARTS)]
+    base = 32  # counts are 0 to 16, with room for neighbours below and above
+    return sum((c + 8) * base**i for i, c in enumerate(counts)).cast("int"), [sum(d * base**i for i, d in enumerate(s)) for s in _steps(radius)]
+
+
+def cells_by_size(rows: DataFrame, similarity: float) -> tuple[Column, list[int]]:
+    """Range of the number of shingles; texts at least that similar are in the same or the next range."""
+    step = float(-np.log(similarity))
+    return F.floor(F.log(F.greatest(rows["n"], F.lit(1)).cast("double")) / F.lit(step)).cast("int"), [0, 1]
+
+
+def tile_links(rows: DataFrame, cell: Column, steps: list[int], radius: int, tile: int = TILE) -> DataFrame:
+    """(u, v): a spanning set of all links between different nodes of ``rows`` (node, fp)."""
+    ones = F.aggregate("fp", F.lit(0), lambda a, x: a + F.bit_count(x))
+    placed = rows.select("node", "fp", cell.alias("cell"), ones.alias("ones"))
+    sizes = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).cast("int").alias("n_tiles"))
+    # at most 17^4 cells of counts, or some hundred of sizes: a fixed bound
+    dealt = placed.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("node", F.lit("tile")), F.col("n_tiles")).cast("int"))
+    tiles = stored(dealt.groupBy("cell", "part").agg(  # about ``tile`` rows
+        F.collect_list(F.struct("node", "fp")).alias("rows"), F.min("ones").alias("low"), F.max("ones").alias("high")).select(
+        "cell", "part", "low", "high", F.col("rows.node").alias("nodes"), F.flatten("rows.fp").alias("words")), "tiles")
+    place = tiles.select("cell", "part", "low", "high")
+    a = place.select(F.col("cell").alias("ca"), F.col("part").alias("pa"), F.col("low").alias("la"), F.col("high").alias("ha"),
+                     F.explode(F.array(*[F.lit(o) for o in steps])).alias("_o"))
+    b = place.select(F.col("cell").alias("cb"), F.col("part").alias("pb"), F.col("low").alias("lb"), F.col("high").alias("hb"))
+    pairs = a.join(b, F.col("ca") + F.col("_o") == F.col("cb")).filter(
+        ((F.col("_o") != 0) | (F.col("pa") <= F.col("pb"))) & (F.col("la") - F.col("hb") <= radius) & (F.col("lb") - F.col("ha") <= radius)
+    ).select("ca", "pa", "cb", "pb")
+    left = tiles.select(F.col("cell").alias("ca"), F.col("part").alias("pa"), F.col("nodes").alias("na"), F.col("words").alias("wa"))
+    right = tiles.select(F.col("cell").alias("cb"), F.col("part").alias("pb"), F.col("nodes").alias("nb"), F.col("words").alias("wb"))
+    work = pairs.join(left, ["ca", "pa"]).join(right, ["cb", "pb"]).select("na", "wa", "nb", "wb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[tuple[int, int]] = []
-            for a, b in zip(batch["a"], batch["b"]):
-                found += compare_tiles(np.asarray(a, np.int64), np.asarray(b, np.int64), radius)
-            yield pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+            for i in range(batch.num_rows):
+                na, wa, nb, wb = (batch.column(k)[i].values.to_numpy() for k in range(4))
+                found += compare_tiles(wa.reshape(len(na), -1), wb.reshape(len(nb), -1), na, nb, radius)
+            u, v = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    return pairs.mapInPandas(run, "u long, v long")
+    return work.mapInArrow(run, "u long, v long")
 
 
 def components(links: DataFrame, label: str = "components") -> DataFrame:
@@ -149,21 +191,33 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
-    """One row per document: doc_id, text_key, fp, component_id, root (the component's key)."""
-    rows = stored(fingerprints(docs, width), "fingerprints")
-    fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    roots = components(stored(tile_links(fps, radius), "links"))
-    groups = stored(fps.join(roots, fps["fp"] == roots["node"], "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root")), "groups")
+def _grouped(rows: DataFrame, cells, radius: int, tile: int) -> DataFrame:
+    """(doc_id, text_key, fp, component_id, root) of stored fingerprints."""
+    nodes = stored(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.min("n").alias("n"), F.min("doc_id").alias("first_id")), "distinct")
+    cell, steps = cells(nodes)
+    roots = components(stored(tile_links(nodes, cell, steps, radius, tile), "links"))
+    groups = stored(nodes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root")), "groups")
     least = groups.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = groups.join(least, "root").select("fp", "root", "component_id")
-    return rows.join(named, "fp").select("doc_id", "text_key", "fp", "component_id", "root")
+    named = groups.join(least, "root").select("node", "root", "component_id")
+    return rows.join(named, "node").select("doc_id", "text_key", F.col("fp")[0].alias("fp"), "component_id", "root")
+
+
+def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """One row per document: doc_id, text_key, fp (64 bits), component_id, root (the component's key)."""
+    if radius > 3:
+        raise ValueError("the cells are made for a small radius; near_copies serves larger ones")
+    return _grouped(stored(fingerprints(docs, width), "fingerprints"), lambda r: cells_by_counts(r, radius), radius, tile)
+
+
+def near_copies(docs: DataFrame, width: int = COPY_WIDTH, bits: int = COPY_BITS, radius: int = COPY_RADIUS,
+                similarity: float = COPY_SIMILARITY, tile: int = TILE) -> DataFrame:
+    """As ``near_duplicates``, for texts that share most of their shingles: wide fingerprints, a large radius."""
+    return _grouped(stored(fingerprints(docs, width, bits), "fingerprints"), lambda r: cells_by_size(r, similarity), radius, tile)
 
 
-def drop_near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each component (smallest id, then smallest text key); all columns are kept."""
-    marked = near_duplicates(docs, width, radius)
+def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with one row of each group of near copies (smallest id, then smallest text key); all columns are kept."""
+    marked = near_copies(docs, **options)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
     chosen = stored(marked.groupBy("root").agg(F.min(order).alias("w")).select(
         F.col("w.doc_id").alias("_win_id"), F.col("w.text_key").alias("_win_key")), "winners")

@@ -13,13 +13,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the classifier, fitted on the labelled ones, does not reject."""
     ready(spark)
     forest = boosting.train(docs, table(spark, sf_dir, "labels"))
-    return boosting.score_documents(docs, forest, *docs.columns).filter(F.col("predicted") == 1).select(*docs.columns)
+    return docs.filter(boosting.score_column(docs["text"], forest, spark) >= 0.5)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, fingerprints within two bits."""
+    """One document of each group of near copies: five-word shingles, similarity about 0.8 or more."""
     ready(spark)
-    return simhash.drop_near_duplicates(docs, width=5)
+    return simhash.drop_near_copies(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,9 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     ready(spark)
     formats = secrets.learn_formats(docs)
     clean = docs.withColumn("text", secrets.redacted(F.col("text"), formats, spark))
-    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    if "n_chars" not in docs.columns:
+        return clean
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
