@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from candela.llm.common import id_and_text
+from candela.llm.common import id_and_text, long_id
 from candela.llm.units import UnitEncoder
 
 SEGMENT = 2_000_000
@@ -181,7 +181,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, part, number = tokenizer(vocabulary), TaskContext.get().partitionId(), 0
         ids: list[bytes] = []
-        names: list[int | None] = []
+        names: list[str | None] = []
         size = 0
 
         def close() -> pd.DataFrame:
@@ -198,7 +198,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
                 some = b.iloc[at : at + 64]
                 for name, codes in zip(some["doc_id"], encoder.encode([t if isinstance(t, str) else "" for t in some["text"]])):
                     ids.append(b"".join([*codes, end]))
-                    names.append(None if name is None else int(name))
+                    names.append(name)
                     size += len(ids[-1]) // 4
                     if size >= segment:
                         yield close()
@@ -206,7 +206,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
             yield close()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    id_and_text(rows).mapInPandas(run, "part int, segment int, n_tokens long, doc_ids array<long>, lengths array<long>, data binary").write.option(
+    id_and_text(rows).mapInPandas(run, "part int, segment int, n_tokens long, doc_ids array<string>, lengths array<long>, data binary").write.option(
         "compression", "uncompressed").parquet(path)
 
 
@@ -231,13 +231,13 @@ def _placed(spark: SparkSession, path: str, with_ids: bool) -> DataFrame:
                 starts = ends - np.asarray(lengths, np.int64)
                 parts = [ids[s:e] for s, e in zip(starts, ends)]
                 out = pd.DataFrame({
-                    "part": part, "segment": number, "doc_id": pd.array([None if pd.isna(x) else int(x) for x in names], "Int64"),
+                    "part": part, "segment": number, "doc_id": pd.Series(list(names), dtype=object),
                     "at": starts, "n_tokens": ends - starts, "ids_crc32": [zlib.crc32(p.tobytes()) for p in parts]})
                 if with_ids:
                     out["ids"] = [p.astype(np.int64) for p in parts]
                 yield out
 
-    schema = "part int, segment int, doc_id long, at long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
+    schema = "part int, segment int, doc_id string, at long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
     docs = files.select("part", "segment", "doc_ids", "lengths", "data").mapInPandas(run, schema)
     segments = files.select("part", "segment", "n_tokens")
     parts = segments.groupBy("part").agg(F.sum("n_tokens").alias("_n"))  # a row per file
@@ -246,5 +246,5 @@ def _placed(spark: SparkSession, path: str, with_ids: bool) -> DataFrame:
     within = Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
     places = segments.withColumn("_in", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(earlier, "part").select(
         "part", "segment", (F.col("_before") + F.col("_in")).alias("_start"))
-    return docs.join(places, ["part", "segment"]).select(
+    return long_id(docs).join(places, ["part", "segment"]).select(
         "doc_id", (F.col("_start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))

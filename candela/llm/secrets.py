@@ -4,8 +4,8 @@ Labelled credentials are what the base rules find in at most ``MAX_DOCS`` docume
 most ``MAX_PER_KIND`` of each kind; the same documents give ordinary strings.  For each kind a prefix tree over character
 classes is built and its states are merged in breadth-first order when their outgoing and final frequencies agree
 within Hoeffding's bound; the result is a deterministic probabilistic automaton.  Every candidate string of every text
-is scored: log-likelihood of its classes under the automaton plus that of its length, against the automaton of
-ordinary strings.  Candidates that look like a labelled format become spans of their own; those that overlap a base
+is scored: log-likelihood of its classes under the automaton plus that of its length (a length that no labelled string
+of the kind comes near to is not its format), against the automaton of ordinary strings.  Candidates that look like a labelled format become spans of their own; those that overlap a base
 span do not.
 
 Null texts count as empty.  Without labelled credentials of a kind, that kind adds nothing.  Repeated rows get equal
@@ -65,7 +65,7 @@ class Automaton:
 
     def log_likelihood(self, classes: str) -> float:
         """Of the classes of a string; an unseen move costs a small share and restarts."""
-        state, total = 0, self.lengths.get(len(classes), math.log(1e-6))
+        state, total = 0, self.lengths.get(len(classes), math.log(1e-6))  # the floor is for ordinary strings
         for c in classes:
             move = self.moves[state].get(c)
             n = self.visits[state] + 0.5 * len(_CLASSES)
@@ -160,6 +160,8 @@ class Formats:
             return False
         usual = self.ordinary.log_likelihood(classes) if self.ordinary else len(s) * math.log(1 / len(_CLASSES))
         for a in self.kinds:
+            if len(s) not in a.lengths:
+                continue
             own = a.log_likelihood(classes)
             if own / len(s) >= a.lowest and own - usual > MARGIN:
                 return True
