@@ -141,12 +141,6 @@ def blend_labels(a: Column, b: Column, min_conf: float = 0.7) -> Column:
     return F.when(F.array_max(b) >= min_conf, b).otherwise(a)
 
 
-def factor_sentences(title: Column, content: Column, keywords: Sequence[str], limit: int = 16) -> Column:
-    """Sentences that mention a factor: title sentences three times, then the content's first 2000 characters."""
-    every = F.concat(F.flatten(F.array_repeat(sentences(title), 3)), sentences(F.substring(content, 1, 2000)))
-    return F.slice(F.filter(every, lambda s: any_hit(F.lower(s), keywords)), 1, limit)
-
-
 # ------------------------------------------------------------------ lexicon scores
 
 def lexicon_sentiment_raw(text: Column, lists=None) -> Column:

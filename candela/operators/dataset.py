@@ -16,14 +16,19 @@ from candela.operators.ordering import blocked, exact_quantiles, ordered_index,
 # ------------------------------------------------------------------ factor statistics and sentiment
 
 
-def factor_sentence_rows(articles: DataFrame, ontology=lx.FACTORS, limit: int = 16) -> DataFrame:
-    """(article, factor, matching sentences) for every factor an article mentions."""
+def factor_sentence_rows(articles: DataFrame, ontology=lx.FACTORS, limit: int | None = None, chars: int | None = None) -> DataFrame:
+    """(article, factor, matching sentences) for every factor an article mentions.
+
+    ``chars`` cuts the content and ``limit`` the sentences for a model with a bounded input; by default nothing is cut.
+    """
+    content = F.coalesce("content", F.lit(""))
     staged = articles.select("article_id", F.concat(
         F.flatten(F.array_repeat(sentences(F.col("title")), 3)),
-        sentences(F.substring(F.coalesce("content", F.lit("")), 1, 2000))).alias("_all"))
+        sentences(content if chars is None else F.substring(content, 1, chars))).alias("_all"))
 
     def matched(words: Sequence[str]) -> Column:
-        return F.slice(F.filter("_all", lambda s: any_hit(F.lower(s), words)), 1, limit)
+        found = F.filter("_all", lambda s: any_hit(F.lower(s), words))
+        return found if limit is None else F.slice(found, 1, limit)
 
     per = F.explode(F.array(*[
         F.struct(F.lit(i).alias("factor"), matched(words).alias("matched")) for i, words in enumerate(ontology.values())]))
@@ -274,29 +279,24 @@ def dataset_summary(samples: DataFrame, counts: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ splits and batches
 
 
-def fold_bounds(rows: int, folds: int = 5, embargo: int = 24, min_train: float = 0.40) -> list[tuple[int, str, int, int]]:
-    """(fold, part, first, end) of an expanding walk-forward split with embargo."""
-    if rows < 200:
-        return []
-    start = max(1, int(rows * min_train))
-    if start >= rows:
+def fold_bounds(
+    rows: int, folds: int = 5, embargo: int = 24, min_train: float = 0.40, fewest: int = 200, least_usable: int = 20,
+) -> list[tuple[int, str, int, int]]:
+    """(fold, part, first, end) of an expanding walk-forward split with embargo.
+
+    The rows after the first training share are cut into ``folds`` equal stretches.  Fold ``k`` trains on everything
+    before stretch ``k``; the stretch is embargo, validation, embargo, test.  Tables of fewer than ``fewest`` rows, or
+    stretches that leave fewer than ``least_usable`` rows beside the embargoes, give no fold.
+    """
+    head = int(rows * min_train)
+    width = (rows - head) // folds
+    usable = width - 2 * embargo
+    if rows < fewest or usable < least_usable:
         return []
-    step = max(1, (rows - start) // folds)
-    usable = step - 2 * embargo
-    out: list[tuple[int, str, int, int]] = []
-    if usable < 20:
-        return out
-    val, test = max(10, usable // 2), max(10, usable - max(10, usable // 2))
-    for fold in range(folds):
-        train_end = start + fold * step
-        if train_end <= 1:
-            continue
-        v0 = train_end + embargo
-        t0 = v0 + val + embargo
-        if t0 + test > rows:
-            break
-        out += [(fold, "train", 0, train_end), (fold, "val", v0, v0 + val), (fold, "test", t0, t0 + test)]
-    return out
+    half = usable // 2
+    inside = {"val": (embargo, embargo + half), "test": (2 * embargo + half, width)}
+    return [bound for k in range(folds) for at in [head + k * width]
+            for bound in [(k, "train", 0, at), *((k, part, at + a, at + b) for part, (a, b) in inside.items())]]
 
 
 def walk_forward(df: DataFrame, order: Sequence[str], folds: int = 5, embargo: int = 24, min_train: float = 0.40) -> DataFrame:
@@ -375,6 +375,7 @@ def balanced_batches(df: DataFrame, label: str, id_col: str, batch: int = 8, cla
 
 def sample_cases(df: DataFrame, id_col: str, n: int = 50, seed: int = 42) -> DataFrame:
     """About ``n`` rows picked by a seeded hash with probability max(0.05, n/N), at most ``n``."""
-    share = F.pmod(F.xxhash64(F.lit(seed), id_col), F.lit(1_000_000)) / 1e6
-    size = df.agg(F.greatest(F.lit(0.05), F.lit(n) / F.greatest(F.count(F.lit(1)), F.lit(n))).alias("_p"))
-    return df.join(F.broadcast(size)).filter(share < F.col("_p")).drop("_p").orderBy(id_col).limit(n)  # one row
+    place = F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col))), 1, 8)
+    share = F.greatest(F.lit(0.05), F.lit(n) / F.greatest(F.count(F.lit(1)), F.lit(n)))
+    size = df.agg(F.format_string("%08x", F.floor(share * 4294967295).cast("bigint")).alias("_p"))
+    return df.join(F.broadcast(size)).filter(place < F.col("_p")).drop("_p").orderBy(id_col).limit(n)  # one row

@@ -153,10 +153,9 @@ def articles_for_decisions(decisions: DataFrame, news: DataFrame, interval_hours
         "decision_ts", shift_hours("candle_ts", interval_hours))
     pairs = interval_join(times, rows, shift_hours("decision_ts", -lookback_hours),
                           shift_hours("decision_ts", -delay_minutes / 60), "published_at")
-    if limit is None:
-        return pairs
     order = Window.partitionBy("candle_ts").orderBy(F.col("published_at").desc(), "article_id")
-    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    ranked = pairs.withColumn("rank", F.row_number().over(order))
+    return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
 
 
 def recency_rank(pairs: DataFrame, key: str = "candle_ts") -> DataFrame:
@@ -248,7 +247,9 @@ def news_stats(news: DataFrame) -> DataFrame:
 
 
 def query_news(news: DataFrame, start=None, end=None, source=None, limit: int = 100, offset: int = 0) -> DataFrame:
-    """Newest first, at most 1000 rows a page."""
+    """Newest first; a page has at most 1000 rows."""
+    if limit > 1000:
+        raise ValueError("a page has at most 1000 rows")
     df = news
     if start is not None:
         df = df.filter(F.col("published_at") >= F.lit(start).cast("timestamp"))
@@ -256,7 +257,7 @@ def query_news(news: DataFrame, start=None, end=None, source=None, limit: int =
         df = df.filter(F.col("published_at") <= F.lit(end).cast("timestamp"))
     if source is not None:
         df = df.filter(F.col("source") == source)
-    return df.orderBy(F.col("published_at").desc(), "article_id").offset(offset).limit(min(limit, 1000))
+    return df.orderBy(F.col("published_at").desc(), "article_id").offset(offset).limit(limit)
 
 
 def search_news(news: DataFrame, text: str = "", sentiment: str = "all") -> DataFrame:

@@ -19,7 +19,9 @@ def _ts(value: str | Column) -> Column:
 # ------------------------------------------------------------------ insights
 
 def query_insights(df: DataFrame, start=None, end=None, type: str | None = None, symbol: str | None = None, limit: int = 100) -> DataFrame:
-    """Optional predicates, newest first, at most 2000 rows."""
+    """Optional predicates, newest first; a page has at most 2000 rows."""
+    if limit > 2000:
+        raise ValueError("a page has at most 2000 rows")
     if start is not None:
         df = df.filter(F.col("time") >= _ts(start))
     if end is not None:
@@ -28,7 +30,7 @@ def query_insights(df: DataFrame, start=None, end=None, type: str | None = None,
         df = df.filter(F.col("type") == type)
     if symbol:
         df = df.filter(F.col("symbol") == symbol.upper())
-    return df.orderBy(F.col("time").desc()).limit(min(limit, 2000))
+    return df.orderBy(F.col("time").desc(), *[F.col(c).desc() for c in ("offset",) if c in df.columns]).limit(limit)
 
 
 PREDICTIONS_SCHEMA = ("array<struct<symbol:string,should_alert:boolean,current_price:double,forecast:struct<"
@@ -42,9 +44,9 @@ def payload_predictions(insights: DataFrame) -> DataFrame:
         F.from_json(F.get_json_object("payload", "$.predictions"), PREDICTIONS_SCHEMA)).alias("_i", "prediction"))
 
 
-def latest_prediction_in_payload(insights: DataFrame, symbols: Sequence[str] | None = None, newest: int = 10) -> DataFrame:
-    """Newest prediction of a symbol among the ``newest`` insight rows."""
-    rows = payload_predictions(insights.filter("type = 'aggregated_prediction'").orderBy(F.col("time").desc()).limit(newest).drop("symbol"))
+def latest_prediction_in_payload(insights: DataFrame, symbols: Sequence[str] | None = None) -> DataFrame:
+    """Newest prediction of each symbol over all insight rows."""
+    rows = payload_predictions(insights.filter("type = 'aggregated_prediction'").drop("symbol"))
     rows = rows.select(F.col("prediction.symbol").alias("symbol"), "time", "_i", "prediction")
     if symbols is not None:
         rows = rows.filter(F.col("symbol").isin(*symbols))

@@ -557,7 +557,8 @@ def _(t):
     return plan.groupBy("batch", F.col("class").cast("bigint").alias("class")).agg(F.count("id").cast("int").alias("n"))
 
 
-@query("o09_sample_cases")
+@query("o09_sample_cases", sql_with("predictions", """SELECT pred_id, symbol, pred FROM predictions
+    WHERE left(md5('42:' || pred_id), 8) < (SELECT printf('%08x', CAST(floor(greatest(0.05, 50 / CAST(greatest(count(*), 50) AS DOUBLE)) * 4294967295) AS BIGINT)) FROM predictions) ORDER BY pred_id LIMIT 50"""))
 def _(t):
     return ds.sample_cases(t.predictions, "pred_id").select("pred_id", "symbol", "pred")
 

@@ -94,13 +94,12 @@ def _(t):
 
 VISIBLE = {**DEC, **QUALITY, "vis": """SELECT * FROM (SELECT dec.ts AS candle_ts, article_id, published_at,
     row_number() OVER (PARTITION BY dec.ts ORDER BY published_at DESC, article_id) AS rank FROM dec JOIN quality
-    ON published_at >= dec.ts + INTERVAL 1 HOUR - INTERVAL 24 HOUR AND published_at + INTERVAL 15 MINUTE <= dec.ts + INTERVAL 1 HOUR AND keep)
-    WHERE rank <= 32"""}
+    ON published_at >= dec.ts + INTERVAL 1 HOUR - INTERVAL 24 HOUR AND published_at + INTERVAL 15 MINUTE <= dec.ts + INTERVAL 1 HOUR AND keep)"""}
 
 
 def _visible(t):
     good = nw.article_quality(t.articles).filter("keep")
-    return nw.articles_for_decisions(t.candles(), good, limit=32)
+    return nw.articles_for_decisions(t.candles(), good)
 
 
 @query("j04_articles_for_decisions", sql_with("c1h articles", "SELECT candle_ts, article_id, rank FROM vis", VISIBLE))
@@ -489,8 +488,8 @@ def split_sql(col: str) -> str:
 
 def factor_sentence_ctes(ontology) -> dict[str, str]:
     cases = " UNION ALL ".join(
-        f"SELECT article_id, {i} AS f, list_filter(al, lambda s: {any_sql('lower(s)', ws)})[1:16] AS m FROM al" for i, ws in enumerate(ontology.values()))
-    return {"al": f"SELECT article_id, list_concat(list_concat(list_concat({split_sql('title')}, {split_sql('title')}), {split_sql('title')}), {split_sql('left(content, 2000)')}) AS al FROM articles",
+        f"SELECT article_id, {i} AS f, list_filter(al, lambda s: {any_sql('lower(s)', ws)}) AS m FROM al" for i, ws in enumerate(ontology.values()))
+    return {"al": f"SELECT article_id, list_concat(list_concat(list_concat({split_sql('title')}, {split_sql('title')}), {split_sql('title')}), {split_sql('content')}) AS al FROM articles",
             "fsn": cases}
 
 

@@ -68,7 +68,8 @@ def normalize_klines(raw: DataFrame, value_col: str = "value") -> DataFrame:
             final = pick(_get(k, "isFinal", "x"), _get(k, "x"), _get(k, "x", "isFinal"))
             symbol = pick(F.coalesce(_first(m, "symbol"), _first(k, "s")), _first(k, "s"), _first(k, "s"))
             return F.struct(
-                F.upper(symbol).alias("symbol"), F.timestamp_millis(F.coalesce(whole(opened), whole(closed))).alias("ts"),
+                F.upper(symbol).alias("symbol"), F.coalesce(_first(m, "interval", "i"), _first(k, "i", "interval"), F.lit("1m")).alias("interval"),
+                F.timestamp_millis(F.coalesce(whole(opened), whole(closed))).alias("ts"),
                 F.timestamp_millis(whole(closed)).alias("close_time"), value("open", "o").alias("open"),
                 value("high", "h").alias("high"), value("low", "l").alias("low"), value("close", "c").alias("close"),
                 num(pick(_get(k, "volume", "v"), _get(k, "v"), _get(k, "v", "volume"))).alias("volume"),
@@ -109,13 +110,15 @@ def final_only(df: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ news
 
-def unwrap_raw(json: Column, depth: int = 4) -> Column:
-    """Follow nested ``raw`` objects (a bounded number of levels)."""
-    for _ in range(depth):
-        inner = F.get_json_object(json, "$.raw")
-        empty = inner.isNull() | inner.isin("", "0", "false", "null")
-        json = F.when(empty, json).otherwise(inner)
-    return json
+def unwrap_raw(json: Column) -> Column:
+    """Follow nested ``raw`` objects to the innermost one.
+
+    The text itself tells how many levels there can be: one for each ``"raw"`` in it.  Each level is parsed once.
+    """
+    def level(json: Column, _: Column) -> Column:
+        return let(F.get_json_object(json, "$.raw"), lambda inner: F.when(
+            inner.isNull() | inner.isin("", "0", "false", "null"), json).otherwise(inner))
+    return F.aggregate(F.array_repeat(F.lit(0), F.regexp_count(json, F.lit('"raw"'))), json, level)
 
 
 def _pos_neg(json: Column) -> Column:

@@ -52,16 +52,19 @@ def page_date(html: Column) -> Column:
     return F.coalesce(*[to_ts(meta(html, m)) for m in DATE_META], to_ts(fallback))
 
 
-def page_content(html: Column, shortest: int = 50, most: int = 10, chars: int = 5000) -> Column:
-    """Paragraphs longer than 50 characters, the first ten, at most 5000 characters.
+def page_content(html: Column, shortest: int = 50, most: int | None = None, chars: int | None = None) -> Column:
+    """Paragraphs longer than ``shortest`` characters; ``most`` and ``chars`` cut them for a reader with bounded input.
 
     A paragraph ends at its end tag, at the next paragraph or with its block.
     """
     body = F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</(script|style)>", "")
-    parts = F.slice(F.split(body, r"(?i)<p\b[^>]*>"), 2, 1000000)
+    pieces = F.split(body, r"(?i)<p\b[^>]*>")
+    parts = F.slice(pieces, F.lit(2), F.size(pieces))
     texts = F.transform(parts, lambda x: plain(F.regexp_extract(
         x, r"(?is)^(.*?)(?:</(?:p|article|div|section|main|body)>|$)", 1)))
-    return F.substring(F.array_join(F.slice(F.filter(texts, lambda x: F.length(x) > shortest), 1, most), "\n\n"), 1, chars)
+    kept = F.filter(texts, lambda x: F.length(x) > shortest)
+    text = F.array_join(kept if most is None else F.slice(kept, 1, most), "\n\n")
+    return text if chars is None else F.substring(text, 1, chars)
 
 
 def extract_articles(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -77,19 +80,34 @@ def extract_articles(pages: DataFrame, url: str = "url", html: str = "html") ->
         "sentiment_label": F.col("_s.label"), "sentiment_score": F.col("_s.score")}).drop("_s")
 
 
+def resolved(place: Column, href: Column) -> Column:
+    """Path of a reference without scheme and host, seen from a page at the path ``place``.
+
+    A reference without a path stays on the page; ``.`` and ``..`` are taken out.
+    """
+    path, rest = F.regexp_extract(href, r"^([^?#]*)", 1), F.regexp_extract(href, r"^[^?#]*(.*)$", 1)
+    folder = F.coalesce(F.nullif(F.regexp_extract(place, r"^(.*/)", 1), F.lit("")), F.lit("/"))
+    full = F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(folder, path))
+    parts = F.aggregate(
+        F.split(full, "/"), F.array().cast("array<string>"),
+        lambda kept, part: F.when(part == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(1))))
+        .when(part == ".", kept).otherwise(F.array_append(kept, part)))
+    ends = F.when(full.rlike(r"/\.{1,2}$"), "/").otherwise("")
+    return F.concat(F.when(path == "", place).otherwise(F.concat(F.array_join(parts, "/"), ends)), rest)
+
+
 def discover_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Distinct links of a page to its own host that look like articles."""
     base = F.regexp_extract(F.col(url), r"^([^:]+://[^/?#]+)", 1)
-    folder = F.regexp_extract(F.regexp_extract(F.col(url), r"^[^:]+://[^/?#]+([^?#]*)", 1), r"^(.*/)", 1)
+    place = F.regexp_extract(F.col(url), r"^[^:]+://[^/?#]+([^?#]*)", 1)
     scheme = F.regexp_extract(F.col(url), r"^([^:]+:)", 1)
     href = F.explode(F.array_distinct(F.regexp_extract_all(F.col(html), F.lit(r"(?i)<a\b[^>]*href\s*=\s*[\"']([^\"']*)"), F.lit(1))))
-    rows = pages.select(F.col(url).alias("page"), base.alias("_base"), folder.alias("_folder"), scheme.alias("_scheme"), href.alias("_href"))
+    rows = pages.select(F.col(url).alias("page"), base.alias("_base"), place.alias("_place"), scheme.alias("_scheme"), href.alias("_href"))
     rows = rows.withColumn("_href", unescape(F.col("_href"))).filter(
         ~F.startswith(F.col("_href"), F.lit("javascript:")) & ~F.startswith(F.col("_href"), F.lit("#")))
     h = F.col("_href")
     full = (F.when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), h).when(F.startswith(h, F.lit("//")), F.concat("_scheme", h))
-            .when(F.startswith(h, F.lit("/")), F.concat("_base", h))
-            .otherwise(F.concat(F.col("_base"), F.when(F.col("_folder") == "", "/").otherwise(F.col("_folder")), h)))
+            .otherwise(F.concat(F.col("_base"), resolved(F.col("_place"), h))))
     rows = rows.withColumn("link", full).withColumn("_host", F.regexp_extract("link", r"^([^:]+://[^/?#]+)", 1))
     path = F.lower(F.regexp_extract("link", r"^[^:]+://[^/?#]+([^?#]*)", 1))
     rows = rows.withColumn("_path", path).filter(

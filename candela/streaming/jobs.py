@@ -1,8 +1,7 @@
 """Structured Streaming jobs for candles, news, insights, alerts and settings.
 
 All sinks are batch logs (``candela.streaming.logs``).  Late updates of a closed
-candle still merge: the kline sink has no watermark.  ``stream_candles`` has one
-and drops ticks that are later than its delay.
+candle still merge, however late they come: no sink has a watermark on event time.
 """
 
 from __future__ import annotations
@@ -11,7 +10,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from candela.operators.candles import OHLCV, dedupe_latest, detect_gaps, last_n_per_key
+from candela.operators.candles import OHLCV, dedupe_earliest, dedupe_latest, detect_gaps, last_n_per_key
 from candela.operators.tables import fan_out, notifiable, payload_predictions
 from candela.sources.imports import insert_new
 from candela.sources.messages import normalize_insights, normalize_klines, normalize_news, normalize_settings
@@ -19,8 +18,6 @@ from candela.streaming import logs
 
 # Topics of the message flow.
 TOPICS = ("market.prices", "news_raw", "news_analyzed", "ai_insights", "investment_results", "user_settings_updated")
-FLUSH = {"processingTime": "2 seconds"}   # flush interval of a continuous run
-BATCH_ROWS = 100                          # messages per flush of a continuous run
 
 
 def read_stream(spark: SparkSession, fmt: str, options: Mapping[str, str], schema: str | None = None) -> DataFrame:
@@ -77,34 +74,43 @@ def stream_klines(messages: DataFrame, sink: str, checkpoint: str, order: str |
     return logs.start(rows, handle, checkpoint, trigger)
 
 
-def stream_candles(ticks: DataFrame, sink: str, checkpoint: str, interval: str = "1 hour", delay: str = "10 minutes", trigger: dict | None = None):
-    """Tumbling OHLCV over ticks with a watermark, in update mode."""
+def stream_candles(ticks: DataFrame, sink: str, checkpoint: str, interval: str = "1 hour", trigger: dict | None = None):
+    """Tumbling OHLCV over ticks: partial bars per batch, merged when read, so late ticks count too."""
     at = F.struct("ts", "event_id")
-    bars = ticks.withWatermark("ts", delay).groupBy("symbol", F.window("ts", interval).alias("_w")).agg(
-        F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
-        F.max_by("price", at).alias("close"), F.sum("volume").alias("volume"))
-    bars = bars.select("symbol", F.col("_w.start").alias("ts"), *OHLCV)
-    return logs.start(bars, lambda b, i: logs.write_batch(b, sink, i), checkpoint, trigger, "update")
+    bars = ticks.withColumn("ts_bar", F.window("ts", interval)["start"])
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        partial = batch.groupBy("symbol", F.col("ts_bar").alias("bar")).agg(
+            F.min_by("price", at).alias("open"), F.min(at).alias("first_at"), F.max("price").alias("high"), F.min("price").alias("low"),
+            F.max_by("price", at).alias("close"), F.max(at).alias("last_at"), F.sum("volume").alias("volume"))
+        logs.write_batch(partial, sink, batch_id)
+    return logs.start(bars, handle, checkpoint, trigger)
 
 
-def read_updates(spark: SparkSession, sink: str, key: list[str]) -> DataFrame:
-    """Latest version of each key in a log of updates."""
-    return dedupe_latest(logs.read_log(spark, sink), key, "batch_id").drop("batch_id")
+def read_candles(spark: SparkSession, sink: str) -> DataFrame:
+    """The merged bars behind a tick sink."""
+    return logs.read_log(spark, sink).groupBy("symbol", F.col("bar").alias("ts")).agg(
+        F.min_by("open", "first_at").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
+        F.max_by("close", "last_at").alias("close"), F.sum("volume").alias("volume"))
 
 
 def stream_last_n(messages: DataFrame, sink: str, checkpoint: str, n: int = 2000, trigger: dict | None = None):
-    """Newest ``n`` candles per symbol as a bounded state table, one version per batch."""
-    rows = normalize_klines(messages).select("symbol", "ts", *OHLCV, "sequence")
+    """Newest ``n`` candles per symbol and interval as a bounded state table, one version per batch.
+
+    Updates of a candle are ordered by sequence number; those without one come before, in order of their batches.
+    """
+    key = ["symbol", "interval", "ts"]
+    rows = normalize_klines(messages).select(*key, *OHLCV, "sequence")
+    order = F.struct("sequence", "arrival")  # never null as a whole; null numbers sort first
     spark = messages.sparkSession
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         state = logs.read_log(spark, sink, batch_id)
-        latest = dedupe_latest(batch, ["symbol", "ts"], "sequence")
+        batch = batch.withColumn("arrival", F.lit(batch_id).cast("bigint"))
         if state is not None:
             newest = state.agg(F.max("batch_id").alias("batch_id"))
-            state = state.join(F.broadcast(newest), ["batch_id"]).drop("batch_id")  # one row
-            latest = dedupe_latest(state.unionByName(latest), ["symbol", "ts"], "sequence")
-        logs.write_batch(last_n_per_key(latest, ["symbol"], n), sink, batch_id)
+            batch = state.join(F.broadcast(newest), ["batch_id"]).drop("batch_id").unionByName(batch)  # one row
+        logs.write_batch(last_n_per_key(dedupe_latest(batch, key, order), ["symbol", "interval"], n), sink, batch_id)
     return logs.start(rows, handle, checkpoint, trigger)
 
 
@@ -112,7 +118,7 @@ def read_state(spark: SparkSession, sink: str) -> DataFrame:
     """Last version of a state table."""
     log = logs.read_log(spark, sink)
     newest = log.agg(F.max("batch_id").alias("batch_id"))
-    return log.join(F.broadcast(newest), ["batch_id"]).drop("batch_id")  # one row
+    return log.join(F.broadcast(newest), ["batch_id"]).drop("batch_id", "arrival")  # one row
 
 
 def stream_gaps(messages: DataFrame, sink: str, state: str, checkpoint: str, trigger: dict | None = None):
@@ -133,18 +139,20 @@ def stream_gaps(messages: DataFrame, sink: str, state: str, checkpoint: str, tri
 
 # ------------------------------------------------------------------ news, insights, settings, alerts
 
-def seen_urls(stream: DataFrame, ttl: str = "7 days", time: str = "time", key: str = "url") -> DataFrame:
-    """First row per url; a url is forgotten after ``ttl``."""
-    return stream.withWatermark(time, ttl).dropDuplicatesWithinWatermark([key])
+def seen_urls(stream: DataFrame, ttl: str = "7 days", key: str = "url") -> DataFrame:
+    """First row per url; a url is forgotten ``ttl`` after it arrived.  The age of an article plays no part."""
+    arrived = stream.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", ttl)
+    return arrived.dropDuplicatesWithinWatermark([key]).drop("_arrived")
 
 
-def stream_news(messages: DataFrame, sink: str, checkpoint: str, ttl: str = "7 days", trigger: dict | None = None):
-    """Analysed news without urls that were seen or stored before."""
-    rows = seen_urls(normalize_news(messages), ttl)
+def stream_news(messages: DataFrame, sink: str, checkpoint: str, trigger: dict | None = None):
+    """Analysed news without urls that are stored already; of a url's rows in one batch the earliest stays."""
+    rows = normalize_news(messages)
     spark = messages.sparkSession
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         stored = logs.read_log(spark, sink, batch_id)
+        batch = dedupe_earliest(batch, ["url"], F.struct("time"))
         logs.write_batch(batch if stored is None else insert_new(batch, stored), sink, batch_id)
     return logs.start(rows, handle, checkpoint, trigger)
 
