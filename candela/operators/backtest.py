@@ -272,7 +272,7 @@ def equity_curve(signals: DataFrame, candles: DataFrame, ledger: DataFrame, capi
     at = F.timestamp_seconds(F.col("rn") * 3600)
     opened = ledger.select("strategy", "symbol", F.timestamp_seconds(F.col("entry_rn") * 3600).alias("_open"), "entry_rn", "exit_rn", "side",
                            "entry_price", "qty", "entry_fee", "profit", "cumulative_capital")
-    rows = asof_join(grid.withColumn("_at", at), opened, "_at", "_open", by=("strategy", "symbol"), bucket=4096 * 3600)
+    rows = asof_join(grid.withColumn("_at", at), opened, "_at", "_open", by=("strategy", "symbol"))
     before = F.col("cumulative_capital") - F.col("profit")
     sign = F.when(F.col("side") == "long", 1.0).otherwise(-1.0)
     open_value = before - F.col("entry_fee") + sign * (F.col("close") - F.col("entry_price")) * F.col("qty") - F.col("qty") * F.col("close") * FEE

@@ -97,22 +97,21 @@ def last_closed_bars(decisions: DataFrame, bars: DataFrame, timeframe: str, n: i
                      features: Sequence[str] = BAR_FEATURES) -> DataFrame:
     """The last ``n`` bars that closed by the decision's own close, oldest first, zero-padded in front.
 
-    ``bars`` needs ``rn`` (``candle_index``).  The as-of join gives the position
-    of the last closed bar; its predecessors are fetched by position.
+    ``bars`` needs ``rn`` (``candle_index``).  Each bar gets the list of itself and
+    the bars before it once; the as-of join gives the position of the last closed
+    bar, and its list is fetched by position.
     """
     close = F.timestamp_seconds(F.unix_seconds("ts") + seconds(timeframe))
     ends = bars.select("symbol", close.alias("_close"), F.col("rn").alias("_end"))
     keyed = decisions.select("symbol", F.col("ts")).withColumn(
         "_at", F.timestamp_seconds(F.unix_seconds("ts") + seconds(decision_interval)))
     found = asof_join(keyed, ends, "_at", "_close").select("symbol", "ts", "_end")
-    wanted = found.filter("_end is not null").withColumn(
-        "rn", F.explode(F.sequence(F.greatest(F.col("_end") - (n - 1), F.lit(1)), F.col("_end"))))
     cells = bar_features(bars).select("symbol", "rn", F.struct(*[F.col(f) for f in features]).alias("_bar"))
-    taken = wanted.join(cells, ["symbol", "rn"]).groupBy("symbol", "ts").agg(
-        F.array_sort(F.collect_list(F.struct("rn", "_bar"))).alias("_rows"))  # at most n bars
+    lists = blocked(cells, n - 1, lambda d, w: d.withColumn("_rows", F.collect_list("_bar").over(w.rowsBetween(-(n - 1), 0)))).select(
+        "symbol", F.col("rn").alias("_end"), "_rows")  # n bars each
     zero = F.struct(*[F.lit(0.0).alias(f) for f in features])
-    rows = F.transform("_rows", lambda x: x["_bar"])
-    return found.select("symbol", "ts").join(taken, ["symbol", "ts"], "left").select(
+    rows = F.col("_rows")
+    return found.join(lists, ["symbol", "_end"], "left").select(
         "symbol", "ts", F.lit(timeframe).alias("timeframe"),
         F.when(F.col("_rows").isNull(), 0).otherwise(F.size("_rows")).alias("filled"),
         F.when(F.col("_rows").isNull(), F.array_repeat(zero, n)).otherwise(
@@ -244,10 +243,11 @@ def apply_bar_scaler(df: DataFrame, scaler: DataFrame, column: str = "bars", lim
     packed = packed.select("timeframe", F.struct(*BAR_FEATURES).alias("_s"))
     empty = lambda b: sum((F.abs(b[f]) for f in BAR_FEATURES), F.lit(0.0)) == 0
 
-    def scale(b):
-        return F.struct(*[F.when(empty(b), F.lit(0.0)).otherwise(
+    def scale(original, b):  # a flat bar without volume is zero only after the shift, and is scaled
+        return F.struct(*[F.when(empty(original), F.lit(0.0)).otherwise(
             clip((b[f] - F.col("_s")[f]["mean"]) / F.col("_s")[f]["std"], -limit, limit)).alias(f) for f in BAR_FEATURES])
-    return relative_bars(df, column).join(packed, ["timeframe"]).withColumn(column, F.transform(column, scale)).drop("_s")
+    shifted = relative_bars(df.withColumn("_given", F.col(column)), column).join(packed, ["timeframe"])
+    return shifted.withColumn(column, F.zip_with("_given", column, scale)).drop("_s", "_given")
 
 
 def direction_weights(train: DataFrame, mode: str = "sqrt", classes: int = 3) -> DataFrame:

@@ -456,8 +456,8 @@ def _(t):
 def bars_sql(tf: str, width: int, n: int = 20) -> dict[str, str]:
     return {f"b{tf}": bar_sql(f"i{tf}"),
             f"l{tf}": f"""SELECT '{tf}' AS timeframe, d.symbol, d.ts, b.rn, {', '.join('b.' + x for x in cd.BAR_FEATURES)},
-            row_number() OVER (PARTITION BY d.symbol, d.ts ORDER BY b.rn DESC) AS back FROM c1h d JOIN b{tf} b ON b.symbol = d.symbol
-            AND b.ts + INTERVAL {width} SECOND <= d.ts + INTERVAL 1 HOUR QUALIFY back <= {n}"""}
+            e.rn - b.rn + 1 AS back FROM c1h d ASOF JOIN (SELECT symbol, rn, ts + INTERVAL {width} SECOND AS closed FROM b{tf}) e
+            ON e.symbol = d.symbol AND d.ts + INTERVAL 1 HOUR >= e.closed JOIN b{tf} b ON b.symbol = d.symbol AND b.rn BETWEEN e.rn - {n - 1} AND e.rn"""}
 
 
 _TFS = (("15m", 900), ("1h", 3600), ("4h", 14400))

@@ -108,15 +108,16 @@ def _times(n, seed, span=400):
     return [T0 + dt.timedelta(minutes=rnd.randrange(span)) for _ in range(n)]
 
 
-@pytest.mark.parametrize("bucket", [600, 86400])
-def test_asof_and_nearest_against_brute_force(spark, bucket):
+@pytest.mark.parametrize("crowd", [0, 900])
+def test_asof_and_nearest_against_brute_force(spark, crowd):
     left = [(("a", "b")[i % 2], t, i) for i, t in enumerate(_times(80, 1))]
+    left += [("a", T0 + dt.timedelta(minutes=200 + i % 3), 1000 + i) for i in range(crowd)]  # nine tenths at one key and moment
     right = sorted({(("a", "b")[i % 2], t) for i, t in enumerate(_times(30, 2))})
     l = spark.createDataFrame(left, "symbol string, ts timestamp, id int")
     r = spark.createDataFrame([(s, t, i) for i, (s, t) in enumerate(right)], "symbol string, rt timestamp, rid int")
-    back = {x.id: x.rt for x in joins.asof_join(l, r, "ts", "rt", bucket=bucket).collect()}
-    ahead = {x.id: x.rt for x in joins.asof_join(l, r, "ts", "rt", forward=True, bucket=bucket).collect()}
-    near = {x.id: x.rt for x in joins.nearest_join(l, r, "ts", "rt", bucket=bucket).collect()}
+    back = {x.id: x.rt for x in joins.asof_join(l, r, "ts", "rt").collect()}
+    ahead = {x.id: x.rt for x in joins.asof_join(l, r, "ts", "rt", forward=True).collect()}
+    near = {x.id: x.rt for x in joins.nearest_join(l, r, "ts", "rt").collect()}
     for s, t, i in left:
         mine = [x for k, x in right if k == s]
         assert back[i] == max((x for x in mine if x <= t), default=None)
@@ -409,3 +410,123 @@ def test_merge_equals_replay(spark):
     for i in range(1, 6):
         target = cd.merge_updates(target, df.filter(F.col("offset") == i))
     assert target.collect() == cd.replay_updates(df).collect()
+
+
+def test_asof_without_times_or_keys(spark):
+    l = spark.createDataFrame([("a", None, 1), ("a", T0, 2), (None, T0, 3)], "symbol string, ts timestamp, id int")
+    r = spark.createDataFrame([("a", None, 7), ("a", T0, 8), (None, T0, 9)], "symbol string, rt timestamp, rid int")
+    for forward in (False, True):
+        got = {x.id: x.rid for x in joins.asof_join(l, r, "ts", "rt", forward=forward).collect()}
+        assert got == {1: None, 2: 8, 3: 9}
+
+
+# ------------------------------------------------------------------ ratcheting bands, folds, links, nested messages
+
+
+def test_ratcheted_bands_against_a_loop(spark):
+    rnd = random.Random(4)
+    rows, want = [], {}
+    for symbol in "ab":
+        band = math.inf
+        for i in range(1, 400):
+            edge, prev = 100 + rnd.gauss(0, 5), 100 + rnd.gauss(0, 5) - 6
+            band = edge if prev > band else min(band, edge)
+            rows.append((symbol, i, edge, prev))
+            want[symbol, i] = band
+    df = spark.createDataFrame(rows, "symbol string, rn long, edge double, prev double")
+    for block in (7, 64, 4096):
+        got = {(r.symbol, r.rn): r.band for r in ind.ratcheted(df, "edge", "prev", "band", block).collect()}
+        assert got == want
+
+
+def test_fold_bounds():
+    assert ds.fold_bounds(199) == [] and ds.fold_bounds(300) == []
+    bounds = ds.fold_bounds(2000)
+    assert len(bounds) == 15 and bounds[:3] == [(0, "train", 0, 800), (0, "val", 824, 920), (0, "test", 944, 1040)]
+    for fold in range(5):
+        (_, _, _, end), (_, _, v0, v1), (_, _, t0, t1) = bounds[3 * fold: 3 * fold + 3]
+        assert v0 - end == t0 - v1 == 24 and t1 <= 2000
+
+
+def test_relative_links(spark):
+    from candela.sources import pages as pg
+    cases = [("/news/x/", "../y", "/news/y"), ("/news/x/a.html", "?page=2", "/news/x/a.html?page=2"), ("", "b", "/b"), ("/a/b", "./c#d", "/a/c#d"),
+             ("/a/b", "../../../c", "/c"), ("/a/b/", "..", "/a/"), ("/a/b", "/x/./y/../z", "/x/z")]
+    df = spark.createDataFrame([(i, p, h) for i, (p, h, _) in enumerate(cases)], "i int, place string, href string")
+    got = {r.i: r.to for r in df.select("i", pg.resolved(F.col("place"), F.col("href")).alias("to")).collect()}
+    assert [got[i] for i in range(len(cases))] == [c[2] for c in cases]
+
+
+def test_long_pages_keep_all_paragraphs(spark):
+    from candela.sources import pages as pg
+    html = "".join(f"<p>{'word ' * 200}{i}</p>" for i in range(30))
+    df = spark.createDataFrame([(html,)], "html string")
+    whole, some = df.select(pg.page_content(F.col("html")), pg.page_content(F.col("html"), most=2)).first()
+    assert whole.count("\n\n") == 29 and some.count("\n\n") == 1
+
+
+def test_unwrap_many_levels(spark):
+    from candela.sources import messages as ms
+    rows = [(k, '{"raw":' * k + '{"a":1}' + "}" * k) for k in (0, 1, 5, 12)] + [(99, '{"raw":"","b":2}')]
+    got = {r.k: r.v for r in spark.createDataFrame(rows, "k int, v string").select("k", ms.unwrap_raw(F.col("v")).alias("v")).collect()}
+    assert all(got[k] == '{"a":1}' for k in (0, 1, 5, 12)) and got[99] == '{"raw":"","b":2}'
+
+
+# ------------------------------------------------------------------ streams
+
+
+def _kline(symbol, minute, close, seq=None, interval="1m"):
+    import json
+    ms_ = int((T0 + dt.timedelta(minutes=minute)).replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
+    body = {"s": symbol, "t": ms_, "o": close, "h": close, "l": close, "c": close, "v": 1, "i": interval}
+    return json.dumps(body | ({} if seq is None else {"seq": seq}))
+
+
+def _messages_in_batches(spark, tmp_path, batches):
+    """One file per batch; file times follow the order of the list."""
+    import json
+    import os
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for i, values in enumerate(batches):
+        path = folder / f"{i}.json"
+        path.write_text("".join(json.dumps({"value": v}) + "\n" for v in values))
+        os.utime(path, (1_700_000_000 + i * 10,) * 2)
+    from candela.streaming import jobs
+    return jobs.read_stream(spark, "json", {"path": str(folder), "maxFilesPerTrigger": "1"}, "value string")
+
+
+def test_old_news_is_stored(spark, tmp_path):
+    import json
+    from candela.streaming import jobs, logs
+    days = (40, 40, 0, 0, 0)
+    news = [[json.dumps({"url": f"u{i}", "title": "t", "published_at": (T0 + dt.timedelta(days=d)).isoformat()})] for i, d in enumerate(days)]
+    news.append(news[0])
+    stream = _messages_in_batches(spark, tmp_path, news)
+    jobs.stream_news(stream, str(tmp_path / "sink"), str(tmp_path / "ck")).awaitTermination()
+    stored = [r.url for r in logs.read_log(spark, str(tmp_path / "sink")).collect()]
+    assert sorted(stored) == [f"u{i}" for i in range(5)]
+
+
+def test_price_cache_keeps_unnumbered_candles_and_intervals(spark, tmp_path):
+    from candela.streaming import jobs
+    batches = [[_kline("A", 0, 1.0)], [_kline("A", 0, 2.0, seq=5)], [_kline("A", 0, 3.0, seq=4)], [_kline("A", 0, 4.0)], [_kline("A", 0, 9.0, interval="1h"), _kline("B", 1, 7.0)]]
+    stream = _messages_in_batches(spark, tmp_path, batches)
+    jobs.stream_last_n(stream, str(tmp_path / "sink"), str(tmp_path / "ck"), 3).awaitTermination()
+    got = {(r.symbol, r.interval): r.close for r in jobs.read_state(spark, str(tmp_path / "sink")).collect()}
+    assert got == {("A", "1m"): 2.0, ("A", "1h"): 9.0, ("B", "1m"): 7.0}
+
+
+def test_late_ticks_count(spark, tmp_path):
+    from candela.operators import candles as cd
+    from candela.streaming import jobs
+    rnd = random.Random(8)
+    ticks = [(i, "ab"[i % 2], T0 + dt.timedelta(minutes=rnd.randrange(6000)), rnd.random(), 1.0) for i in range(500)]
+    schema = "event_id long, symbol string, ts timestamp, price double, volume double"
+    for k in range(5):
+        spark.createDataFrame(ticks[k::5], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = jobs.read_stream(spark, "parquet", {"path": str(tmp_path / "in"), "maxFilesPerTrigger": "1"}, schema)
+    jobs.stream_candles(stream, str(tmp_path / "sink"), str(tmp_path / "ck")).awaitTermination()
+    got = {(r.symbol, r.ts): (r.open, r.high, r.low, r.close, r.volume) for r in jobs.read_candles(spark, str(tmp_path / "sink")).collect()}
+    bars = cd.resample(cd.ticks_as_bars(spark.createDataFrame(ticks, schema)), "1h", order=("ts", "event_id"))
+    assert got == {(r.symbol, r.ts): (r.open, r.high, r.low, r.close, r.volume) for r in bars.collect()}
