@@ -57,14 +57,19 @@ def template_words(text: str) -> list[str]:
     return re.findall("[0-9a-z]+", text.lower())
 
 
-def template_table(spark: SparkSession, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
-    """(tid, label, phrase, n_grams, n_words, tpos, t0, t1, h): one row per bigram of every template."""
+def template_rows(phrases=PHRASES, templates=TEMPLATES) -> list[tuple]:
+    """(tid, label, phrase, n_grams, n_words, tpos, t0, t1): one row per bigram of every template."""
     rows = []
     for tid, (phrase, label, text) in enumerate([(True, b, a) for a, b in phrases] + [(False, a, b) for a, b in templates]):
         words = template_words(text)
         grams = [(i, a, b) for i, (a, b) in enumerate(zip(words, words[1:])) if phrase or not {a, b} <= COMMON]
         rows += [(tid, label, int(phrase), len(grams), len(words), i, a, b) for i, a, b in grams]
-    table = values(spark, rows, "tid int,label string,phrase int,n_grams int,n_words int,tpos long,t0 string,t1 string")
+    return rows
+
+
+def template_table(spark: SparkSession, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
+    """``template_rows`` with the hash ``h`` of the bigram."""
+    table = values(spark, template_rows(phrases, templates), "tid int,label string,phrase int,n_grams int,n_words int,tpos long,t0 string,t1 string")
     return table.withColumn("h", F.xxhash64("t0", "t1"))
 
 

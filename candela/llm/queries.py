@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from candela.llm import boosting, decontaminate, langid, licenses, outliers, pieces, rans, secrets, shards, simhash
+from candela.llm import boosting, decontaminate, langid, licenses, oracles, outliers, pieces, rans, secrets, shards, simhash
 from candela.llm.common import crc_rest
 from candela.session import prepare, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_license_scan": oracles.license_scan(), "op3_decontaminate": oracles.decontaminated()}
 
 BATCH_ROWS = "1000"
 

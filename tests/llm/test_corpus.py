@@ -425,6 +425,13 @@ def _leaf(x, feature, cut):
     return node - len(feature)
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_against_sql(spark, name):
+    import oracle
+
+    assert oracle.compare(queries.QUERIES[name](spark, SF), oracle.connect(SF), queries.ORACLES[name]) is None
+
+
 # pipeline -----------------------------------------------------------------------------------------------------------
 
 def test_pipeline(spark, tmp_path):
