@@ -55,7 +55,14 @@ def resample_floor(df: DataFrame, interval: str | None, keys: Sequence[str] = ("
 
 
 def multi_timeframe(df: DataFrame, intervals: Sequence[str], order: Sequence[str] = ("ts",)) -> DataFrame:
-    """Bars of several intervals in one table with a ``timeframe`` column, in one pass."""
+    """Bars of several intervals in one table with a ``timeframe`` column.
+
+    The rows are merged to bars of the smallest interval first; only those are copied per interval, where all
+    intervals are multiples of it.
+    """
+    least = min(intervals, key=seconds)
+    if all(seconds(i) % seconds(least) == 0 for i in intervals):
+        df, order = _merge(df, least, order, ("symbol",), "ts"), ("ts",)
     spread = df.withColumn("timeframe", F.explode(F.array(*[F.lit(i) for i in intervals])))
     width = F.create_map(*[F.lit(x) for i in intervals for x in (i, seconds(i))])[F.col("timeframe")]
     start = F.timestamp_seconds(F.floor(F.unix_seconds("ts") / width) * width)

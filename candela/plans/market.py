@@ -494,6 +494,17 @@ def _(t):
     return rounded(ind.technical_indicators(t.indexed()).select("symbol", "ts", *TECH_COLS.split()))
 
 
+_FRAMES = ("15m", "1h", "4h")
+
+
+@query("a03_indicator_rows", sql_with(" ".join(f"c{i}" for i in _FRAMES), f"SELECT split_part(symbol, '|', 1) AS symbol, split_part(symbol, '|', 2) AS timeframe, ts, {Rs(TECH_COLS)} FROM tech", {
+    "i1h": "SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM (" + " UNION ALL ".join(
+        f"SELECT symbol || '|{i}' AS symbol, ts, open, high, low, close, volume FROM c{i}" for i in _FRAMES) + ")", **TECH}))
+def _(t):
+    bars = cd.multi_timeframe(cd.ticks_as_bars(t.ticks), _FRAMES, ("ts", "event_id"))
+    return rounded(ind.timeframe_indicators(bars, "15m").select("symbol", "timeframe", "ts", *TECH_COLS.split()))
+
+
 _FILL = {"rsi_14": 50.0, "stoch_rsi": 0.5, "bb_pos": 0.5, "sma_50": 0.0}
 
 

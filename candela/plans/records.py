@@ -528,6 +528,14 @@ def _(t):
     return tb.retain_valid(tokens, "1998-01-01").select("id")
 
 
+@query("p18_valid_tokens", sql_with("", "SELECT o_orderkey AS token_id FROM orders WHERE o_orderdate + INTERVAL 7 DAY > TIMESTAMP '1997-01-01' AND o_orderstatus <> 'F'"))
+def _(t):
+    tokens = t.raw("orders").select(
+        F.col("o_orderkey").alias("token_id"), (F.col("o_orderdate") + F.expr("interval 7 days")).alias("expires_at"),
+        (F.col("o_orderstatus") == "F").alias("is_revoked"))
+    return tb.valid_tokens(tokens, "1997-01-01").select("token_id")
+
+
 @query("a25_source_health", sql_with("articles", """SELECT source, count(*) AS crawl_count, max(rn) - coalesce(max(CASE WHEN NOT error THEN rn END), 0) AS error_count, max(published_at) AS last_crawled_at FROM (
     SELECT *, row_number() OVER (PARTITION BY source ORDER BY published_at, article_id) AS rn, sentiment_score < 0.3 AS error FROM articles) GROUP BY source"""))
 def _(t):

@@ -343,6 +343,13 @@ def _(t):
     return bt.backtest_history_all(results).select("user_id", "id")
 
 
+@query("m34_backtest_by_id", sql_with("", "SELECT o_custkey AS user_id, o_orderkey AS id FROM orders WHERE o_orderkey = (SELECT min(o_orderkey) FROM orders) AND o_custkey = (SELECT arg_min(o_custkey, o_orderkey) FROM orders)"))
+def _(t):
+    results = t.raw("orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("id"))
+    first = results.agg(F.min(F.struct("id", "user_id")).alias("r")).first().r
+    return bt.backtest_by_id(results, first.id, first.user_id)
+
+
 # ------------------------------------------------------------------ decisions on two horizons
 
 PAIR = {"pr": f"""SELECT a.pred_id, CASE a.pred WHEN 0 THEN 'SELL' WHEN 1 THEN 'HOLD' ELSE 'BUY' END AS signal_1h, CASE b.pred WHEN 0 THEN 'SELL' WHEN 1 THEN 'HOLD' ELSE 'BUY' END AS signal_4h,
