@@ -55,12 +55,23 @@ def _frequencies(counts: np.ndarray, bits: int) -> np.ndarray:
     return f
 
 
+def _counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct ids, the place of each id among them, and their counts."""
+    if ids.max() >= 1 << 22:  # no vocabulary; sorting needs no table of that size
+        return np.unique(ids, return_inverse=True, return_counts=True)
+    every = np.bincount(ids)
+    symbols = np.nonzero(every)[0]
+    place = np.zeros(len(every), np.int64)
+    place[symbols] = np.arange(len(symbols))
+    return symbols, place[ids], every[symbols]
+
+
 def encode_segment(ids: np.ndarray) -> bytes:
     """Bytes of one segment of ids (unsigned 32-bit)."""
     n = len(ids)
     if not n:
         return HEADER.pack(MAGIC, 0, 0, 0, 0, 0, 0)
-    symbols, index, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    symbols, index, counts = _counted(ids)
     bits = min(24, max(12, int(len(symbols) * 4 - 1).bit_length()))
     freq = _frequencies(counts.astype(np.int64), bits)
     start = np.concatenate([[0], freq.cumsum()[:-1]])
@@ -156,9 +167,58 @@ def decode_segment(data: bytes) -> np.ndarray:
     return ids[:n]
 
 
+JOINED = 2_000
 _LOADED: dict[str, UnitEncoder] = {}
 
 
+def _token_bytes(t) -> np.ndarray:
+    """UTF-8 bytes that each id of a byte-level vocabulary stands for (one per character of its token)."""
+    out = np.zeros(t.get_vocab_size(), np.int64)
+    for token, i in t.get_vocab().items():
+        out[i] = len(token)
+    return out
+
+
+class _Batches:
+    """Encodes units; plain words go to the library joined, as one call costs more than one word.
+
+    Pre-tokenization always cuts before a space that stands between two characters other than white space.  So the ids
+    of joined words are cut where the bytes of their tokens add up to those of the words.
+    """
+
+    def __init__(self, t):
+        self.t = t
+        self.sizes = _token_bytes(t)
+        self.byte_level = type(t.pre_tokenizer).__name__ == "ByteLevel" and t.normalizer is None
+
+    def _alone(self, units: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.t.encode_batch_fast(units, add_special_tokens=False)]
+
+    def __call__(self, units: list[str]) -> list[bytes]:
+        plain = [i for i, u in enumerate(units) if len(u) > 1 and u[0] == " " and not u[1].isspace() and not u[-1].isspace()]
+        if not self.byte_level:
+            return self._alone(units)
+        out: list[bytes] = [b""] * len(units)
+        held = set(plain)
+        rest = [i for i in range(len(units)) if i not in held]
+        for i, codes in zip(rest, self._alone([units[i] for i in rest])):
+            out[i] = codes
+        for at in range(0, len(plain), JOINED):
+            some = plain[at : at + JOINED]
+            words = [units[i] for i in some]
+            ids = np.array(self.t.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.cumsum([len(w.encode()) for w in words])
+            have = self.sizes[ids].cumsum()
+            cuts = np.searchsorted(have, ends) + 1
+            if not len(have) or (have[np.minimum(cuts, len(have)) - 1] != ends).any():
+                raise ValueError("the tokens do not add up to the words")
+            codes, start = ids.tobytes(), 0
+            for i, cut in zip(some, (4 * cuts).tolist()):
+                out[i] = codes[start:cut]
+                start = cut
+        return out
+
+
 def tokenizer(path: str) -> UnitEncoder:
     """One cached tokenizer per worker process and file; strings of special tokens are ordinary text."""
     if path not in _LOADED:
@@ -169,8 +229,7 @@ def tokenizer(path: str) -> UnitEncoder:
 
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True
-        _LOADED[path] = UnitEncoder(lambda units: [
-            array("I", e.ids).tobytes() for e in t.encode_batch_fast(units, add_special_tokens=False)])
+        _LOADED[path] = UnitEncoder(_Batches(t))
     return _LOADED[path]
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
+from itertools import islice
 
 CACHE_WORDS = 1_000_000
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= )")
@@ -14,7 +15,8 @@ class UnitEncoder:
     """``encode_batch`` turns a list of units into byte strings; known units come from the cache.
 
     A text is cut before every space that follows a character other than white space; the units with their spaces
-    concatenate to the text.  The cache is emptied when it holds ``limit`` units, which changes no result.
+    concatenate to the text.  When the cache holds ``limit`` units, the later half goes (common words come early); this
+    changes no result.
     """
 
     def __init__(self, encode_batch: Callable[[list[str]], Sequence[bytes]], limit: int = CACHE_WORDS):
@@ -33,7 +35,7 @@ class UnitEncoder:
     def encode(self, texts: Sequence[str]) -> list[list[bytes]]:
         """The codes of the units of each text.  The first unit of a text has no space before it."""
         if len(self.known) > self.limit:
-            self.known.clear()
+            self.known = dict(islice(self.known.items(), self.limit // 2))
         cut = [self.units(t) for t in texts]
         new: set[str] = set()
         for units in cut:
