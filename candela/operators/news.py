@@ -318,59 +318,45 @@ def tfidf_norms(vectors: DataFrame) -> DataFrame:
     return vectors.groupBy("article_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
 
 
-def novelty(news: DataFrame, hours: int = 24, column: str = "title", rare: int = 200) -> DataFrame:
+HALF_DAY = 12
+
+
+def novelty(news: DataFrame, hours: int = 24, column: str = "title") -> DataFrame:
     """1 - highest cosine similarity to an article of the ``hours`` before (exact).
 
-    * Copies with the same words within an hour are one group: only its first
-      member is compared, the others have similarity 1.
-    * Groups are compared through their rare words (at most ``rare`` documents,
-      so the pairs are bounded).  A group whose best similarity already reaches
-      the length of its frequent-word part cannot do better through frequent
-      words alone.
-    * Only the remaining groups are also joined through frequent words.
+    Copies with the same words within an hour are one group: only its first
+    member is compared, the others have similarity 1.  Groups meet through
+    their words and half-days; the products of the shared words are summed per
+    pair as they come out of the join, so no vector is fetched again and a
+    frequent word is split like any other large join key.
     """
     rows = token_rows(news, column)
-    weights = idf(rows, news)
-    words = tfidf(rows, weights).filter("weight > 0")
+    words = tfidf(rows, idf(rows, news)).filter("weight > 0")
     vectors = words.groupBy("article_id").agg(
-        F.array_sort(F.collect_list(F.struct("token", "weight", "df"))).alias("vec"),  # words of one text
+        F.array_sort(F.collect_list(F.struct("token", "weight"))).alias("vec"),  # words of one text
         F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
     base = durable(
         news.select("article_id", "published_at").join(vectors, ["article_id"])
-        .withColumn("key", F.sha2(F.to_json(F.transform("vec", lambda x: F.struct(x["token"], x["weight"]))), 256))
+        .withColumn("key", F.sha2(F.to_json("vec"), 256))
         .withColumn("hour", F.floor(F.unix_seconds("published_at") / 3600)))
     at = F.struct("published_at", "article_id")
     groups = durable(base.groupBy("key", "hour").agg(
         F.min(at).alias("first"), F.max("published_at").alias("last"), F.min_by("vec", at).alias("vec"),
         F.min_by("norm", at).alias("norm")).withColumn("gid", F.col("first.article_id")))
-    hot = F.filter("vec", lambda x: x["df"] > rare)
-    rest = F.sqrt(F.aggregate(hot, F.lit(0.0), lambda a, x: a + x["weight"] * x["weight"])) / F.col("norm")
-
-    def posted(df: DataFrame, frequent: bool) -> DataFrame:
-        test = (lambda x: x["df"] > rare) if frequent else (lambda x: x["df"] <= rare)
-        return df.withColumn("word", F.explode(F.transform(F.filter("vec", test), lambda x: x["token"])))
-
-    def best(probes: DataFrame, frequent: bool) -> DataFrame:
-        """Highest similarity of each probe to an earlier group sharing such a word."""
-        left = posted(probes, frequent).select("word", F.col("gid").alias("a"), F.col("first").alias("fa"),
-                                               F.explode(F.sequence(F.col("hour") - hours, F.col("hour"))).alias("hour"))
-        right = posted(groups, frequent).select("word", "hour", F.col("gid").alias("b"), F.col("first").alias("fb"), F.col("last").alias("lb"))
-        near = F.unix_micros("lb") >= F.unix_micros("fa.published_at") - hours * 3_600_000_000
-        pairs = left.join(right, ["word", "hour"]).filter((F.col("fb") < F.col("fa")) & near).select("a", "b").distinct()
-        va = groups.select(F.col("gid").alias("a"), F.col("vec").alias("x"), F.col("norm").alias("nx"))
-        vb = groups.select(F.col("gid").alias("b"), F.map_from_arrays(
-            F.transform("vec", lambda x: x["token"]), F.transform("vec", lambda x: x["weight"])).alias("y"), F.col("norm").alias("ny"))
-        dot = F.aggregate("x", F.lit(0.0), lambda s, w: s + w["weight"] * F.coalesce(F.try_element_at("y", w["token"]), F.lit(0.0)))
-        return pairs.join(va, ["a"]).join(vb, ["b"]).groupBy(F.col("a").alias("gid")).agg(
-            F.max(dot / (F.col("nx") * F.col("ny"))).alias("sim"))
-
-    by_rare = groups.join(best(groups, False), ["gid"], "left").withColumn("sim", F.coalesce("sim", F.lit(0.0)))
-    by_rare = durable(by_rare.withColumn("rest", rest))
-    open_probes = by_rare.filter(F.col("rest") > F.col("sim"))
-    by_hot = best(open_probes, True).withColumnRenamed("sim", "sim_hot")
-    sims = by_rare.join(by_hot, ["gid"], "left").select("gid", F.greatest("sim", F.coalesce("sim_hot", F.lit(0.0))).alias("sim"))
-    firsts = base.join(groups.select("key", "hour", "gid"), ["key", "hour"]).join(sims, ["gid"])
-    sim = F.when(F.col("article_id") == F.col("gid"), F.col("sim")).otherwise(F.lit(1.0))
+    half = lambda hour: F.floor(hour / F.lit(HALF_DAY))
+    posted = groups.select("gid", "hour", "first", "last", "norm", F.explode("vec").alias("w")).select(
+        "gid", "hour", "first", "last", F.col("w.token").alias("word"), (F.col("w.weight") / F.col("norm")).alias("share"))
+    left = posted.select(
+        "word", F.col("gid").alias("a"), F.col("first").alias("fa"), F.col("share").alias("x"),
+        F.explode(F.sequence(half(F.col("hour") - hours), half(F.col("hour")))).alias("half"))
+    right = posted.select("word", F.col("gid").alias("b"), F.col("first").alias("fb"), F.col("last").alias("lb"),
+                          F.col("share").alias("y"), half(F.col("hour")).alias("half"))
+    near = F.unix_micros("lb") >= F.unix_micros("fa.published_at") - hours * 3_600_000_000
+    dots = left.join(right, ["word", "half"]).filter((F.col("fb") < F.col("fa")) & near).groupBy("a", "b").agg(
+        F.sum(F.col("x") * F.col("y")).alias("dot"))
+    sims = dots.groupBy(F.col("a").alias("gid")).agg(F.max("dot").alias("best"))
+    firsts = base.join(groups.select("key", "hour", "gid"), ["key", "hour"]).join(sims, ["gid"], "left")
+    sim = F.when(F.col("article_id") == F.col("gid"), F.coalesce("best", F.lit(0.0))).otherwise(F.lit(1.0))
     known = firsts.select("article_id", sim.alias("similarity"))
     return news.select("article_id").join(known, ["article_id"], "left").select(
         "article_id", F.coalesce("similarity", F.lit(0.0)).alias("similarity"),
