@@ -118,7 +118,7 @@ def infer_interval(df: DataFrame, keys: Sequence[str] = ("symbol",), rn: str = "
     gaps = blocked(
         df, 1, lambda d, w: d.withColumn("gap", F.unix_seconds("ts") - F.lag(F.unix_seconds("ts")).over(w)), keys, rn
     ).filter("gap is not null").withColumn("gap", F.col("gap").cast("double"))
-    median = exact_quantiles(gaps, "gap", {"median_gap": 0.5}, rn, keys)
+    median = exact_quantiles(gaps, "gap", {"median_gap": 0.5}, keys)
     return median.withColumn("is_1m", (F.col("median_gap") / 60.0).between(0.5, 2.0))
 
 

@@ -56,7 +56,7 @@ def factor_label_stats(labels: DataFrame, size: int) -> DataFrame:
         F.count(F.lit(1)).alias("total"), F.avg(F.col("matched").cast("int")).alias("matched_share"),
         F.avg((F.col("top") > 0.4).cast("int")).alias("dominant_share"), F.avg("top").alias("mean_max_prob"),
         F.avg("ent").alias("mean_entropy"), *[F.sum((F.col("arg") == i).cast("bigint")).alias(f"top{i}") for i in range(size)])
-    median = exact_quantiles(rows, "top", {"median_max_prob": 0.5}, "article_id")
+    median = exact_quantiles(rows, "top", {"median_max_prob": 0.5})
     return stats.join(F.broadcast(median))  # one row each
 
 
@@ -262,7 +262,7 @@ def direction_weights(train: DataFrame, mode: str = "sqrt", classes: int = 3) ->
 def return_scale(train: DataFrame, order_id: str, column: str = "ret") -> DataFrame:
     """Largest of the 75 % quantile of absolute returns, their deviation and 1e-4."""
     rows = train.select(F.col(order_id), F.abs(column).alias("_a"))
-    q = exact_quantiles(rows, "_a", {"q75": 0.75}, order_id)
+    q = exact_quantiles(rows, "_a", {"q75": 0.75})
     dev = train.agg(F.stddev_pop(column).alias("std"))
     return q.join(F.broadcast(dev)).withColumn("scale", F.greatest("q75", "std", F.lit(1e-4)))  # one row each
 
@@ -272,7 +272,7 @@ def dataset_summary(samples: DataFrame, counts: DataFrame) -> DataFrame:
     balance = [F.avg((F.col("direction") == c).cast("int")).alias(n) for c, n in ((0, "down"), (1, "neutral"), (2, "up"))]
     base = samples.agg(F.count(F.lit(1)).alias("rows"), F.min("ts").alias("ts_min"), F.max("ts").alias("ts_max"), *balance)
     spread = counts.agg(F.avg("n").alias("articles_avg"), F.min("n").alias("articles_min"), F.max("n").alias("articles_max"))
-    median = exact_quantiles(counts.withColumn("n", F.col("n").cast("double")), "n", {"articles_median": 0.5}, "candle_ts")
+    median = exact_quantiles(counts.withColumn("n", F.col("n").cast("double")), "n", {"articles_median": 0.5})
     return base.join(F.broadcast(spread)).join(F.broadcast(median))  # one row each
 
 

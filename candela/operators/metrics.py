@@ -102,11 +102,12 @@ TEMPERATURE_RANGE = (0.5, 2.5)
 
 
 def temperature_nll(df: DataFrame, grid: Sequence[float] = TEMPERATURES) -> DataFrame:
-    """Mean negative log-likelihood of the true class per temperature, in one pass."""
-    def nll(t: Column) -> Column:
-        return -F.log(clip(F.element_at(temperature_softmax(F.col("logits"), t), F.col("label") + 1), 1e-8, 1.0))
-    rows = df.select(F.posexplode(F.transform(F.array(*[F.lit(float(g)) for g in grid]), lambda t: F.struct(t.alias("temperature"), nll(t).alias("nll")))).alias("i", "x"))
-    return rows.groupBy("i", "x.temperature").agg(F.avg("x.nll").alias("nll"))
+    """Mean negative log-likelihood of the true class per temperature: one mean each, side by side."""
+    def nll(t: float) -> Column:
+        return -F.log(clip(F.element_at(temperature_softmax(F.col("logits"), F.lit(t)), F.col("label") + 1), 1e-8, 1.0))
+    means = df.agg(*[F.avg(nll(float(g))).alias(f"_n{i}") for i, g in enumerate(grid)])
+    pairs = F.array(*[F.struct(F.lit(float(g)).alias("temperature"), F.col(f"_n{i}").alias("nll")) for i, g in enumerate(grid)])
+    return means.select(F.posexplode(pairs).alias("i", "x")).select("i", "x.temperature", "x.nll").filter("nll is not null")
 
 
 def fit_temperature(df: DataFrame, grid: Sequence[float] = TEMPERATURES) -> DataFrame:
@@ -210,8 +211,8 @@ ALERT_COST = 0.001
 
 def thresholds(df: DataFrame, order_id: str, tau: float = 0.70, gamma: float = 0.60, conf: str = "confidence") -> DataFrame:
     """Adaptive thresholds: quantiles of confidence and of the largest probability."""
-    a = exact_quantiles(df, conf, {"tau": tau}, order_id)
-    return a.join(F.broadcast(exact_quantiles(df, "max_prob", {"gamma": gamma}, order_id)))  # one row each
+    a = exact_quantiles(df, conf, {"tau": tau})
+    return a.join(F.broadcast(exact_quantiles(df, "max_prob", {"gamma": gamma})))  # one row each
 
 
 def fixed_thresholds(df: DataFrame, tau: float, gamma: float) -> DataFrame:
@@ -336,8 +337,8 @@ TAU_GRID, GAMMA_GRID = (0.35, 0.50, 0.70, 0.80), (0.35, 0.50, 0.60, 0.80)
 
 def policy_grid(df: DataFrame, order_id: str, conf: str = "confidence") -> DataFrame:
     """One row with the array of all (tau, gamma) pairs of the quantile grid."""
-    t = exact_quantiles(df, conf, {f"t{i}": p for i, p in enumerate(TAU_GRID)}, order_id)
-    g = exact_quantiles(df, "max_prob", {f"g{i}": p for i, p in enumerate(GAMMA_GRID)}, order_id)
+    t = exact_quantiles(df, conf, {f"t{i}": p for i, p in enumerate(TAU_GRID)})
+    g = exact_quantiles(df, "max_prob", {f"g{i}": p for i, p in enumerate(GAMMA_GRID)})
     taus = F.array_sort(F.array_distinct(F.array(*[F.col(f"t{i}") for i in range(4)])))
     gammas = F.array_sort(F.array_distinct(F.array(*[F.col(f"g{i}") for i in range(4)])))
     pairs = F.flatten(F.transform(taus, lambda a, i: F.transform(gammas, lambda b, j: F.struct(
@@ -418,7 +419,7 @@ def occlusion_stats(df: DataFrame, order_id: str, margin: float = 0.05, full: st
     stats = rows.agg(F.count(F.lit(1)).alias("num_samples"), F.avg("gap").alias("gap_mean"), F.stddev_pop("gap").alias("gap_std"),
                      F.min("gap").alias("gap_min"), F.max("gap").alias("gap_max"), F.avg((F.col("gap") > margin).cast("int")).alias("fidelity_ratio"),
                      F.avg((F.col("gap") > 0).cast("int")).alias("positive_ratio"), F.avg("_c").alias("direction_change_ratio"))
-    return stats.join(F.broadcast(exact_quantiles(rows, "gap", {"gap_median": 0.5}, order_id)))  # one row each
+    return stats.join(F.broadcast(exact_quantiles(rows, "gap", {"gap_median": 0.5})))  # one row each
 
 
 def correlation(df: DataFrame, a: str, b: str, name: str = "correlation") -> DataFrame:
@@ -430,7 +431,7 @@ def factor_consistency(df: DataFrame, a: str, b: str, order_id: str) -> DataFram
     union = F.size(F.array_union(a, b))
     rows = df.select(order_id, F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / union).alias("j"))
     return rows.agg(F.count(F.lit(1)).alias("num_samples"), F.avg("j").alias("jaccard_mean")).join(
-        F.broadcast(exact_quantiles(rows, "j", {"jaccard_median": 0.5}, order_id)))  # one row each
+        F.broadcast(exact_quantiles(rows, "j", {"jaccard_median": 0.5})))  # one row each
 
 
 def mode_agreement(df: DataFrame, sample: str, factor: str) -> DataFrame:
@@ -501,7 +502,7 @@ def majority_baseline(df: DataFrame) -> DataFrame:
 
 def momentum_baseline(train: DataFrame, test: DataFrame, signal: str, order_id: str) -> DataFrame:
     """Down, neutral or up by the train quantiles of one signal."""
-    q = exact_quantiles(train, signal, {"q_low": 0.33, "q_high": 0.67, "_mid": 0.5}, order_id)
+    q = exact_quantiles(train, signal, {"q_low": 0.33, "q_high": 0.67, "_mid": 0.5})
     spread = train.agg((F.stddev_pop(signal) + 1e-8).alias("_sd"))
     x = F.col(signal)
     rows = test.drop("pred", "confidence", "probs", "max_prob").join(F.broadcast(q.join(F.broadcast(spread))))  # one row

@@ -158,26 +158,28 @@ def running(
 
 
 def exact_quantiles(
-    df: DataFrame, column: str, wanted: dict[str, float], order_id: str, keys: Sequence[str] = (),
+    df: DataFrame, column: str, wanted: dict[str, float], keys: Sequence[str] = (),
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles of ``column`` (one row per key).
 
-    Positions come from ``ordered_index``; only the (at most two) neighbouring
-    rows of each quantile are picked, so nothing is collected into one task.
+    Rows are counted per distinct value before anything is sorted.  Prefix sums of the counts give the positions
+    that a value covers; only the (at most two) values around each quantile are picked, so nothing is collected into
+    one task.
     """
     keys = list(keys)
-    rows = df.select(*keys, F.col(column).alias("_x"), F.col(order_id).alias("_id")).filter("_x is not null")
-    indexed = ordered_index(rows, ["_x", "_id"], keys)
-    size = indexed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    picked = indexed.join(size, keys) if keys else indexed.join(F.broadcast(size))  # one row
+    values = df.select(*keys, F.col(column).alias("_x")).filter("_x is not null").groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c"))
+    placed = running(ordered_index(values, ["_x"], keys), {"_upto": ("sum", "_c")}, keys)
+    size = values.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    picked = placed.join(size, keys) if keys else placed.join(F.broadcast(size))  # one row
     aggs = []
     near = F.lit(False)
+    covers = lambda r: (F.col("_upto") >= r) & (F.col("_upto") - F.col("_c") < r)
     for name, p in wanted.items():
         at = F.lit(float(p)) * (F.col("_n") - 1)
         lo, hi = F.floor(at) + 1, F.ceil(at) + 1
-        near = near | (F.col("rn") == lo) | (F.col("rn") == hi)
-        low = F.max(F.when(F.col("rn") == lo, F.col("_x")))
-        high = F.max(F.when(F.col("rn") == hi, F.col("_x")))
+        near = near | covers(lo) | covers(hi)
+        low = F.max(F.when(covers(lo), F.col("_x")))
+        high = F.max(F.when(covers(hi), F.col("_x")))
         frac = F.max(at - F.floor(at))
         aggs.append((low + (high - low) * frac).alias(name))
     return picked.filter(near).groupBy(*keys).agg(*aggs)

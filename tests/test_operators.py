@@ -78,7 +78,7 @@ def test_running_with_small_blocks(spark):
 def test_exact_quantiles_match_interpolation(spark):
     xs = [5.0, 1.0, 9.0, 9.0, 2.5, 7.0]
     df = spark.createDataFrame(list(enumerate(xs)), "id int, x double")
-    got = exact_quantiles(df, "x", {"a": 0.25, "b": 0.5, "c": 0.9}, "id").first()
+    got = exact_quantiles(df, "x", {"a": 0.25, "b": 0.5, "c": 0.9}).first()
     s = sorted(xs)
     for p, g in zip((0.25, 0.5, 0.9), got):
         at = p * (len(s) - 1)
