@@ -345,6 +345,20 @@ def _(t):
     return rounded(nw.novelty(t.articles))
 
 
+NOVELTY_BODY = f"SELECT article_id, {R('coalesce(s, 0)')} AS similarity, {R('1 - coalesce(s, 0)')} AS novelty FROM articles LEFT JOIN sim USING (article_id)"
+TOK_OF = lambda text: {k: v.replace("regexp_extract_all(title", f"regexp_extract_all({text}") for k, v in TOK.items()}
+
+
+@query("f42_novelty_content", sql_with("articles", NOVELTY_BODY, TOK_OF("content")))
+def _(t):
+    return rounded(nw.novelty(t.articles, column="content"))
+
+
+@query("f42_novelty_title_and_content", sql_with("articles", NOVELTY_BODY, TOK_OF("title || ' ' || content")))
+def _(t):
+    return rounded(nw.novelty(t.articles.withColumn("both", F.concat_ws(" ", "title", "content")), column="both"))
+
+
 @query("j13_similarity_join", sql_with("articles", f"SELECT article_id, {R('coalesce(s, 0)')} AS similarity FROM articles LEFT JOIN sim USING (article_id)", TOK))
 def _(t):
     return rounded(nw.similarity_join(t.articles.select("article_id", "title", "published_at")))
