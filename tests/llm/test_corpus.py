@@ -6,11 +6,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from corpus_rows import SF, prose, row
 from pyspark.sql import functions as F
 
 from candela.llm import boosting, decontaminate, langid, licenses, outliers, pieces, queries, rans, secrets, shards, simhash
 
-SF = "/root/testdata/sf0.001"
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -196,8 +196,6 @@ def test_components_of_a_chain(spark):
 
 
 def test_near_copies(spark, awkward):
-    from conftest import prose, row
-
     base = prose(11, 400).split()
     near = base[:]
     near[100] = near[300] = "changed"
@@ -235,8 +233,6 @@ def test_quality_rules(spark, documents, awkward, empty):
 
 
 def test_outliers_of_a_group_are_found(spark):
-    from conftest import prose
-
     clean = [(i, prose(i, 120) + f" w{i} v{i}", "en", "a") for i in range(150)]
     junk = [(1000 + i, " ".join(w + "###" for w in prose(500 + i, 120).split()), "en", "a") for i in range(20)]
     docs = spark.createDataFrame(clean + junk, "doc_id long, text string, lang string, source string")
@@ -454,3 +450,15 @@ def test_pipeline(spark, tmp_path):
     texts = dict(rows_of(spark.read.parquet(str(tmp_path / "secret_scans"))))
     assert not any(plain_secrets(t) for t in texts.values())
     assert kept.filter(~F.col("round_trip")).count() == 0
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_take_awkward_and_empty_tables(spark, awkward, empty, stage):
+    import corpus_pipeline
+
+    name, work = corpus_pipeline.STAGES[stage]
+    out = work(spark, awkward, SF)
+    if stage < 4:
+        assert out.columns == awkward.columns
+    assert out.count() == awkward.count() if stage in (2, 3, 4) else 0 < out.count() <= awkward.count()
+    assert work(spark, empty, SF).count() == 0
