@@ -98,8 +98,8 @@ def _(t):
     path = scratch_path(t.spark, "late")
     rows = _messages(t)
     for test in ("offset >= 4000", "offset < 4000"):
-        rows.filter(test).select(F.to_json(F.struct("offset", "value")).alias("value")).coalesce(1).write.mode("append").text(path)
-    src = jobs.read_stream(t.spark, "json", {"path": path, "maxFilesPerTrigger": "1"}, "offset bigint, value string")
+        rows.filter(test).select(F.to_json(F.struct("offset", "value")).alias("value")).write.mode("append").text(path)
+    src = jobs.read_stream(t.spark, "json", {"path": path, "maxFilesPerTrigger": "4"}, "offset bigint, value string")
     sink = scratch_path(t.spark, "late-sink")
     jobs.stream_klines(src, sink, scratch_path(t.spark, "late-ck"), order="offset").awaitTermination()
     return jobs.read_klines(t.spark, sink)
@@ -307,7 +307,7 @@ def _(t):
 def _(t):
     path = scratch_path(t.spark, "ohlcv")
     rows = t.candles().select("symbol", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias(" DateTime "), *cd.OHLCV)
-    rows.orderBy("symbol").coalesce(1).drop("symbol").write.option("header", True).option("ignoreLeadingWhiteSpace", False).csv(path)
+    rows.orderBy("symbol").drop("symbol").write.option("header", True).option("ignoreLeadingWhiteSpace", False).csv(path)
     return files.read_ohlcv(t.spark, path, "X").select("symbol", "ts", "close", "volume")
 
 

@@ -36,15 +36,16 @@ def rename_time_column(df: DataFrame, to: str = "timestamp") -> DataFrame:
 
 def read_ohlcv(spark: SparkSession, path: str, symbol: str) -> DataFrame:
     """Candle CSV: find the time column, drop unreadable times, keep the last row per time."""
-    raw = spark.read.csv(path, header=True)
-    raw = rename_time_column(raw.toDF(*[c.strip().lstrip("﻿") for c in raw.columns]))
+    read = spark.read.csv(path, header=True)
+    at = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())  # file order
+    raw = read.select("*", at.alias("_at")).toDF(*[c.strip().lstrip("﻿") for c in read.columns], "_at")
+    raw = rename_time_column(raw)
     names = {clean_name(c): c for c in raw.columns}
     missing = [c for c in OHLCV if c not in names]
     if missing or "timestamp" not in raw.columns:
         raise ValueError(f"candle file lacks columns: {missing or ['timestamp']}")
-    at = F.monotonically_increasing_id()  # file order
     rows = raw.select(F.lit(symbol).alias("symbol"), to_ts(F.col("timestamp"), 1e12).alias("ts"),
-                      *[F.col(names[c]).try_cast("double").alias(c) for c in OHLCV], at.alias("_at"))
+                      *[F.col(names[c]).try_cast("double").alias(c) for c in OHLCV], "_at")
     return dedupe_latest(rows.filter("ts is not null"), ["symbol", "ts"], "_at").drop("_at")
 
 
