@@ -197,7 +197,8 @@ def _grouped(rows: DataFrame, cells, radius: int, tile: int) -> DataFrame:
     cell, steps = cells(nodes)
     roots = components(stored(tile_links(nodes, cell, steps, radius, tile), "links"))
     groups = stored(nodes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root")), "groups")
-    least = groups.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    # stored, so that adaptive execution sees two plain shuffles and can split a component with most of the groups
+    least = stored(groups.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
     named = groups.join(least, "root").select("node", "root", "component_id")
     return rows.join(named, "node").select("doc_id", "text_key", F.col("fp")[0].alias("fp"), "component_id", "root")
 
