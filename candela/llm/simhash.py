@@ -11,6 +11,10 @@
    It gives a spanning forest of its links, never all pairs, so dense groups stay small and no link between components
    is lost.  Pairs of tiles are dealt out by tile, so a large cell is the work of many tasks.
 4. Components come from rounds of large-star and small-star steps, each written to the shared folder.
+5. For near copies these components only gather candidates: their fingerprints are made of distinct shingles, with a
+   radius well beyond the similarity that is asked for.  Inside each of them the sets of shingles are compared, and only
+   pairs that are similar enough are links; components of those links are the groups.  Components of many shingles are
+   cut into tiles of about ``TILE_SHINGLES``, compared two by two.
 
 Null and empty texts have fingerprint zero and are linked like any other.  Rows without an id take part; the component
 id is the smallest id that is there (null if there is none).  Repeated rows get the same answer each.
@@ -34,9 +38,11 @@ BITS = 64
 PARTS = 4
 TILE = 4096
 ROWS_AT_ONCE = 512
+TILE_SHINGLES = 1 << 19
 
-# near copies: five-word shingles of similarity 0.8 or more differ in about 15 % of the bits, 39 of 256
-COPY_WIDTH, COPY_BITS, COPY_RADIUS, COPY_SIMILARITY = 5, 256, 48, 0.8
+# near copies: sets of five-word shingles of similarity 0.8 differ in about 15 % of the bits, 39 of 256 (48 for four shingles
+# against five), with a deviation of 6; unrelated ones in 128
+COPY_WIDTH, COPY_BITS, COPY_RADIUS, COPY_SIMILARITY = 5, 256, 76, 0.8
 
 
 def _hashes(shingles: list[bytes], bits: int) -> np.ndarray:
@@ -50,6 +56,18 @@ def _hashes(shingles: list[bytes], bits: int) -> np.ndarray:
     return np.frombuffer(b"".join([d(s, seed) for s in shingles for seed in range(bits // 128)]), np.uint8).reshape(-1, bits // 8)
 
 
+def _shingles(words: list[bytes], width: int) -> Iterator[list[bytes]]:
+    """All shingles, a long text in bounded pieces."""
+    for at in range(0, max(1, len(words) - width + 1), 16384):
+        some = words[at : at + 16384 + width - 1]
+        if len(some) <= width:
+            yield [b" ".join(some)]
+        elif width == 3:
+            yield [b"%b %b %b" % t for t in zip(some, some[1:], some[2:])]
+        else:
+            yield [b" ".join(t) for t in zip(*(some[i:] for i in range(width)))]
+
+
 def fingerprint(data: bytes, width: int = WIDTH, bits: int = BITS) -> tuple[np.ndarray, int]:
     """64-bit words of the majority of each bit over all shingles, and the number of shingles; A-Z is lower-cased."""
     words = data.lower().split()  # on bytes: ASCII letters and ASCII white space only
@@ -57,18 +75,32 @@ def fingerprint(data: bytes, width: int = WIDTH, bits: int = BITS) -> tuple[np.n
         return np.zeros(bits // 64, np.uint64), 0
     n = max(1, len(words) - width + 1)
     total = np.zeros(bits, np.int64)
-    for at in range(0, n, 16384):  # a long text in bounded pieces
-        some = words[at : at + 16384 + width - 1]
-        if len(some) <= width:
-            shingles = [b" ".join(some)]
-        elif width == 3:
-            shingles = [b"%b %b %b" % t for t in zip(some, some[1:], some[2:])]
-        else:
-            shingles = [b" ".join(t) for t in zip(*(some[i:] for i in range(width)))]
+    for shingles in _shingles(words, width):
         total += np.unpackbits(_hashes(shingles, bits), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return np.packbits(2 * total > n, bitorder="little").view("<u8"), n
 
 
+def shingle_set(data: bytes, width: int = COPY_WIDTH, bits: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted 64-bit hashes of the distinct shingles, and the ``bits`` wide hashes in the same order."""
+    words = data.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64), np.zeros((0, bits // 8), np.uint8)
+    wide = np.concatenate([_hashes(shingles, bits) for shingles in _shingles(words, width)])
+    short, at = np.unique(np.ascontiguousarray(wide[:, :8]).view("<u8")[:, 0], return_index=True)
+    return short, wide[at]
+
+
+def set_fingerprint(data: bytes, width: int, bits: int) -> tuple[int, np.ndarray, int]:
+    """Key of the set of shingles, words of the majority of each bit over it, and its size."""
+    import xxhash
+
+    short, wide = shingle_set(data, width, bits)
+    total = np.zeros(bits, np.int64)
+    for at in range(0, len(wide), 16384):
+        total += np.unpackbits(wide[at : at + 16384], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return xxhash.xxh64_intdigest(short.tobytes(), 42), np.packbits(2 * total > len(short), bitorder="little").view("<u8"), len(short)
+
+
 def fingerprints(docs: DataFrame, width: int = WIDTH, bits: int = BITS) -> DataFrame:
     """(doc_id, text_key, node, fp, n): ``fp`` the words of the fingerprint, ``node`` its key, ``n`` its shingles."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -81,6 +113,18 @@ def fingerprints(docs: DataFrame, width: int = WIDTH, bits: int = BITS) -> DataF
     return made.withColumn("node", F.col("fp")[0] if bits == 64 else F.xxhash64("fp"))
 
 
+def set_fingerprints(docs: DataFrame, width: int = COPY_WIDTH, bits: int = COPY_BITS) -> DataFrame:
+    """As ``fingerprints``, over distinct shingles; ``node`` is the key of the set."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [set_fingerprint(t.encode() if isinstance(t, str) else b"", width, bits) for t in b["text"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "text_key": b["text_key"], "fp": [f.view(np.int64) for _, f, _ in found],
+                                "n": [n for _, _, n in found], "node": np.array([k for k, _, _ in found], np.uint64).view(np.int64)})
+
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.xxhash64(F.col("text").isNull(), F.col("text")).alias("text_key"))
+    return long_id(rows.mapInPandas(run, "doc_id string, text_key long, fp array<long>, n long, node long"))
+
+
 def _forest(hit: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     """Links that connect what ``hit`` (rows ``a``, columns ``b``) connects, one fewer than there are members."""
     rows, cols = np.nonzero(hit.any(1))[0], np.nonzero(hit.any(0))[0]
@@ -133,7 +177,7 @@ def cells_by_counts(rows: DataFrame, radius: int) -> tuple[Column, list[int]]:
 
 def cells_by_size(rows: DataFrame, similarity: float) -> tuple[Column, list[int]]:
     """Range of the number of shingles; texts at least that similar are in the same or the next range."""
-    step = float(-np.log(similarity))
+    step = float(-np.log(similarity - 1e-9))  # a ratio of exactly the similarity must not be rounded beyond the next range
     return F.floor(F.log(F.greatest(rows["n"], F.lit(1)).cast("double")) / F.lit(step)).cast("int"), [0, 1]
 
 
@@ -191,11 +235,102 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _grouped(rows: DataFrame, cells, radius: int, tile: int) -> DataFrame:
-    """(doc_id, text_key, fp, component_id, root) of stored fingerprints."""
-    nodes = stored(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.min("n").alias("n"), F.min("doc_id").alias("first_id")), "distinct")
-    cell, steps = cells(nodes)
-    roots = components(stored(tile_links(nodes, cell, steps, radius, tile), "links"))
+class Tile:
+    """Sets of shingles: nodes, their fingerprints, and hashes ``values[starts[i]:starts[i + 1]]``."""
+
+    def __init__(self, nodes: np.ndarray, words: np.ndarray, sizes: np.ndarray, values: np.ndarray):
+        self.nodes, self.words, self.sizes, self.values = nodes, words.view(np.uint64).reshape(len(nodes), -1), sizes.astype(np.int64), values
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
+
+
+def similar_links(a: Tile, b: Tile, radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Links that connect what the pairs of ``a`` and ``b`` of that similarity connect; pairs beyond the radius are not compared."""
+    _, at = np.unique(np.concatenate([a.nodes, b.nodes]), return_inverse=True)
+    at_a, at_b = at[: len(a.nodes)], at[len(a.nodes) :]
+    group = np.arange(len(at))  # of each node: pairs that are connected already are not compared
+    known, in_b = np.unique(b.values, return_inverse=True)
+    in_a = np.minimum(np.searchsorted(known, a.values), max(len(known) - 1, 0))
+    shared = known[in_a] == a.values if len(known) else np.zeros(len(a.values), bool)
+    mark = np.zeros(len(known), bool)
+    links: list[tuple[int, int]] = []
+    for i, n in enumerate(a.sizes):
+        others = group[at_b]
+        fit = (others != group[at_a[i]]) & (np.minimum(n, b.sizes) + 1e-9 >= similarity * np.maximum(n, b.sizes))
+        if a is b:
+            fit[: i + 1] = False
+        cols = np.nonzero(fit)[0]
+        cols = cols[np.bitwise_count(a.words[i] ^ b.words[cols]).sum(axis=1, dtype=np.int64) <= radius]
+        if not len(cols):
+            continue
+        span = slice(a.starts[i], a.starts[i + 1])
+        mine = in_a[span][shared[span]]
+        mark[mine] = True
+        sizes = b.sizes[cols]
+        begin = np.cumsum(sizes) - sizes
+        both = np.add.reduceat(mark[in_b[np.repeat(b.starts[cols] - begin, sizes) + np.arange(sizes.sum())]], begin, dtype=np.int64)
+        mark[mine] = False
+        cols = cols[both + 1e-9 >= similarity * (n + sizes - both)]
+        joined, first = np.unique(others[cols], return_index=True)
+        links += [(int(a.nodes[i]), int(b.nodes[j])) for j in cols[first]]
+        group[np.isin(group, joined)] = group[at_a[i]]
+    return links
+
+
+def similar_pairs(docs: DataFrame, nodes: DataFrame, roots: DataFrame, width: int, radius: int, similarity: float, tile: int) -> DataFrame:
+    """(u, v): a spanning set of the links between nodes of a component of candidates whose sets of shingles are similar."""
+    wanted = stored(nodes.join(roots, "node").select("node", "fp", "n", "root", "one.*", cells_by_size(nodes, similarity)[0].alias("cell")), "candidates")
+    totals = stored(wanted.groupBy("root", "cell").agg(F.sum("n").alias("total")), "totals")
+    large = totals.groupBy("root").agg(F.sum("total").alias("all")).filter(F.col("all") > tile).select("root")
+    # components of more than a tile, by size: fewer than all shingles / tile times the ranges of a component
+    parts = stored(totals.join(F.broadcast(large), "root").select("root", "cell", F.ceil(F.col("total") / F.lit(tile)).cast("int").alias("n_parts")), "parts")
+    placed = wanted.join(F.broadcast(parts), ["root", "cell"], "left").select(
+        "node", "fp", "root", "id", "key", F.when(F.col("n_parts").isNotNull(), F.col("cell")).otherwise(0).alias("cell"),
+        F.coalesce(F.pmod(F.xxhash64("node", F.lit("part")), F.col("n_parts")), F.lit(0)).cast("int").alias("part"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text", F.xxhash64(docs["text"].isNull(), docs["text"]).alias("_key"))
+    named = texts.join(placed, texts["_id"].eqNullSafe(placed["id"]) & (texts["_key"] == placed["key"])).select(
+        "node", "fp", "root", "cell", "part", "text").dropDuplicates(["node"])
+
+    def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b["values"] = [shingle_set(t.encode() if isinstance(t, str) else b"", width)[0].view(np.int64) for t in b["text"]]
+            yield b.drop(columns="text")
+
+    sets = named.mapInPandas(shingled, "node long, fp array<long>, root long, cell int, part int, values array<long>")
+    tiles = stored(sets.groupBy("root", "cell", "part").agg(F.collect_list(F.struct("node", "fp", "values")).alias("rows")).select(
+        "root", "cell", "part", F.col("rows.node").alias("nodes"), F.flatten("rows.fp").alias("words"),
+        F.transform("rows.values", F.size).alias("sizes"), F.flatten("rows.values").alias("values")), "sets")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for i in range(batch.num_rows):
+                sides = [Tile(*(batch.column(k + c)[i].values.to_numpy() for c in range(4))) for k in range(0, batch.num_columns, 4)]
+                found += similar_links(sides[0], sides[-1], radius, similarity)
+            u, v = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    columns = ["nodes", "words", "sizes", "values"]
+    inside = tiles.filter(F.size("nodes") > 1).select(*columns).mapInArrow(run, "u long, v long")
+    place = tiles.select("root", "cell", "part")
+    a, b = (place.select(F.col("root").alias(f"r{x}"), F.col("cell").alias(f"c{x}"), F.col("part").alias(f"p{x}")) for x in "ab")
+    pairs = a.join(b, (F.col("ra") == F.col("rb")) & (
+        ((F.col("ca") == F.col("cb")) & (F.col("pa") < F.col("pb"))) | (F.col("ca") + 1 == F.col("cb"))))
+    left, right = (tiles.select(F.col("root").alias(f"r{x}"), F.col("cell").alias(f"c{x}"), F.col("part").alias(f"p{x}"), *[
+        F.col(c).alias(f"{c}_{x}") for c in columns]) for x in "ab")
+    across = pairs.join(left, ["ra", "ca", "pa"]).join(right, ["rb", "cb", "pb"]).select(
+        *[f"{c}_a" for c in columns], *[f"{c}_b" for c in columns]).mapInArrow(run, "u long, v long")
+    return inside.unionByName(across)
+
+
+def _nodes(rows: DataFrame) -> DataFrame:
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
+    return stored(rows.groupBy("node").agg(
+        F.first("fp").alias("fp"), F.min("n").alias("n"), F.min("doc_id").alias("first_id"), F.min(order).alias("one")), "distinct")
+
+
+def _grouped(rows: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(doc_id, text_key, fp, component_id, root) of stored fingerprints, their nodes and stored links."""
+    roots = components(links)
     groups = stored(nodes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root")), "groups")
     # stored, so that adaptive execution sees two plain shuffles and can split a component with most of the groups
     least = stored(groups.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
@@ -207,13 +342,19 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, t
     """One row per document: doc_id, text_key, fp (64 bits), component_id, root (the component's key)."""
     if radius > 3:
         raise ValueError("the cells are made for a small radius; near_copies serves larger ones")
-    return _grouped(stored(fingerprints(docs, width), "fingerprints"), lambda r: cells_by_counts(r, radius), radius, tile)
+    rows = stored(fingerprints(docs, width), "fingerprints")
+    nodes = _nodes(rows)
+    return _grouped(rows, nodes, stored(tile_links(nodes, *cells_by_counts(nodes, radius), radius, tile), "links"))
 
 
 def near_copies(docs: DataFrame, width: int = COPY_WIDTH, bits: int = COPY_BITS, radius: int = COPY_RADIUS,
-                similarity: float = COPY_SIMILARITY, tile: int = TILE) -> DataFrame:
-    """As ``near_duplicates``, for texts that share most of their shingles: wide fingerprints, a large radius."""
-    return _grouped(stored(fingerprints(docs, width, bits), "fingerprints"), lambda r: cells_by_size(r, similarity), radius, tile)
+                similarity: float = COPY_SIMILARITY, tile: int = TILE, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
+    """As ``near_duplicates``, for texts whose sets of shingles have at least that Jaccard similarity."""
+    rows = stored(set_fingerprints(docs, width, bits), "fingerprints")
+    nodes = _nodes(rows)
+    candidates = components(stored(tile_links(nodes, *cells_by_size(nodes, similarity), radius, tile), "links"), "candidate-components")
+    links = similar_pairs(docs, nodes, candidates, width, radius, similarity, tile_shingles)
+    return _grouped(rows, nodes, stored(links, "similar"))
 
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:

@@ -207,6 +207,46 @@ def test_near_copies(spark, awkward):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [1, 1, 2, None, 5, 7, 8, 9, 2**60 + 1, 10]))
 
 
+def five_words(text):
+    words = (text or "").encode().lower().split()
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+@pytest.mark.parametrize("options", [{}, {"tile": 8, "tile_shingles": 300}])
+def test_near_copies_have_the_similarity(spark, awkward, options):
+    """Groups against all pairs of sets, with pairs on both sides of 0.8, in whole components and in tiles."""
+    import random
+
+    r = random.Random(3)
+    texts = ["w", "w w w w w w", "a b c d e f g h", "a b c d e f g h i", "a b c d e f g h i j k", None, " "]
+    for k in range(12):
+        base = [f"t{k}x{i}" for i in range(r.choice([9, 30, 200]))]
+        texts.append(" ".join(base + base))
+        for _ in range(12):
+            copy = base[: r.randint(int(0.75 * len(base)), len(base))]
+            for _ in range(r.randint(0, max(1, len(base) // 30))):
+                copy[r.randrange(len(copy))] = f"n{r.randrange(10**9)}"
+            texts.append(" ".join(copy))
+    sets = [five_words(t) for t in texts]
+    def share(a, b):
+        return len(a & b) / len(a | b) if a | b else 1.0
+    near = [share(a, b) for i, a in enumerate(sets) for b in sets[:i]]
+    assert sum(0.7 < x < 0.8 for x in near) > 20 and sum(0.8 <= x < 0.9 for x in near) > 20
+    parent = list(range(len(texts)))
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+    for i in range(len(texts)):
+        for j in range(i):
+            if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = simhash.near_copies(docs, **options).collect()
+    assert {r.doc_id: r.component_id for r in found} == {i: find(i) for i in range(len(texts))}
+    assert len({r.root for r in found}) == len({find(i) for i in range(len(texts))})
+
+
 # 5 ------------------------------------------------------------------------------------------------------------------
 
 def base_rules(text):
