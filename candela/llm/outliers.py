@@ -3,7 +3,8 @@
 Statistics of each text are transformed to a vector.  For each language and source the minimum covariance determinant
 is estimated by concentration steps: start at medians and absolute deviations, keep the ``KEEP`` share of documents with
 the smallest Mahalanobis distance, take their mean and covariance, repeat.  Distances are rescaled by their median, and
-a document is rejected when its squared distance is beyond ``CUTOFF``.
+a document is rejected when its squared distance is beyond ``CUTOFF``, the quantile of the chi-square law that normal
+vectors pass but for a share of ``FALSE_REJECTIONS``.
 
 Statistics such as the share of symbols are exactly zero in most clean texts, so their covariance alone would be
 singular; the variance that is tolerated anyway (``FLOORS``) is added to the diagonal.  Groups of fewer than ``SMALL``
@@ -16,6 +17,8 @@ numbers is stored and read again; the group tables are broadcast after their row
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from candela.llm.common import spaced_words, stored
@@ -27,8 +30,21 @@ FLOORS = (0.06, 0.45, 0.12, 0.12, 0.10)
 KEEP = 0.75
 STEPS = 4
 SMALL = 60
-# squared distance: the 1 - 1e-7 quantile of chi-square with five degrees of freedom
-CUTOFF = 41.5
+# share of normal vectors that may be rejected
+FALSE_REJECTIONS = 0.001
+
+
+def chi_square_cutoff(share: float) -> float:
+    """Squared distance that a share of normal vectors exceeds: chi-square with five degrees of freedom."""
+    low, high = 0.0, 1000.0
+    for _ in range(100):
+        x = (low + high) / 2
+        beyond = math.erfc(math.sqrt(x / 2)) + math.sqrt(2 * x / math.pi) * math.exp(-x / 2) * (1 + x / 3)
+        low, high = (x, high) if beyond > share else (low, x)
+    return high
+
+
+CUTOFF = chi_square_cutoff(FALSE_REJECTIONS)  # 20.515
 # the median of chi-square with five degrees of freedom
 MEDIAN = 4.351
 BROADCAST_GROUPS = 100_000

@@ -281,6 +281,16 @@ def test_outliers_of_a_group_are_found(spark):
     assert kept == passed
 
 
+def test_junk_is_rejected_beside_kept_good_documents(spark):
+    """Good and junk documents by their labels, of those that pass the base rules."""
+    assert abs(outliers.chi_square_cutoff(0.05) - 11.0705) < 1e-3 and abs(outliers.chi_square_cutoff(0.001) - 20.515) < 1e-3
+    folder = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "quality")
+    found = outliers.quality_rules(spark.read.parquet(f"{folder}/documents.parquet")).filter("NOT base_failed").join(labels, "doc_id").collect()
+    good, junk = ([r.kept for r in found if r.quality == q] for q in (1, 0))
+    assert len(junk) >= 10 and sum(junk) <= 0.02 * len(junk) and sum(good) >= 0.98 * len(good)
+
+
 # 6 ------------------------------------------------------------------------------------------------------------------
 
 def brute_viterbi(v, word):
