@@ -1,12 +1,13 @@
 """Secret scans: fixed base rules, and formats learned by grammar inference.
 
 Labelled credentials are what the base rules find in at most ``MAX_DOCS`` documents (chosen by the hash of their id), at
-most ``MAX_PER_KIND`` of each kind; the same documents give ordinary strings.  For each kind a prefix tree over character
-classes is built and its states are merged in breadth-first order when their outgoing and final frequencies agree
+most ``MAX_PER_KIND`` of each kind, taken in turn from its shapes (which kinds of characters occur), so that rare ones are
+there; the same documents give ordinary strings.  For each kind and shape a prefix tree over character classes is built and its states are merged in breadth-first order when their outgoing and final frequencies agree
 within Hoeffding's bound; the result is a deterministic probabilistic automaton.  Every candidate string of every text
-is scored: log-likelihood of its classes under the automaton plus that of its length (a length that no labelled string
-of the kind comes near to is not its format), against the automaton of ordinary strings.  Candidates that look like a labelled format become spans of their own; those that overlap a base
-span do not.
+is scored, whatever its length: log-likelihood of its classes under the automaton plus that of its length (smoothed, so that
+new lengths cost something and exclude nothing), against the automaton of ordinary strings; and its classes must be typical
+of the automaton, neither too unlikely nor too likely for that many characters.  Candidates that look like a labelled format
+become spans of their own; those that overlap a base span do not.
 
 Null texts count as empty.  Without labelled credentials of a kind, that kind adds nothing.  Repeated rows get equal
 results.  Only the bounded sample reaches the driver; texts are scanned whole and in place.
@@ -20,9 +21,10 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from candela.llm.common import id_and_text, long_id
 
@@ -31,14 +33,22 @@ ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+# the alphabet and least length of assigned secrets; a last dot ends a sentence
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{5,}[A-Za-z0-9+/_=-]")
 
 MAX_DOCS = 20_000
 MAX_PER_KIND = 400
 ALPHA = 0.05
-# log-likelihood ratio against ordinary strings that a candidate must exceed, and the share of labelled strings below its own score
+# log-likelihood ratio against ordinary strings that a candidate must exceed
 MARGIN = 8.0
+# deviations from the expected likelihood that are typical at least (99 %); labelled strings beyond them widen the range, but for this share
+TYPICAL = 2.576
 LOWEST = 0.01
+# automata of a kind; the rarest shapes share the last one
+SHAPES = 16
+# weight of lengths that no labelled string has
+NEW_LENGTHS = 0.1
+CACHED = 100_000
 
 _CLASS = {c: c for c in "+/_.=-"}
 _CLASS |= {c: k for chars, k in (("0123456789", "0"), ("abcdef", "a"), ("ghijklmnopqrstuvwxyz", "g"), ("ABCDEF", "A"), ("GHIJKLMNOPQRSTUVWXYZ", "G")) for c in chars}
@@ -61,11 +71,33 @@ class Automaton:
     moves: list[dict[str, tuple[int, int]]] = field(default_factory=list)
     visits: list[int] = field(default_factory=list)
     lengths: dict[int, float] = field(default_factory=dict)
-    lowest: float = 0.0
+    lowest: float = -TYPICAL
+    highest: float = TYPICAL
+
+    def length_likelihood(self, n: int) -> float:
+        """The learned lengths, mixed with a law over all lengths."""
+        known = math.exp(self.lengths[n]) if n in self.lengths else 0.0
+        return math.log((1 - NEW_LENGTHS) * known + NEW_LENGTHS / (n * (n + 1)))
+
+    @cached_property
+    def expected(self) -> tuple[float, float]:
+        """Mean and deviation of the log-likelihood of one character."""
+        terms = [(k, math.log((k + 0.5) / (n + 0.5 * len(_CLASSES)))) for moves, n in zip(self.moves, self.visits) for _, k in moves.values()]
+        total = sum(k for k, _ in terms) or 1
+        mean = sum(k * x for k, x in terms) / total
+        return mean, math.sqrt(max(sum(k * (x - mean) ** 2 for k, x in terms) / total, 1e-4))
+
+    def deviation(self, classes: str) -> float:
+        """Of the classes' log-likelihood from what is expected of that many characters, in standard deviations."""
+        mean, sd = self.expected
+        return (self.class_likelihood(classes) - mean * len(classes)) / (sd * math.sqrt(len(classes)))
 
     def log_likelihood(self, classes: str) -> float:
+        return self.class_likelihood(classes) + self.length_likelihood(len(classes))
+
+    def class_likelihood(self, classes: str) -> float:
         """Of the classes of a string; an unseen move costs a small share and restarts."""
-        state, total = 0, self.lengths.get(len(classes), math.log(1e-6))  # the floor is for ordinary strings
+        state, total = 0, 0.0
         for c in classes:
             move = self.moves[state].get(c)
             n = self.visits[state] + 0.5 * len(_CLASSES)
@@ -154,18 +186,44 @@ class Formats:
     kinds: list[Automaton] = field(default_factory=list)
     ordinary: Automaton | None = None
 
+    verdicts: dict[str, bool] = field(default_factory=dict, repr=False)
+
     def looks_secret(self, s: str) -> bool:
-        classes = s.translate(_TABLE)
-        if not self.kinds or "0" not in classes:  # without any digit a string is a word
+        if not self.kinds:
             return False
-        usual = self.ordinary.log_likelihood(classes) if self.ordinary else len(s) * math.log(1 / len(_CLASSES))
-        for a in self.kinds:
-            if len(s) not in a.lengths:
-                continue
-            own = a.log_likelihood(classes)
-            if own / len(s) >= a.lowest and own - usual > MARGIN:
-                return True
-        return False
+        classes = s.translate(_TABLE)
+        if (known := self.verdicts.get(classes)) is None:
+            if len(self.verdicts) >= CACHED:
+                self.verdicts.clear()
+            known = self.verdicts[classes] = self._judge(classes)
+        return known
+
+    def _judge(self, classes: str) -> bool:
+        usual = self.ordinary.log_likelihood(classes) if self.ordinary else len(classes) * math.log(1 / len(_CLASSES))
+        return any(a.log_likelihood(classes) - usual > MARGIN and a.lowest <= a.deviation(classes) <= a.highest for a in self.kinds)
+
+
+def shape(secret: str) -> str:
+    """Which of digits, small and capital letters (hexadecimal or any) and marks occur."""
+    seen = set(secret.translate(_TABLE))
+    return "".join(sorted(seen - ({"a"} if "g" in seen else set()) - ({"A"} if "G" in seen else set())))
+
+
+def automata(strings: list[str]) -> list[Automaton]:
+    """One for each shape."""
+    by_shape: dict[str, list[str]] = {}
+    for s in strings:
+        by_shape.setdefault(shape(s), []).append(s.translate(_TABLE))
+    groups = sorted(by_shape.values(), key=len, reverse=True)
+    made = []
+    for classes in groups[: SHAPES - 1] + ([sum(groups[SHAPES - 1 :], [])] if len(groups) >= SHAPES else []):
+        a = infer(classes)
+        a.lengths = _lengths(classes)
+        own = sorted(a.deviation(c) for c in classes)
+        cut = int(LOWEST * (len(own) - 1))
+        a.lowest, a.highest = min(-TYPICAL, own[cut]), max(TYPICAL, own[len(own) - 1 - cut])
+        made.append(a)
+    return made
 
 
 def learn_formats(docs: DataFrame, max_docs: int = MAX_DOCS, per_kind: int = MAX_PER_KIND) -> Formats:
@@ -185,22 +243,25 @@ def learn_formats(docs: DataFrame, max_docs: int = MAX_DOCS, per_kind: int = MAX
             yield pd.DataFrame(sorted(rows), columns=["kind", "secret"])
 
     found = some.select("text").mapInPandas(run, "kind int, secret string").distinct().withColumn("_h", F.xxhash64("secret"))
+    shape_of = F.pandas_udf(lambda s: s.map(shape), "string")
+    place_of = Window.partitionBy("kind", "_shape").orderBy("_h", "secret")  # distinct strings of the bounded sample
+    ranked = found.withColumn("_shape", shape_of("secret")).withColumn("_rank", F.row_number().over(place_of)).filter(F.col("_rank") <= per_kind)
     strings: dict[int, list[str]] = {}
-    for kind in range(4):  # at most ``per_kind`` strings each
-        rows = found.filter(F.col("kind") == kind).orderBy("_h", "secret").limit(per_kind).collect()
+    for kind in range(4):  # at most ``per_kind`` strings each; ordinary ones as often as they come
+        order = ["_rank", "_h", "secret"] if kind < 3 else ["_h", "secret"]
+        rows = (ranked if kind < 3 else found).filter(F.col("kind") == kind).orderBy(*order).limit(per_kind).collect()
         strings[kind] = [r["secret"] for r in rows]
+    return formats_of(strings)
+
+
+def formats_of(strings: dict[int, list[str]]) -> Formats:
+    """Automata of the labelled strings by kind; 3 are ordinary ones."""
     formats = Formats()
     if ordinary := strings.pop(3):
         formats.ordinary = infer([s.translate(_TABLE) for s in ordinary])
         formats.ordinary.lengths = _lengths(ordinary)
     for some_strings in strings.values():
-        if some_strings:
-            classes = [s.translate(_TABLE) for s in some_strings]
-            a = infer(classes)
-            a.lengths = _lengths(classes)
-            own = sorted(a.log_likelihood(c) / len(c) for c in classes)
-            a.lowest = own[int(LOWEST * (len(own) - 1))]
-            formats.kinds.append(a)
+        formats.kinds += automata(some_strings)
     return formats
 
 

@@ -403,6 +403,31 @@ def test_learned_formats():
     assert secrets.redact("ab token=abcdef1 cd", [(3, 0, 16)]) == "ab <assign> cd"
 
 
+def test_bare_secrets_of_new_lengths_are_found(spark):
+    """Planted without a keyword: other lengths than the labelled ones, short ones, dotted tokens, a rare shape."""
+    import random
+
+    r = random.Random(8)
+    def draw(chars, n):
+        return "".join(r.choice(chars) for _ in range(n))
+    small, digits, capitals = "abcdefghijklmnopqrstuvwxyz", "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    def dotted():
+        return ".".join(draw(small + digits + capitals, 12) for _ in range(3))
+    words = [f"{prose(900 + i, 60)} {' '.join(draw(small, r.randint(6, 14)) for _ in range(12))} {draw(digits, 6)}" for i in range(300)]
+    labelled = [f"token={draw('0123456789abcdef', 40)}" for _ in range(600)] + [f"api_key: {draw(capitals + digits, 20)}" for _ in range(30)]
+    labelled += [f"secret={dotted()}" for _ in range(100)]
+    planted = [draw("0123456789abcdef", n) for n in (14, 16, 18, 20, 22) for _ in range(10)]
+    rare, tokens = [draw(capitals + digits, n) for n in (14, 17, 20, 26) for _ in range(10)], [dotted() for _ in range(20)]
+    bare = planted + rare + tokens
+    texts = words + labelled + [f"see {b} there" for b in bare]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {row.doc_id: row.spans for row in secrets.scan_secrets(docs, secrets.learn_formats(docs)).collect()}
+    first = len(texts) - len(bare)
+    hit = [found[first + i] == f"format:4:{4 + len(b)}" for i, b in enumerate(bare)]
+    assert sum(hit[:50]) >= 40 and sum(hit[50:90]) >= 34 and sum(hit[90:]) >= 17
+    assert sum("format" in found[i] for i in range(len(words))) <= 3
+
+
 # 9 ------------------------------------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("n", [0, 1, 31, 33, 5000, 200_000])
