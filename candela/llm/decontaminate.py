@@ -6,14 +6,18 @@ diagonal), and every such diagonal is verified on the words: an overlap counts w
 in at least ``similarity`` of the places.
 
 The benchmark side of the join is broadcast only after its rows were counted (``BROADCAST_ROWS``); a larger benchmark is
-joined by shuffling.  The same holds for the candidate documents of the verification.
+joined by shuffling.  The candidate documents of the verification carry lists of any length, so Spark decides by their size.
 
-Null texts have no words.  Items of fewer than ``SPAN`` words cannot be seeded and give no rows.  Rows that repeat an id
+Items shorter than the window get masks of their whole length for what the others miss (``short_masks``).  Null texts and
+items have no words and give no rows.  Rows that repeat an id
 with different texts are verified separately and reported under that id.
 """
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from candela.llm.common import keyed, lower_words, same, stored, windows
@@ -39,11 +43,24 @@ def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
-def candidates(docs: DataFrame, items: DataFrame, masks=MASKS) -> DataFrame:
+def short_masks(n: int, masks=MASKS, similarity: float = SIMILARITY) -> list[str]:
+    """Masks over all words of an item of ``n`` words, one for each choice of changed words that no mask of ``masks`` avoids."""
+    width = len(masks[0])
+    kept = [{at + i for i, bit in enumerate(m) if bit == "1"} for m in masks for at in range(n - width + 1)]
+    changes = combinations(range(n), n - math.ceil(n * similarity))
+    return ["".join("0" if i in c else "1" for i in range(n)) for c in changes if all(k & set(c) for k in kept)]
+
+
+def candidates(docs: DataFrame, items: DataFrame, masks=MASKS, window: int = WINDOW, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, text_key, item_key, diag) with at least one seed hit.  ``items``: item_key, item_words."""
     bench = stored(seeds(items, "item_words", ["item_key"], masks).withColumnRenamed("pos", "item_pos").distinct(), "seeds")
     words = keyed(docs).select("doc_id", "text_key", lower_words(F.col("text")).alias("words"))
     found = seeds(words, "words", ["doc_id", "text_key"], masks).join(sized(bench), "h")
+    size = F.size("item_words")
+    for (n,) in items.filter((size > 0) & (size < window)).select(size).distinct().collect():  # fewer than ``window`` rows
+        if more := short_masks(n, masks, similarity):
+            short = stored(seeds(items.filter(size == n), "item_words", ["item_key"], more).withColumnRenamed("pos", "item_pos").distinct(), "seeds")
+            found = found.unionByName(seeds(words, "words", ["doc_id", "text_key"], more).join(sized(short), "h"))
     return found.groupBy("doc_id", "text_key", "item_key", (F.col("pos") - F.col("item_pos")).alias("diag")).agg(
         F.count(F.lit(1)).alias("n_hits"))
 
@@ -61,7 +78,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks=MASKS, window: int = W
     items = stored(
         benchmark.select("item_id", lower_words(F.col("text")).alias("item_words")).distinct()
         .withColumn("item_key", F.xxhash64(F.col("item_id").isNull(), "item_id", "item_words")), "items")
-    found = stored(candidates(docs, items.select("item_key", "item_words"), masks), "candidates")
+    found = stored(candidates(docs, items.select("item_key", "item_words"), masks, window, similarity), "candidates")
     per_doc = stored(found.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("item_key", "diag")).alias("at")), "per-doc")
     # the lists above hold the hits of one text
     texts = keyed(docs).select("doc_id", "text_key", "text")

@@ -133,6 +133,24 @@ def test_substitutions_are_tolerated(spark):
     assert {r.doc_id for r in got} == {1, 2, 3, None} and {r.item_id for r in got} == {7} and {r.start_word for r in got} == {3}
 
 
+def test_short_items_and_all_their_substitutions(spark):
+    """Items of 1 to 11 words, with every choice of as many changed words as the window allows, and one more."""
+    from itertools import combinations
+
+    docs, want, bench = [], set(), []
+    for n in (1, 3, 4, 5, 7, 8, 9, 10, 11):
+        item = [f"i{n}x{i}" for i in range(n)]
+        bench.append((n, " ".join(item)))
+        allowed = n - -(-8 * n // 10)
+        for k in (0, allowed, allowed + 1):
+            for at in combinations(range(n), k):
+                docs.append((len(docs), " ".join(["a", "b", *("zz" if i in at else w for i, w in enumerate(item)), "c"])))
+                if k <= allowed:
+                    want.add((docs[-1][0], n))
+    got = decontaminate.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want
+
+
 # 4 ------------------------------------------------------------------------------------------------------------------
 
 def plain_fingerprint(text):
