@@ -82,7 +82,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks=MASKS, window: int = W
     per_doc = stored(found.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("item_key", "diag")).alias("at")), "per-doc")
     # the lists above hold the hits of one text
     texts = keyed(docs).select("doc_id", "text_key", "text")
-    lists = sized(per_doc)
+    lists = per_doc
     joined = texts.join(lists, same(texts, lists, "doc_id", "text_key")).select(
         texts["doc_id"], texts["text_key"], "at", lower_words(F.col("text")).alias("words"))
     longest = items.agg(F.max(F.size("item_words"))).first()[0] or 0

@@ -151,6 +151,14 @@ def test_short_items_and_all_their_substitutions(spark):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want
 
 
+def test_lists_of_hits_are_not_forced_through_the_driver(documents, spark, monkeypatch):
+    marked = []
+    sized = decontaminate.sized
+    monkeypatch.setattr(decontaminate, "sized", lambda df, *limit: marked.append(df.columns) or sized(df, *limit))
+    decontaminate.overlaps(documents, spark.read.parquet(f"{SF}/benchmark.parquet"))
+    assert marked and not any("at" in columns for columns in marked)
+
+
 # 4 ------------------------------------------------------------------------------------------------------------------
 
 def plain_fingerprint(text):
