@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from candela.llm import boosting, decontaminate, langid, licenses, oracles, outliers, pieces, rans, secrets, shards, simhash
+from candela.llm import boosting, decontaminate, langid, licenses, oracles, outliers, pieces, prefixes, rans, repair, secrets, shards, simhash
 from candela.llm.common import crc_rest
 from candela.session import prepare, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op2_license_scan": oracles.license_scan(), "op3_decontaminate": oracles.decontaminated()}
+ORACLES: dict[str, str] = {
+    "op2_license_scan": oracles.license_scan(), "op3_decontaminate": oracles.decontaminated(),
+    "op12_prefix_trie": oracles.prefix_trie(), "op13_structure_repair": oracles.structure_repair()}
 
 BATCH_ROWS = "1000"
 
@@ -99,3 +101,13 @@ def op10(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     forest = boosting.train(docs, table(spark, sf_dir, "labels").filter(crc_rest("doc_id", 3) != 1))
     return boosting.score_documents(docs, forest).select("doc_id", (crc_rest("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
+@query("op12_prefix_trie")
+def op12(spark, sf_dir):
+    return prefixes.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_structure_repair")
+def op13(spark, sf_dir):
+    return repair.repair_conversations(table(spark, sf_dir, "conversations"))
