@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from candela.llm import boosting, decontaminate, langid, licenses, oracles, outliers, pieces, prefixes, rans, repair, secrets, shards, simhash
+from candela.llm import boosting, decontaminate, langid, licenses, oracles, outliers, packing, pieces, prefixes, rans, repair, secrets, shards, simhash
 from candela.llm.common import crc_rest
 from candela.session import prepare, scratch_path
 
@@ -103,6 +103,11 @@ def op10(spark, sf_dir):
     return boosting.score_documents(docs, forest).select("doc_id", (crc_rest("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
+@query("op11_retrieval_packing")
+def op11(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 @query("op12_prefix_trie")
 def op12(spark, sf_dir):
     return prefixes.prefix_trie(table(spark, sf_dir, "conversations"))
