@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from candela.llm.common import stored
-from candela.llm.words import gathered, lines_of, word_tokenizer
+from candela.llm.words import gathered, lines_of, with_ends, word_tokenizer
 
 WINDOW = 2048
 END_ID = 1
@@ -62,12 +62,7 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFra
         for b in gathered(batches, 1):
             if not b.num_rows:
                 continue
-            ids, ends = t.encode(b.column(1))
-            ends = ends + np.arange(1, len(ends) + 1)
-            out = np.full(int(ends[-1]), end_id, t.kind)
-            own = np.ones(len(out), bool)
-            own[ends - 1] = False
-            out[own] = ids
+            out, ends = with_ends(*t.encode(b.column(1)), end_id)
             offsets = np.concatenate([[0], ends]) * t.kind.itemsize
             data = out.tobytes()
             column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())

@@ -17,16 +17,16 @@ from __future__ import annotations
 
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from candela.llm.common import id_and_text, long_id
-from candela.llm.units import UnitEncoder
+from candela.llm.common import long_id
+from candela.llm.words import ByteTokenizer, gathered, with_ends, word_tokenizer
 
 SEGMENT = 2_000_000
 LANES = 32
@@ -36,6 +36,8 @@ LOW = np.uint64(1 << 31)
 MAGIC = b"RANS"
 HEADER = struct.Struct("<4sQBIIII")
 END_ID = 2
+SEGMENT_ROW = pa.schema([
+    ("part", pa.int32()), ("segment", pa.int32()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.string())), ("lengths", pa.list_(pa.int64())), ("data", pa.binary())])
 
 
 def _frequencies(counts: np.ndarray, bits: int) -> np.ndarray:
@@ -167,106 +169,44 @@ def decode_segment(data: bytes) -> np.ndarray:
     return ids[:n]
 
 
-JOINED = 2_000
-_LOADED: dict[str, UnitEncoder] = {}
-
-
-def _token_bytes(t) -> np.ndarray:
-    """UTF-8 bytes that each id of a byte-level vocabulary stands for (one per character of its token)."""
-    out = np.zeros(t.get_vocab_size(), np.int64)
-    for token, i in t.get_vocab().items():
-        out[i] = len(token)
-    return out
-
-
-class _Batches:
-    """Encodes units; plain words go to the library joined, as one call costs more than one word.
-
-    Pre-tokenization always cuts before a space that stands between two characters other than white space.  So the ids
-    of joined words are cut where the bytes of their tokens add up to those of the words.
-    """
-
-    def __init__(self, t):
-        self.t = t
-        self.sizes = _token_bytes(t)
-        self.byte_level = type(t.pre_tokenizer).__name__ == "ByteLevel" and t.normalizer is None
-
-    def _alone(self, units: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.t.encode_batch_fast(units, add_special_tokens=False)]
-
-    def __call__(self, units: list[str]) -> list[bytes]:
-        plain = [i for i, u in enumerate(units) if len(u) > 1 and u[0] == " " and not u[1].isspace() and not u[-1].isspace()]
-        if not self.byte_level:
-            return self._alone(units)
-        out: list[bytes] = [b""] * len(units)
-        held = set(plain)
-        rest = [i for i in range(len(units)) if i not in held]
-        for i, codes in zip(rest, self._alone([units[i] for i in rest])):
-            out[i] = codes
-        for at in range(0, len(plain), JOINED):
-            some = plain[at : at + JOINED]
-            words = [units[i] for i in some]
-            ids = np.array(self.t.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.cumsum([len(w.encode()) for w in words])
-            have = self.sizes[ids].cumsum()
-            cuts = np.searchsorted(have, ends) + 1
-            if not len(have) or (have[np.minimum(cuts, len(have)) - 1] != ends).any():
-                raise ValueError("the tokens do not add up to the words")
-            codes, start = ids.tobytes(), 0
-            for i, cut in zip(some, (4 * cuts).tolist()):
-                out[i] = codes[start:cut]
-                start = cut
-        return out
-
-
-def tokenizer(path: str) -> UnitEncoder:
-    """One cached tokenizer per worker process and file; strings of special tokens are ordinary text."""
-    if path not in _LOADED:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core per task
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        _LOADED[path] = UnitEncoder(_Batches(t))
-    return _LOADED[path]
-
-
 def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, segment: int = SEGMENT) -> None:
     """Write the ids of all documents, in ascending order of ``doc_id``, to the folder ``path``."""
-    end = array("I", [end_id]).tobytes()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, part, number = tokenizer(vocabulary), TaskContext.get().partitionId(), 0
-        ids: list[bytes] = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, part, number = word_tokenizer(vocabulary, ByteTokenizer), TaskContext.get().partitionId(), 0
+        held: list[np.ndarray] = []
         names: list[str | None] = []
+        lengths: list[int] = []
         size = 0
 
-        def close() -> pd.DataFrame:
-            nonlocal ids, names, size, number
-            tokens = np.frombuffer(b"".join(ids), "<u4")
-            row = pd.DataFrame({
-                "part": [part], "segment": [number], "n_tokens": [len(tokens)], "doc_ids": [names],
-                "lengths": [[len(x) // 4 for x in ids]], "data": [encode_segment(tokens)]})
-            ids, names, size, number = [], [], 0, number + 1
+        def close() -> pa.RecordBatch:
+            nonlocal held, names, lengths, size, number
+            tokens = np.concatenate(held).astype("<u4")
+            row = pa.RecordBatch.from_pydict({
+                "part": [part], "segment": [number], "n_tokens": [len(tokens)], "doc_ids": [names], "lengths": [lengths],
+                "data": [encode_segment(tokens)]}, SEGMENT_ROW)
+            held, names, lengths, size, number = [], [], [], 0, number + 1
             return row
 
-        for b in batches:
-            for at in range(0, len(b), 64):
-                some = b.iloc[at : at + 64]
-                for name, codes in zip(some["doc_id"], encoder.encode([t if isinstance(t, str) else "" for t in some["text"]])):
-                    ids.append(b"".join([*codes, end]))
-                    names.append(name)
-                    size += len(ids[-1]) // 4
-                    if size >= segment:
-                        yield close()
-        if ids:
+        for b in gathered(batches, 1):
+            if not b.num_rows:
+                continue
+            ids, ends = with_ends(*encoder.encode(b.column(1)), end_id)
+            docs_of, sizes, at = b.column(0).to_pylist(), np.diff(ends, prepend=0), 0
+            while at < len(ends):
+                before = int(ends[at] - sizes[at])
+                upto = min(len(ends), int(np.searchsorted(ends, before + segment - size)) + 1)
+                held.append(ids[before : ends[upto - 1]])
+                names += docs_of[at:upto]
+                lengths += sizes[at:upto].tolist()
+                size, at = size + len(held[-1]), upto
+                if size >= segment:
+                    yield close()
+        if held:
             yield close()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    id_and_text(rows).mapInPandas(run, "part int, segment int, n_tokens long, doc_ids array<string>, lengths array<long>, data binary").write.option(
-        "compression", "uncompressed").parquet(path)
+    rows.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInArrow(
+        run, "part int, segment int, n_tokens long, doc_ids array<string>, lengths array<long>, data binary").write.option("compression", "uncompressed").parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:

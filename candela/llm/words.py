@@ -15,9 +15,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 JOINED = 2_000
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 700_000
 TEXT_BYTES = 16 << 20
 STOPS = r"(\pL)([.,])( |$)"  # a stop that ends a word of the text is a token of its own
+STOPS_OR_LINES = r"(\pL)([.,])(\s|$)"
+ODD = r"[\s\pZ\x0B\x1C-\x1F\x{85}][\s\pZ\x0B\x1C-\x1F\x{85}]"  # white space of any definition beside white space
+MARK = "\ue000"
 PUNCTUATION = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum())
 
 
@@ -96,10 +99,14 @@ class WordTokenizer:
             if tail:
                 self.known[w] = self.known[stem] + self.known[tail]
 
+    def _cut(self, texts: pa.Array) -> tuple[pa.Array, dict[int, bytes]]:
+        """Words of each text, and the codes of texts that were not cut."""
+        texts = pc.replace_substring(texts, "\n", " ")
+        return pc.split_pattern(pc.replace_substring_regex(texts, STOPS, r"\1 \2\3"), " "), {}
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the end of each text among them; null gives none."""
-        texts = pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), "\n", " ")
-        words = pc.split_pattern(pc.replace_substring_regex(texts, STOPS, r"\1 \2\3"), " ")
+        words, whole = self._cut(pc.fill_null(texts.cast(pa.large_string()), ""))
         ends = words.offsets.to_numpy()[1:] - words.offsets[0].as_py()
         coded = pc.dictionary_encode(words.flatten())
         distinct = coded.dictionary.to_pylist()
@@ -112,15 +119,99 @@ class WordTokenizer:
         codes = [known[w] for w in distinct]
         offsets = np.concatenate([[0], np.cumsum([len(c) for c in codes])]) // self.kind.itemsize
         ids, stops = lines_of(offsets.astype(np.int64), np.frombuffer(b"".join(codes), self.kind), coded.indices.to_numpy().astype(np.int64))
-        stops = np.concatenate([[0], stops])
-        return ids, stops[ends]
+        ends = np.concatenate([[0], stops])[ends]
+        return with_whole(ids, ends, {i: np.frombuffer(c, self.kind) for i, c in whole.items()}) if whole else (ids, ends)
+
+
+def with_whole(ids: np.ndarray, ends: np.ndarray, whole: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Put the ids of some texts in; the words of these texts gave none."""
+    sizes = np.diff(ends, prepend=0)
+    parts, at = [], 0
+    for i in sorted(whole):
+        parts += [ids[at : ends[i]], whole[i]]
+        at = ends[i]
+        sizes[i] = len(whole[i])
+    return np.concatenate([*parts, ids[at:]]), sizes.cumsum()
+
+
+def with_ends(ids: np.ndarray, ends: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every text closed by ``end_id``."""
+    ends = ends + np.arange(1, len(ends) + 1)
+    out = np.full(int(ends[-1]) if len(ends) else 0, end_id, ids.dtype)
+    own = np.ones(len(out), bool)
+    own[ends - 1] = False
+    out[own] = ids
+    return out, ends
+
+
+class ByteTokenizer(WordTokenizer):
+    """Ids of texts under a byte-level vocabulary.  ``MARK`` begins a word that has no space before it."""
+
+    def __init__(self, path: str, limit: int = KNOWN_WORDS):
+        super().__init__(path, limit)
+        if type(self.t.pre_tokenizer).__name__ != "ByteLevel" or self.t.normalizer is not None:
+            raise ValueError("a byte-level vocabulary is needed")
+        self.sizes = np.zeros(self.size, np.int64)  # bytes that each id stands for: a character of its token each
+        for token, i in self.t.get_vocab().items():
+            self.sizes[i] = len(token)
+        self.line_end = self.t.encode("\n", add_special_tokens=False).ids
+        self.known = {MARK: b""}
+
+    def _cut(self, texts: pa.Array) -> tuple[pa.Array, dict[int, bytes]]:
+        odd = np.nonzero(pc.or_(pc.match_substring_regex(texts, ODD), pc.match_substring(texts, MARK)).to_numpy(zero_copy_only=False))[0]
+        whole = {}
+        if len(odd):
+            whole = dict(zip(odd.tolist(), self._alone(texts.take(pa.array(odd)).to_pylist())))
+            even = np.ones(len(texts), bool)
+            even[odd] = False
+            texts = pc.if_else(pa.array(even), texts, "")
+        texts = pc.replace_substring_regex(texts, STOPS_OR_LINES, rf"\1 {MARK}\2\3")
+        texts = pc.replace_substring(texts, "\n", f" {MARK}\n {MARK}")
+        return pc.split_pattern(pc.binary_join_element_wise(pa.scalar(MARK, pa.large_string()), texts, pa.scalar("", pa.large_string())), " "), whole
+
+    def _lines(self, words: list[str]) -> list[bytes]:
+        """Words of letters alone, without a space before them, joined by line ends."""
+        out: list[bytes] = []
+        for at in range(0, len(words), JOINED):
+            some = words[at : at + JOINED]
+            ids = np.array(self.t.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, self.kind)
+            cuts = np.nonzero(ids == self.line_end[0])[0]
+            if len(self.line_end) != 1 or len(cuts) != len(some) - 1:
+                out += self._alone(some)
+            else:
+                out += [x[min(1, i):].tobytes() for i, x in enumerate(np.split(ids, cuts))]
+        return out
+
+    def _spaced(self, words: list[str]) -> list[bytes]:
+        """Words with a space before each: cut where the bytes of their tokens add up."""
+        out: list[bytes] = []
+        for at in range(0, len(words), JOINED):
+            some = words[at : at + JOINED]
+            ids = np.array(self.t.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, self.kind)
+            ends, have = np.cumsum([len(w.encode()) for w in some]), self.sizes[ids].cumsum()
+            cuts = np.searchsorted(have, ends) + 1
+            if not len(have) or (have[np.minimum(cuts, len(have)) - 1] != ends).any():
+                raise ValueError("the tokens do not add up to the words")
+            codes, start = ids.tobytes(), 0
+            for cut in (cuts * self.kind.itemsize).tolist():
+                out.append(codes[start:cut])
+                start = cut
+        return out
+
+    def _learn(self, words: list[str]) -> None:
+        for keep, text, encode in (
+                (lambda w: w[:1] != MARK and w != "" and not w[0].isspace() and not w[-1].isspace(), lambda w: " " + w, self._spaced),
+                (lambda w: w[:1] == MARK and w[1:].isalpha(), lambda w: w[1:], self._lines),
+                (lambda w: True, lambda w: w[1:] if w[:1] == MARK else " " + w, self._alone)):
+            some = [w for w in words if w not in self.known and keep(w)]
+            self.known.update(zip(some, encode([text(w) for w in some])))
 
 
-_LOADED: dict[str, WordTokenizer] = {}
+_LOADED: dict[tuple, WordTokenizer] = {}
 
 
-def word_tokenizer(path: str) -> WordTokenizer:
+def word_tokenizer(path: str, kind: type[WordTokenizer] = WordTokenizer) -> WordTokenizer:
     """One per worker process and file."""
-    if path not in _LOADED:
-        _LOADED[path] = WordTokenizer(path)
-    return _LOADED[path]
+    if (path, kind) not in _LOADED:
+        _LOADED[path, kind] = kind(path)
+    return _LOADED[path, kind]

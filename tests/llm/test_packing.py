@@ -89,6 +89,22 @@ def test_word_ids_are_those_of_the_library(documents, vocabulary, library):
         assert [x.tolist() for x in np.split(ids, ends[:-1])] == [library(x)[:-1] for x in some]
 
 
+def test_byte_ids_are_those_of_the_library(documents):
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    plain.encode_special_tokens = True
+    texts = [r.text for r in documents.select("text").collect()] + [
+        None, "", " ", "\n", "a\n\nb", "a \nb", " a", "a ", "\na", "a\n", "x.\ny, z. ", "a b", "it's. don't, 'tis we'll.", "a\tb\tc", "a b c\u3000d", "été. naïve,\nÉté",
+        "a.", "a. ", " .", "1. b 2, c", "\x85 a\x1cb", "\ue000 marked", "one two\ue000.", "a  b   c \n d", "🙂. 漢字,\nعربية.", "<|endoftext|> x\n<|endoftext|>.", "A\nB\nC.\nD"]
+    t = words.ByteTokenizer(path, limit=500)
+    for at in range(0, len(texts), 40):
+        some = texts[at : at + 40]
+        ids, ends = t.encode(pa.array(some, pa.string()))
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == [plain.encode(x or "", add_special_tokens=False).ids for x in some]
+
+
 def plain_scores(items, seed):
     n, mean = len(items), sum(map(len, items)) / len(items)
     df = Counter(t for x in items for t in set(x))
