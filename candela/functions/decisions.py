@@ -113,22 +113,23 @@ def _lookup(col: Column, table: dict, default: Column) -> Column:
     return expr.otherwise(default)
 
 
-def explanation_text(df: DataFrame, asset: str = "BTC") -> DataFrame:
+def explanation_text(df: DataFrame, asset: str = "BTC", max_titles: int = 3, max_factors: int = 2, title_chars: int = 120) -> DataFrame:
     """Template text from direction, confidence, horizon, top titles, top factors and the alert flag.
 
     Columns: direction, confidence, horizon, titles (array), factors (array of
-    names), alert, return_pred (may be null).
+    names), alert, return_pred (may be null).  A title longer than ``title_chars``
+    is cut and ends in three dots within that length.
     """
     c = F.col
     way = _lookup(c("direction"), lx.DIRECTION_TEXT, F.lit("không xác định"))
-    named = F.transform(F.slice("factors", 1, 2), lambda f: _lookup(f, lx.FACTOR_TEXT, F.replace(f, F.lit("_"), F.lit(" "))))
+    named = F.transform(F.slice("factors", 1, max_factors), lambda f: _lookup(f, lx.FACTOR_TEXT, F.replace(f, F.lit("_"), F.lit(" "))))
     factors = F.when(F.size("factors") == 0, "không có yếu tố nổi bật").otherwise(F.array_join(named, " và "))
 
     def cut(title, i):
         t = F.rtrim(F.trim(title), F.lit("."))
-        t = F.when(F.length(t) > 120, F.concat(F.substring(t, 1, 117), F.lit("..."))).otherwise(t)
+        t = F.when(F.length(t) > title_chars, F.concat(F.substring(t, 1, title_chars - 3), F.lit("..."))).otherwise(t)
         return F.concat(F.lit("("), F.char(i + 97), F.lit(") "), t)
-    proof = F.array_join(F.transform(F.slice("titles", 1, 3), cut), "; ")
+    proof = F.array_join(F.transform(F.slice("titles", 1, max_titles), cut), "; ")
     moved = F.format_string("Mức thay đổi kỳ vọng: %s%.2f%%.", F.when(c("return_pred") >= 0, "+").otherwise(""), c("return_pred") * 100)
     fired = F.format_string("Quyết định: PHÁT CẢNH BÁO (ĉ=%.2f đạt ngưỡng tin cậy và phân phối dự báo đủ sắc nét).", c("confidence"))
     quiet = F.format_string("Quyết định: GIỮ IM LẶNG (ĉ=%.2f chưa đạt ngưỡng — tránh phát tín hiệu khi bất định cao).", c("confidence"))

@@ -223,17 +223,13 @@ def relative_bars(df: DataFrame, column: str = "bars") -> DataFrame:
     return df.withColumn("_last", last).withColumn(column, F.transform(column, shift)).drop("_last")
 
 
-def _bar_cells(df: DataFrame, column: str) -> DataFrame:
-    each = df.select("timeframe", F.explode(column).alias("_b"))
-    return each.select("timeframe", F.explode(F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.col("_b")[f].alias("_x")) for f in BAR_FEATURES])).alias("_c")).select("timeframe", "_c.*")
-
-
 def fit_bar_scaler(train: DataFrame, column: str = "bars") -> DataFrame:
     """Mean and population deviation per (timeframe, feature) of relative bars."""
-    std = F.stddev_pop("_x")
-    return _bar_cells(relative_bars(train, column), column).groupBy("timeframe", "feature").agg(
-        F.avg("_x").alias("mean"), F.when(std < 1e-6, 1.0).otherwise(std).alias("std"))
+    bars = relative_bars(train, column).select("timeframe", F.explode(column).alias("_b"))
+    stats = bars.groupBy("timeframe").agg(*[
+        F.struct(F.lit(f).alias("feature"), F.avg(F.col("_b")[f]).alias("mean"), F.stddev_pop(F.col("_b")[f]).alias("std")).alias(f) for f in BAR_FEATURES])
+    rows = stats.select("timeframe", F.explode(F.array(*BAR_FEATURES)).alias("_s")).select("timeframe", "_s.*")
+    return rows.withColumn("std", F.when(F.col("std") < 1e-6, 1.0).otherwise(F.col("std")))
 
 
 def apply_bar_scaler(df: DataFrame, scaler: DataFrame, column: str = "bars", limit: float = 8.0) -> DataFrame:

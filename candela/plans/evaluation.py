@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from candela.functions import arrays as ar
 from candela.operators import candles as cd, dataset as ds, metrics as mt
@@ -456,11 +458,11 @@ def _(t):
 def bars_sql(tf: str, width: int, n: int = 20) -> dict[str, str]:
     return {f"b{tf}": bar_sql(f"i{tf}"),
             f"l{tf}": f"""SELECT '{tf}' AS timeframe, d.symbol, d.ts, b.rn, {', '.join('b.' + x for x in cd.BAR_FEATURES)},
-            e.rn - b.rn + 1 AS back FROM c1h d ASOF JOIN (SELECT symbol, rn, ts + INTERVAL {width} SECOND AS closed FROM b{tf}) e
-            ON e.symbol = d.symbol AND d.ts + INTERVAL 1 HOUR >= e.closed JOIN b{tf} b ON b.symbol = d.symbol AND b.rn BETWEEN e.rn - {n - 1} AND e.rn"""}
+            d.back FROM (SELECT d.symbol, d.ts, e.rn AS upto, unnest(range(1, {n + 1})) AS back FROM c1h d ASOF JOIN (SELECT symbol, rn, ts + INTERVAL {width} SECOND AS closed FROM b{tf}) e
+            ON e.symbol = d.symbol AND d.ts + INTERVAL 1 HOUR >= e.closed) d JOIN b{tf} b ON b.symbol = d.symbol AND b.rn = d.upto - d.back + 1"""}
 
 
-_TFS = (("15m", 900), ("1h", 3600), ("4h", 14400))
+_TFS = (("1m", 60), ("5m", 300), ("15m", 900), ("1h", 3600), ("4h", 14400))
 _BARS = {k: v for tf, w in _TFS for k, v in bars_sql(tf, w).items()}
 
 
@@ -472,7 +474,7 @@ def _last_bars(t):
     return out
 
 
-@query("j05_last_closed_bars", sql_with("c1h i15m i1h i4h", " UNION ALL ".join(f"""SELECT '{tf}' AS timeframe, d.symbol, d.ts, CAST(count(l.rn) AS INTEGER) AS filled, {R('coalesce(sum(log_close), 0)')} AS sum_close,
+@query("j05_last_closed_bars", sql_with("c1h i1m i5m i15m i1h i4h", " UNION ALL ".join(f"""SELECT '{tf}' AS timeframe, d.symbol, d.ts, CAST(count(l.rn) AS INTEGER) AS filled, {R('coalesce(sum(log_close), 0)')} AS sum_close,
     {R('coalesce(max(CASE WHEN back = 1 THEN log_close END), 0)')} AS last_close, {R('coalesce(max(CASE WHEN back = 20 THEN body END), 0)')} AS first_body
     FROM c1h d LEFT JOIN l{tf} l ON l.symbol = d.symbol AND l.ts = d.ts GROUP BY d.symbol, d.ts""" for tf, _ in _TFS), _BARS))
 def _(t):
@@ -482,29 +484,48 @@ def _(t):
                     rd(F.element_at("bars", 1)["body"]).alias("first_body"))
 
 
-@query("j06_asof_tail", sql_with("c1h i5m i4h", " UNION ALL ".join(f"""SELECT '{tf}' AS timeframe, d.symbol, d.ts, greatest(max(b.rn) - {n - 1}, 1) AS first, max(b.rn) AS last
-    FROM c1h d JOIN i{tf} b ON b.symbol = d.symbol AND b.ts <= d.ts GROUP BY d.symbol, d.ts""" for tf, n in (("5m", 200), ("4h", 120)))))
+@query("j06_asof_tail", sql_with("c1h i1m i5m i15m i1h i4h", " UNION ALL ".join(f"""SELECT '{tf}' AS timeframe, d.symbol, d.ts, greatest(max(b.rn) - {n - 1}, 1) AS first, max(b.rn) AS last
+    FROM c1h d JOIN i{tf} b ON b.symbol = d.symbol AND b.ts <= d.ts GROUP BY d.symbol, d.ts""" for tf, n in ds.TAIL.items())))
 def _(t):
-    parts = [ds.asof_tail(t.candles(), t.indexed(tf), tf) for tf in ("5m", "4h")]
-    return parts[0].unionByName(parts[1])
+    return reduce(DataFrame.unionByName, [ds.asof_tail(t.candles(), t.indexed(tf), tf) for tf in ds.TAIL])
+
+
+def _relative_sql(tf: str) -> dict[str, str]:
+    """Bars relative to the last close, and mean and deviation of each feature over all slots, empty ones included."""
+    rel = ", ".join(f"{f} - lc AS {f}" if i < 4 else f for i, f in enumerate(cd.BAR_FEATURES))
+    mean, square = "sum({f}) / (SELECT count(*) * 20 FROM c1h)", "sum({f} * {f}) / (SELECT count(*) * 20 FROM c1h)"
+    stats = ", ".join(f"{mean.format(f=f)} AS m_{f}, sqrt({square.format(f=f)} - ({mean.format(f=f)}) ** 2) AS d_{f}" for f in cd.BAR_FEATURES)
+    return {f"r{tf}": f"SELECT symbol, ts, back, {rel} FROM (SELECT *, max(CASE WHEN back = 1 THEN log_close END) OVER (PARTITION BY symbol, ts) AS lc FROM l{tf})",
+            f"s{tf}": f"SELECT {', '.join(f'm_{f}, CASE WHEN d_{f} < 1e-6 THEN 1 ELSE d_{f} END AS s_{f}' for f in cd.BAR_FEATURES)} FROM (SELECT {stats} FROM r{tf})"}
+
 
+_SCALED = ("15m", "1h", "4h")
+_REL = {k: v for tf, w in _TFS if tf in _SCALED for k, v in {**bars_sql(tf, w), **_relative_sql(tf)}.items()}
 
-_REL = {**bars_sql("4h", 14400), "cell": """SELECT symbol, ts, l.timeframe, log_close - max(CASE WHEN back = 1 THEN log_close END) OVER (PARTITION BY symbol, ts) AS rel, body FROM l4h l""",
-        "dcnt": "SELECT count(*) * 20 AS slots FROM c1h"}
 
+def _scaled_bars(t):
+    return reduce(DataFrame.unionByName, [ds.last_closed_bars(t.candles(), t.indexed(tf), tf) for tf in _SCALED])
 
-@query("a20_bar_scaler", sql_with("c1h i4h", f"""SELECT 'log_close' AS feature, {R('sum(rel) / any_value(slots)')} AS mean, {R('sqrt(sum(rel * rel) / any_value(slots) - (sum(rel) / any_value(slots)) ** 2)')} AS std FROM cell, dcnt
-    UNION ALL SELECT 'body', {R('sum(body) / any_value(slots)')}, {R('sqrt(sum(body * body) / any_value(slots) - (sum(body) / any_value(slots)) ** 2)')} FROM cell, dcnt""", _REL))
+
+@query("a20_bar_scaler", sql_with("c1h i15m i1h i4h", " UNION ALL ".join(
+    f"SELECT '{tf}' AS timeframe, '{f}' AS feature, {R('m_' + f)} AS mean, {R('s_' + f)} AS std FROM s{tf}" for tf in _SCALED for f in cd.BAR_FEATURES), _REL))
 def _(t):
-    s = ds.fit_bar_scaler(ds.last_closed_bars(t.candles(), t.indexed("4h"), "4h"))
-    return rounded(s.filter("feature in ('log_close', 'body')").select("feature", "mean", "std"))
+    return rounded(ds.fit_bar_scaler(_scaled_bars(t)).select("timeframe", "feature", "mean", "std"))
+
+
+_Z = "least(8, greatest(-8, ({f} - m_{f}) / s_{f}))"
 
 
-@query("a20_apply_bar_scaler", sql_with("c1h i4h", f"""SELECT symbol, ts, {R('least(8, greatest(-8, (body - m) / s))')} AS last_body FROM l4h,
-    (SELECT sum(body) / any_value(slots) AS m, sqrt(sum(body * body) / any_value(slots) - (sum(body) / any_value(slots)) ** 2) AS s FROM cell, dcnt) WHERE back = 1""", _REL))
+@query("a20_apply_bar_scaler", sql_with("c1h i15m i1h i4h", " UNION ALL ".join(
+    f"SELECT '{tf}' AS timeframe, symbol, ts, " + ", ".join(
+        f"{R(f'max(CASE WHEN back = 1 THEN {_Z.format(f=f)} END)')} AS last_{f}, {R(f'sum({_Z.format(f=f)})', 5)} AS sum_{f}" for f in cd.BAR_FEATURES)
+    + f" FROM r{tf}, s{tf} GROUP BY symbol, ts" for tf in _SCALED), _REL))
 def _(t):
-    b = durable(ds.last_closed_bars(t.candles(), t.indexed("4h"), "4h"))
-    return ds.apply_bar_scaler(b, ds.fit_bar_scaler(b)).filter("filled > 0").select("symbol", "ts", rd(F.element_at("bars", -1)["body"]).alias("last_body"))
+    b = durable(_scaled_bars(t))
+    out = ds.apply_bar_scaler(b, ds.fit_bar_scaler(b)).filter("filled > 0")
+    total = lambda f: F.aggregate("bars", F.lit(0.0), lambda a, x: a + x[f])
+    return out.select("timeframe", "symbol", "ts", *[
+        c for f in cd.BAR_FEATURES for c in (rd(F.element_at("bars", -1)[f]).alias(f"last_{f}"), rd(total(f), 5).alias(f"sum_{f}"))])
 
 
 @query("a21_dataset_summary", sql_with("i1h articles", f"""SELECT (SELECT count(*) FROM lb WHERE direction IS NOT NULL) AS rows, (SELECT min(ts) FROM lb WHERE direction IS NOT NULL) AS ts_min, (SELECT max(ts) FROM lb WHERE direction IS NOT NULL) AS ts_max,

@@ -421,20 +421,42 @@ def _(t):
     return p.select("pred_id", rd(acc, 1).alias("accuracy"))
 
 
-@query("f37_advice_class", sql_with("predictions", """SELECT pred_id, CASE WHEN direction = 'UP' AND conf >= 0.45 AND agrees THEN 'UP' WHEN direction = 'DOWN' AND conf >= 0.45 AND agrees THEN 'DOWN' ELSE 'UNCLEAR' END AS advice FROM cd""", CONS))
+@query("f37_advice_class", sql_with("predictions", """SELECT pred_id, CASE WHEN direction = 'UP' AND conf >= 0.45 AND agrees THEN 'UP' WHEN direction = 'DOWN' AND conf >= 0.45 AND agrees THEN 'DOWN' ELSE 'UNCLEAR' END AS advice, CASE WHEN direction = 'UP' AND conf >= 0.45 AND agrees THEN format('Dự đoán giá sẽ TĂNG {:.2f}% (độ tin cậy {:.1f}%)', change_percent, (conf + 0.10) * 100)
+    WHEN direction = 'DOWN' AND conf >= 0.45 AND agrees THEN format('Dự đoán giá sẽ GIẢM {:.2f}% (độ tin cậy {:.1f}%)', abs(change_percent), (conf + 0.10) * 100)
+    ELSE format('Kết quả tổng hợp có độ tin cậy {:.1f}%', (conf + 0.10) * 100) END AS advice_text FROM cd""", CONS))
 def _(t):
     p = dc.horizon_consensus(_pair(t)).withColumn("confidence", F.col("consensus_confidence") + 0.10)
-    return dc.advice_class(p).select("pred_id", "advice")
+    return dc.advice_class(p).select("pred_id", "advice", "advice_text")
 
 
-@query("f38_explanation_text", sql_with("predictions factor_probs articles", f"""SELECT p.pred_id, md5('Tín hiệu: BTC có khả năng ' || way || ' trong ' || horizon || ' tới.' || chr(10) || 'Mức thay đổi kỳ vọng: ' || CASE WHEN ret >= 0 THEN '+' ELSE '' END || format('{{:.2f}}', ret * 100) || '%.' || chr(10)
-    || 'Độ tin cậy: ' || format('{{:.2f}}', confidence) || '.' || chr(10) || 'Bằng chứng chính: (a) ' || rtrim(trim(title), '.') || '.' || chr(10) || 'Yếu tố chi phối: dòng tiền ETF và rủi ro sàn giao dịch.' || chr(10)
-    || 'Giải thích: Mô hình nhận thấy tín hiệu ' || way || ' hiện tại được hỗ trợ bởi dòng tiền ETF và rủi ro sàn giao dịch kết hợp với bối cảnh thị trường đa khung thời gian; các tin còn lại được xem là ít quan trọng hơn hoặc trùng lặp ngữ nghĩa.' || chr(10)
+_CUT = "CASE WHEN length(rtrim(trim(x), '.')) > 120 THEN substr(rtrim(trim(x), '.'), 1, 117) || '...' ELSE rtrim(trim(x), '.') END"
+_NAMED = "CASE x WHEN 'etf_flow' THEN 'dòng tiền ETF' WHEN 'exchange_risk' THEN 'rủi ro sàn giao dịch' ELSE replace(x, '_', ' ') END"
+_FACTORS = (("etf_flow",), ("etf_flow", "exchange_risk"), ("exchange_risk", "made_up_name", "etf_flow"), ("made_up_name",))
+
+
+@query("f38_explanation_text", sql_with("predictions articles", f"""SELECT pred_id, md5('Tín hiệu: BTC có khả năng ' || way || ' trong ' || horizon || ' tới.' || chr(10)
+    || CASE WHEN pred_id % 7 = 0 THEN '' ELSE 'Mức thay đổi kỳ vọng: ' || CASE WHEN ret >= 0 THEN '+' ELSE '' END || format('{{:.2f}}', ret * 100) || '%.' || chr(10) END
+    || 'Độ tin cậy: ' || format('{{:.2f}}', confidence) || '.' || chr(10)
+    || CASE WHEN len(titles) = 0 THEN '' ELSE 'Bằng chứng chính: ' || array_to_string(list_transform(titles[1:3], lambda x, i: '(' || chr(96 + CAST(i AS INTEGER)) || ') ' || {_CUT}), '; ') || '.' || chr(10) END
+    || CASE WHEN len(factors) = 0 THEN '' ELSE 'Yếu tố chi phối: ' || named || '.' || chr(10) END
+    || 'Giải thích: Mô hình nhận thấy tín hiệu ' || way || ' hiện tại được hỗ trợ bởi ' || named || ' kết hợp với bối cảnh thị trường đa khung thời gian; các tin còn lại được xem là ít quan trọng hơn hoặc trùng lặp ngữ nghĩa.' || chr(10)
     || CASE WHEN confidence >= 0.5 THEN 'Quyết định: PHÁT CẢNH BÁO (ĉ=' || format('{{:.2f}}', confidence) || ' đạt ngưỡng tin cậy và phân phối dự báo đủ sắc nét).'
     ELSE 'Quyết định: GIỮ IM LẶNG (ĉ=' || format('{{:.2f}}', confidence) || ' chưa đạt ngưỡng — tránh phát tín hiệu khi bất định cao).' END) AS digest
-    FROM (SELECT *, CASE pred WHEN 0 THEN 'giảm' WHEN 1 THEN 'đi ngang' ELSE 'tăng' END AS way FROM predictions) p JOIN articles a ON a.article_id = p.pred_id"""))
+    FROM (SELECT *, CASE WHEN len(factors) = 0 THEN 'không có yếu tố nổi bật' ELSE array_to_string(list_transform(factors[1:2], lambda x: {_NAMED}), ' và ') END AS named
+    FROM (SELECT p.*, CASE pred WHEN 0 THEN 'giảm' WHEN 1 THEN 'đi ngang' ELSE 'tăng' END AS way, list_filter([a.title, b.title, c.title, d.title], lambda x: x IS NOT NULL)[1 : p.pred_id % 5] AS titles,
+    CASE p.pred_id % 5 {' '.join(f"WHEN {i + 1} THEN {list(f)}" for i, f in enumerate(_FACTORS))} ELSE [] END AS factors
+    FROM predictions p JOIN articles a ON a.article_id = p.pred_id LEFT JOIN articles b ON b.article_id = p.pred_id + 1 LEFT JOIN articles c ON c.article_id = p.pred_id + 2
+    LEFT JOIN articles d ON d.article_id = p.pred_id + 3))"""))
 def _(t):
-    rows = t.predictions.join(t.articles.select(F.col("article_id").alias("pred_id"), "title"), ["pred_id"])
-    rows = rows.select("pred_id", F.col("pred").alias("direction"), "confidence", "horizon", F.array("title").alias("titles"),
-                       F.array(F.lit("etf_flow"), F.lit("exchange_risk")).alias("factors"), (F.col("confidence") >= 0.5).alias("alert"), F.col("ret").alias("return_pred"))
+    shifted = [t.articles.select((F.col("article_id") - i).alias("pred_id"), F.col("title").alias(f"title{i}")) for i in range(4)]
+    rows = t.predictions.join(shifted[0], ["pred_id"])
+    for more in shifted[1:]:
+        rows = rows.join(more, ["pred_id"], "left")
+    kind = F.col("pred_id") % 5
+    factors = F.array().cast("array<string>")
+    for i, names in enumerate(_FACTORS):
+        factors = F.when(kind == i + 1, F.array(*map(F.lit, names))).otherwise(factors)
+    titles = F.slice(F.array_compact(F.array(*[f"title{i}" for i in range(4)])), 1, kind.cast("int"))
+    rows = rows.select("pred_id", F.col("pred").alias("direction"), "confidence", "horizon", titles.alias("titles"), factors.alias("factors"),
+                       (F.col("confidence") >= 0.5).alias("alert"), F.when(F.col("pred_id") % 7 != 0, F.col("ret")).alias("return_pred"))
     return dc.explanation_text(rows).select("pred_id", F.md5("explanation").alias("digest"))
