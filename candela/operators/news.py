@@ -318,43 +318,132 @@ def tfidf_norms(vectors: DataFrame) -> DataFrame:
     return vectors.groupBy("article_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
 
 
-HALF_DAY = 12
-
-
-def novelty(news: DataFrame, hours: int = 24, column: str = "title") -> DataFrame:
-    """1 - highest cosine similarity to an article of the ``hours`` before (exact).
-
-    Copies with the same words within an hour are one group: only its first
-    member is compared, the others have similarity 1.  Groups meet through
-    their words and half-days; the products of the shared words are summed per
-    pair as they come out of the join, so no vector is fetched again and a
-    frequent word is split like any other large join key.
+TILE = 2048
+
+
+def tiles(groups: DataFrame, size: int = TILE) -> DataFrame:
+    """Groups in order of time, ``size`` to a row: times, ids, and the words and shares of all of them end to end."""
+    placed = ordered_index(groups.select("first.published_at", "gid", "last", "norm", "vec"), ["published_at", "gid"])
+    each = F.struct(
+        "rn", F.unix_micros("published_at").alias("first"), F.unix_micros("last").alias("last"), "gid",
+        F.transform("vec", lambda w: F.xxhash64(w["token"])).alias("words"), F.transform("vec", lambda w: w["weight"] / F.col("norm")).alias("shares"))
+    rows = placed.groupBy(F.floor((F.col("rn") - 1) / F.lit(size)).alias("tile")).agg(F.array_sort(F.collect_list(each)).alias("g"))  # ``size`` groups
+    field = lambda n: F.transform("g", lambda x: x[n])
+    return rows.select("tile", field("first").alias("first"), field("last").alias("last"), field("gid").alias("gid"), F.transform("g", lambda x: F.size(x["words"])).alias("sizes"),
+                       F.flatten(field("words")).alias("words"), F.flatten(field("shares")).alias("shares"))
+
+
+class _Lists:
+    """Inverted lists of one tile."""
+
+    def __init__(self, row, micros: int):
+        import numpy as np
+
+        sizes = np.asarray(row.sizes, np.int64)
+        self.first, self.last, self.micros = np.asarray(row.first, np.int64), np.asarray(row.last, np.int64), micros
+        words, shares = np.asarray(row.words, np.int64), np.asarray(row.shares, float)
+        order = np.argsort(words, kind="stable")
+        self.words, starts = np.unique(words[order], return_index=True)
+        self.ends = np.append(starts, len(order))
+        self.groups, self.shares = np.repeat(np.arange(len(sizes)), sizes)[order], shares[order]
+        self.highest = np.maximum.reduceat(self.shares, starts) if len(starts) else np.zeros(0)
+
+    def best(self, words, shares, place: int, first: int, best: float) -> tuple[float, bool]:
+        """The highest cosine of a text to an earlier group within the window, and whether the lists had to be read.
+
+        ``place`` is the number of groups of this tile that come before the text.
+        """
+        import numpy as np
+
+        at = np.minimum(np.searchsorted(self.words, words), max(len(self.words) - 1, 0))
+        held = self.words[at] == words if len(self.words) else np.zeros(len(words), bool)
+        at, shares = at[held], shares[held]
+        if not len(at) or float(shares @ self.highest[at]) <= best:
+            return best, False
+        sizes = self.ends[at + 1] - self.ends[at]
+        stops = sizes.cumsum()
+        rows = np.arange(stops[-1]) + np.repeat(self.ends[at] - stops + sizes, sizes)
+        dots = np.bincount(self.groups[rows], weights=self.shares[rows] * np.repeat(shares, sizes), minlength=len(self.first))
+        dots = dots[:place][self.last[:place] >= first - self.micros]
+        return max(best, float(dots.max(initial=0.0))), True
+
+
+def best_matches(groups: DataFrame, hours: int = 24, size: int = TILE) -> DataFrame:
+    """gid, best (highest cosine to an earlier group within ``hours``) and read (tiles whose lists were read for it).
+
+    Groups in order of time are cut into tiles.  A tile meets itself and the tiles before it that reach into the window, the
+    nearest first, in one stream; it and one other are held.  The other's inverted lists keep the highest share of every word: a text reads
+    them only if the sum of its shares times these can beat the best cosine found so far.  A burst makes more
+    tiles, never larger ones; no pair of texts is written out.
     """
+    micros = hours * 3_600_000_000
+    packed = durable(tiles(groups, size))
+    ends = packed.select("tile", F.array_min("first").alias("start"), F.array_max("last").alias("end"))
+    reach = Window.orderBy("tile").rowsBetween(Window.unboundedPreceding, 0)  # a row per tile
+    # tiles are in order of time, so those that reach into a window are a stretch that ends with the tile itself: it begins after
+    # the tiles whose latest time, and that of all before them, lies before the window
+    upto = Window.orderBy("tile").rowsBetween(Window.unboundedPreceding, 0)  # a row per tile
+    over = ends.select((F.max("end").over(upto) + micros).alias("at"), F.lit(None).cast("long").alias("tile"))
+    order = Window.orderBy("at", F.col("tile").isNull()).rowsBetween(Window.unboundedPreceding, 0)  # two rows per tile
+    begun = over.unionByName(ends.select(F.col("start").alias("at"), "tile")).withColumn("begin", F.sum(F.col("tile").isNull().cast("long")).over(order))
+    wanted = begun.filter("tile is not null").select("tile", F.explode(F.sequence(F.least("tile", "begin"), F.col("tile"))).alias("other"))
+    pairs = wanted.withColumn("_t", F.col("other")).join(packed.withColumnRenamed("tile", "_t"), ["_t"]).drop("_t")
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        own = None
+
+        def closed():
+            return pd.DataFrame({"gid": own["gid"], "best": own["best"], "read": own["read"]})
+
+        for b in batches:
+            for row in b.itertuples(index=False):
+                lists = _Lists(row, micros)
+                if own is None or own["tile"] != row.tile:
+                    if own is not None:
+                        yield closed()
+                    sizes = np.asarray(row.sizes, np.int64)
+                    own = {"tile": row.tile, "gid": np.asarray(row.gid), "first": lists.first, "ends": np.append(0, sizes.cumsum()), "words": np.asarray(row.words, np.int64),
+                           "shares": np.asarray(row.shares, float), "best": np.zeros(len(sizes)), "read": np.zeros(len(sizes), np.int64)}
+                for i, (s, e) in enumerate(zip(own["ends"][:-1], own["ends"][1:])):
+                    place = i if row.other == row.tile else len(lists.first)
+                    own["best"][i], read = lists.best(own["words"][s:e], own["shares"][s:e], place, own["first"][i], own["best"][i])
+                    own["read"][i] += read
+        if own is not None:
+            yield closed()
+
+    kind = dict(packed.dtypes)["gid"][6:-1]
+    return pairs.repartition("tile").sortWithinPartitions("tile", F.desc("other")).mapInPandas(run, f"gid {kind}, best double, read long")
+
+
+def copies_of(news: DataFrame, column: str = "title") -> tuple[DataFrame, DataFrame]:
+    """Articles with the key of their words, and the groups of copies within an hour (gid: their first article)."""
     rows = token_rows(news, column)
     words = tfidf(rows, idf(rows, news)).filter("weight > 0")
     vectors = words.groupBy("article_id").agg(
-        F.array_sort(F.collect_list(F.struct("token", "weight"))).alias("vec"),  # words of one text
+        F.array_sort(F.collect_list(F.struct("token", "weight", "df"))).alias("vec"),  # words of one text
         F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
     base = durable(
         news.select("article_id", "published_at").join(vectors, ["article_id"])
         .withColumn("key", F.sha2(F.to_json("vec"), 256))
         .withColumn("hour", F.floor(F.unix_seconds("published_at") / 3600)))
     at = F.struct("published_at", "article_id")
-    groups = durable(base.groupBy("key", "hour").agg(
+    groups = base.groupBy("key", "hour").agg(
         F.min(at).alias("first"), F.max("published_at").alias("last"), F.min_by("vec", at).alias("vec"),
-        F.min_by("norm", at).alias("norm")).withColumn("gid", F.col("first.article_id")))
-    half = lambda hour: F.floor(hour / F.lit(HALF_DAY))
-    posted = groups.select("gid", "hour", "first", "last", "norm", F.explode("vec").alias("w")).select(
-        "gid", "hour", "first", "last", F.col("w.token").alias("word"), (F.col("w.weight") / F.col("norm")).alias("share"))
-    left = posted.select(
-        "word", F.col("gid").alias("a"), F.col("first").alias("fa"), F.col("share").alias("x"),
-        F.explode(F.sequence(half(F.col("hour") - hours), half(F.col("hour")))).alias("half"))
-    right = posted.select("word", F.col("gid").alias("b"), F.col("first").alias("fb"), F.col("last").alias("lb"),
-                          F.col("share").alias("y"), half(F.col("hour")).alias("half"))
-    near = F.unix_micros("lb") >= F.unix_micros("fa.published_at") - hours * 3_600_000_000
-    dots = left.join(right, ["word", "half"]).filter((F.col("fb") < F.col("fa")) & near).groupBy("a", "b").agg(
-        F.sum(F.col("x") * F.col("y")).alias("dot"))
-    sims = dots.groupBy(F.col("a").alias("gid")).agg(F.max("dot").alias("best"))
+        F.min_by("norm", at).alias("norm")).withColumn("gid", F.col("first.article_id"))
+    return base.select("article_id", "key", "hour"), groups
+
+
+def novelty(news: DataFrame, hours: int = 24, column: str = "title", tile: int = TILE) -> DataFrame:
+    """1 - highest cosine similarity to an article of the ``hours`` before (exact).
+
+    Copies with the same words within an hour are one group: only its first
+    member is compared, the others have similarity 1.
+    """
+    base, groups = copies_of(news, column)
+    sims = best_matches(groups, hours, tile).select("gid", "best")
     firsts = base.join(groups.select("key", "hour", "gid"), ["key", "hour"]).join(sims, ["gid"], "left")
     sim = F.when(F.col("article_id") == F.col("gid"), F.coalesce("best", F.lit(0.0))).otherwise(F.lit(1.0))
     known = firsts.select("article_id", sim.alias("similarity"))

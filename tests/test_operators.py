@@ -208,7 +208,7 @@ def test_novelty_against_brute_force(spark, seed):
         words = ["market"] + [rnd.choice(vocabulary) for _ in range(rnd.randrange(0, 4))]
         rows.append((i, " ".join(words) if i % 6 else "market alpha beta", T0 + dt.timedelta(minutes=rnd.randrange(4000))))
     news = spark.createDataFrame(rows, "article_id int, title string, published_at timestamp")
-    got = {r.article_id: r.similarity for r in nw.novelty(news).collect()}
+    got = {r.article_id: r.similarity for r in nw.novelty(news, tile=7 if seed else 2048).collect()}
     docs = {i: t.split() for i, t, _ in rows}
     df = {}
     for ws in docs.values():
@@ -224,6 +224,22 @@ def test_novelty_against_brute_force(spark, seed):
         assert math.isclose(got[i], best, abs_tol=1e-9), i
 
 
+def test_novelty_reads_only_lists_that_can_win(spark):
+    """A burst in one hour, a word in all texts but one, and exact copies of every text later on."""
+    rnd = random.Random(9)
+    texts = [" ".join(["common", *(f"w{rnd.randrange(60)}" for _ in range(6))]) for _ in range(150)]
+    rows = [(i, t, T0 + dt.timedelta(seconds=i)) for i, t in enumerate(texts)] + [(200 + i, t, T0 + 3 * HOUR + dt.timedelta(seconds=i)) for i, t in enumerate(texts)]
+    rows.append((999, "w1 w2 w3", T0 + 30 * HOUR))
+    news = spark.createDataFrame(rows, "article_id int, title string, published_at timestamp")
+    groups = nw.copies_of(news)[1]
+    found = {r.gid: r for r in nw.best_matches(groups, size=25).collect()}
+    whole = {r.gid: r for r in nw.best_matches(groups).collect()}
+    assert {g: round(r.best, 9) for g, r in found.items()} == {g: round(r.best, 9) for g, r in whole.items()}
+    assert all(r.best > 0.999999 for g, r in found.items() if 200 <= g < 350) and found[999].best < 0.9
+    # the copy stands six tiles back: own tile, those between, and its tile are read, those behind it are not
+    assert all(r.read <= 8 for g, r in found.items() if 200 <= g < 350) and found[349].read < 349 // 25
+
+
 def test_last_filter_keeps_the_best_when_none_is_confident(spark):
     pairs = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (2, 12, 1)], "candle_ts int, article_id int, rank int")
     probs = spark.createDataFrame([(10, [0.2, 0.3]), (11, [0.5, 0.1])], "article_id int, factors array<double>")
