@@ -358,7 +358,7 @@ class _Lists:
         at = np.minimum(np.searchsorted(self.words, words), max(len(self.words) - 1, 0))
         held = self.words[at] == words if len(self.words) else np.zeros(len(words), bool)
         at, shares = at[held], shares[held]
-        if not len(at) or float(shares @ self.highest[at]) <= best:
+        if not len(at) or min(float(shares @ self.highest[at]), float(np.sqrt(shares @ shares))) <= best + 1e-12:
             return best, False
         sizes = self.ends[at + 1] - self.ends[at]
         stops = sizes.cumsum()
@@ -373,7 +373,7 @@ def best_matches(groups: DataFrame, hours: int = 24, size: int = TILE) -> DataFr
 
     Groups in order of time are cut into tiles.  A tile meets itself and the tiles before it that reach into the window, the
     nearest first, in one stream; it and one other are held.  The other's inverted lists keep the highest share of every word: a text reads
-    them only if the sum of its shares times these can beat the best cosine found so far.  A burst makes more
+    them only if the sum of its shares times these, and the length of its vector on the words there, can beat the best cosine found so far.  A burst makes more
     tiles, never larger ones; no pair of texts is written out.
     """
     micros = hours * 3_600_000_000
