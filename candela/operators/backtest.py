@@ -133,71 +133,56 @@ def strategy_signals(context: DataFrame, strategies: Mapping[str, Mapping]) -> D
 BLOCK = 512
 
 
+def price_levels(candles: DataFrame, block: int = BLOCK) -> list[DataFrame]:
+    """A hierarchy of lows and highs: symbol, parent, kids (at, lo, hi, ts) of ``block`` positions each.
+
+    The lowest level holds candles, every other one the blocks of the level below; the last has one block per symbol.
+    """
+    cells = candles.select("symbol", (F.col("rn") - 1).alias("at"), F.col("low").alias("lo"), F.col("high").alias("hi"), "ts")
+    most = cells.agg(F.max("at")).first()[0] or 0
+    levels = []
+    while True:
+        rows = durable(cells.groupBy("symbol", F.floor(F.col("at") / F.lit(block)).alias("parent")).agg(
+            F.array_sort(F.collect_list(F.struct("at", "lo", "hi", "ts"))).alias("kids"), F.min("lo").alias("lo"), F.max("hi").alias("hi")))  # ``block`` elements
+        levels.append(rows.select("symbol", "parent", "kids"))
+        most //= block
+        if not most:
+            return levels
+        cells = rows.select("symbol", F.col("parent").alias("at"), "lo", "hi", F.lit(None).cast("timestamp").alias("ts"))
+
+
 def barrier_touch(entries: DataFrame, candles: DataFrame, block: int = BLOCK) -> DataFrame:
     """First candle after the entry that reaches a barrier; the stop is checked first.
 
     ``entries``: strategy, symbol, rn, side (``long`` / ``short``), stop, take.
-    ``candles``: symbol, rn, ts, high, low.  Candles are summarised per block of
-    positions (lowest low, highest high).  Each entry finds the first block with
-    a hit from that short list and then the candle inside that block, so a task
-    sees one block of entries and one block of candles at a time.
+    ``candles``: symbol, rn, ts, high, low.  An entry looks at the rest of its own block of candles, then at the rest of
+    the block of blocks around it, and so on up ``price_levels``; from where it finds a block with a hit it goes down
+    again.  Each step is a join by block that adds one row of ``block`` elements to an entry; entries that end in the same block
+    are the large side of such a join.
     """
-    import numpy as np
-    import pandas as pd
-
-    own = lambda c: F.floor((F.col(c) - 1) / block)
-    bars = candles.select("symbol", "rn", "ts", "high", "low", own("rn").alias("blk"))
-    summary = bars.groupBy("symbol", "blk").agg(F.min("low").alias("lo"), F.max("high").alias("hi"))
-    # candle-table bound: one entry per block of positions
-    lists = summary.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("blk", "lo", "hi"))).alias("blocks"))
-    keyed = entries.select("strategy", "symbol", F.col("rn").alias("entry_rn"), "side", "stop", "take", own("rn").alias("blk"))
-    slots = keyed.select("symbol", "blk").distinct().join(lists, ["symbol"]).select(
-        F.col("symbol").alias("s_symbol"), F.col("blk").alias("s_blk"), "blocks")
-
-    def reach(side, stop, take, lo, hi):
-        """(stop reached, take reached) for arrays of lows and highs."""
-        with np.errstate(invalid="ignore"):
-            if side == "long":
-                return lo <= stop, hi >= take
-            return hi >= stop, lo <= take
-
-    def route(e: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        if e.empty:
-            return e.assign(target=pd.Series(dtype="int64"))[cols]
-        blocks = s["blocks"].iloc[0]
-        blk = np.array([b["blk"] for b in blocks]); lo = np.array([b["lo"] for b in blocks]); hi = np.array([b["hi"] for b in blocks])
-        at = int(np.searchsorted(blk, e["blk"].iloc[0]))
-        found = []
-        for side, stop, take in zip(e["side"], e["stop"].fillna(np.nan), e["take"].fillna(np.nan)):
-            a, b = reach(side, stop, take, lo[at + 1:], hi[at + 1:])
-            hit = np.flatnonzero(a | b)
-            found.append(int(blk[at + 1 + hit[0]]) if len(hit) else -1)
-        return e.assign(target=found)[cols]
-
-    cols = ["strategy", "symbol", "entry_rn", "side", "stop", "take", "blk", "target"]
-    routed = keyed.groupBy("symbol", "blk").cogroup(slots.groupBy("s_symbol", "s_blk")).applyInPandas(
-        route, "strategy string, symbol string, entry_rn long, side string, stop double, take double, blk long, target long")
-    # look in the entry's own block first, then in the routed one
-    looks = routed.select("*", F.explode(F.array(F.col("blk"), F.col("target"))).alias("look")).filter("look >= 0").drop("blk", "target")
-
-    def search(e: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        c = c.sort_values("rn")
-        rn, lo, hi, ts = c["rn"].to_numpy(), c["low"].to_numpy(), c["high"].to_numpy(), c["ts"].to_numpy()
-        for strategy, symbol, entry, side, stop, take in zip(e["strategy"], e["symbol"], e["entry_rn"], e["side"], e["stop"], e["take"]):
-            i = int(np.searchsorted(rn, entry, side="right"))
-            a, b = reach(side, stop, take, lo[i:], hi[i:])
-            hit = np.flatnonzero(a | b)
-            if len(hit):
-                k = hit[0]
-                out.append((strategy, symbol, entry, rn[i + k], ts[i + k], float(stop if a[k] else take), "STOP_LOSS" if a[k] else "TAKE_PROFIT"))
-        return pd.DataFrame(out, columns=["strategy", "symbol", "entry_rn", "exit_rn", "exit_ts", "exit_price", "reason"])
-
-    cells = bars.select(F.col("symbol").alias("c_symbol"), F.col("blk").alias("c_blk"), "rn", "ts", "high", "low")
-    hits = looks.groupBy("symbol", "look").cogroup(cells.groupBy("c_symbol", "c_blk")).applyInPandas(
-        search, "strategy string, symbol string, entry_rn long, exit_rn long, exit_ts timestamp, exit_price double, reason string")
-    return hits.groupBy("strategy", "symbol", "entry_rn").agg(F.min_by(F.struct("exit_rn", "exit_ts", "exit_price", "reason"), "exit_rn").alias("_x")).select(
-        "strategy", "symbol", "entry_rn", "_x.*")
+    levels = price_levels(candles, block)
+    long = F.col("side") == "long"
+    stops = lambda x: F.coalesce(F.when(long, x["lo"] <= F.col("stop")).otherwise(x["hi"] >= F.col("stop")), F.lit(False))
+    takes = lambda x: F.coalesce(F.when(long, x["hi"] >= F.col("take")).otherwise(x["lo"] <= F.col("take")), F.lit(False))
+    names = ["strategy", "symbol", "entry_rn", "side", "stop", "take"]
+    state = entries.select("strategy", "symbol", F.col("rn").alias("entry_rn"), "side", "stop", "take", (F.col("rn") - 1).alias("at"))
+
+    def looked(rows: DataFrame, level: DataFrame, parent: Column, after: Column) -> DataFrame:
+        hits = F.filter("kids", lambda x: (x["at"] > after) & (stops(x) | takes(x)))
+        return rows.withColumn("parent", parent).join(level, ["symbol", "parent"], "left").select(*names, "at", F.get(hits, F.lit(0)).alias("hit"))
+
+    found = []
+    for level in levels:
+        seen = durable(looked(state, level, F.floor(F.col("at") / F.lit(block)), F.col("at")))
+        found.append(seen.filter("hit is not null").select(*names, "hit"))
+        state = seen.filter("hit is null").select(*names, F.floor(F.col("at") / F.lit(block)).alias("at"))
+    hits = found[-1]
+    for level, own in zip(reversed(levels[:-1]), reversed(found[:-1])):
+        down = looked(hits.withColumn("at", F.col("hit")["at"]), level, F.col("at"), F.lit(-1))
+        hits = own.unionByName(down.select(*names, "hit"))
+    stopped = stops(F.col("hit"))
+    return hits.select("strategy", "symbol", "entry_rn", (F.col("hit")["at"] + 1).alias("exit_rn"), F.col("hit")["ts"].alias("exit_ts"),
+                       F.when(stopped, F.col("stop")).otherwise(F.col("take")).alias("exit_price"), F.when(stopped, "STOP_LOSS").otherwise("TAKE_PROFIT").alias("reason"))
 
 
 def entries_of(signals: DataFrame, limits: Mapping[str, Mapping]) -> DataFrame:

@@ -350,6 +350,18 @@ def test_barriers_stop_is_checked_first(spark, block):
         assert got.get((s, i)) == want
 
 
+def test_barriers_over_several_levels_that_end_in_one_block(spark):
+    """Five levels of four; every entry waits for the same late fall, but for those without a barrier in reach."""
+    closes = [100.0] * 700 + [50.0] + [100.0] * 40
+    c = candle_index(bars(spark, closes), "1h")
+    rows = [("s", "x", i, "long", 60.0, 1000.0) for i in range(1, 730, 3)] + [("t", "x", i, "short", 1000.0, 60.0) for i in range(2, 700, 50)]
+    rows += [("u", "x", 5, "long", None, None), ("v", "x", 741, "long", 99.5, 100.5), ("w", "y", 1, "long", 1.0, 2.0)]
+    e = spark.createDataFrame(rows, "strategy string, symbol string, rn bigint, side string, stop double, take double")
+    got = {(r.strategy, r.entry_rn): (r.exit_rn, r.exit_price, r.reason) for r in bt.barrier_touch(e, c, 4).collect()}
+    want = {("s", i): (701, 60.0, "STOP_LOSS") for i in range(1, 701, 3)} | {("t", i): (701, 60.0, "TAKE_PROFIT") for i in range(2, 700, 50)}
+    assert got == want
+
+
 def test_sell_signal_closes_a_long(spark):
     c = candle_index(bars(spark, [100.0] * 60), "1h")
     marks = {51: "BUY", 52: "BUY", 55: "SELL", 57: "SELL"}
