@@ -22,28 +22,23 @@ def _first(obj: Column, *names: str) -> Column:
     return F.coalesce(*[F.nullif(F.nullif(F.try_element_at(obj, F.lit(n)), F.lit("")), F.lit("0")) for n in names])
 
 
-def _path(col: str, *paths: str) -> Column:
-    """First present, non-empty value among JSON paths."""
-    return F.coalesce(*[F.nullif(F.nullif(F.get_json_object(col, f"$.{p}"), F.lit("")), F.lit("0")) for p in paths])
-
-
-def _raw(col: str, *paths: str) -> Column:
-    return F.coalesce(*[F.get_json_object(col, f"$.{p}") for p in paths])
-
-
 def _is_object(col: Column) -> Column:
     return F.coalesce(F.startswith(F.ltrim(col), F.lit("{")), F.lit(False))
 
 
-def _unpack(raw: DataFrame, value_col: str, row: Column) -> DataFrame:
-    """Fields of ``row`` where it names a symbol and a time.
+def _exploded(raw: DataFrame, value_col: str, row: Column, known) -> DataFrame:
+    """Fields of ``row`` where ``known(row)`` holds.
 
     The struct is built once per message and exploded; a filter on its fields
     would be pushed below the parsing and repeat it.
     """
     keep = [c for c in raw.columns if c != value_col]
-    known = F.filter(F.array(row), lambda r: r["symbol"].isNotNull() & r["ts"].isNotNull())
-    return raw.select(*keep, F.explode(known).alias("_r")).select(*keep, "_r.*")
+    return raw.select(*keep, F.explode(F.filter(F.array(row), known)).alias("_r")).select(*keep, "_r.*")
+
+
+def _unpack(raw: DataFrame, value_col: str, row: Column) -> DataFrame:
+    """Fields of ``row`` where it names a symbol and a time."""
+    return _exploded(raw, value_col, row, lambda r: r["symbol"].isNotNull() & r["ts"].isNotNull())
 
 
 def normalize_klines(raw: DataFrame, value_col: str = "value") -> DataFrame:
@@ -121,16 +116,15 @@ def unwrap_raw(json: Column) -> Column:
     return F.aggregate(F.array_repeat(F.lit(0), F.regexp_count(json, F.lit('"raw"'))), json, level)
 
 
-def _pos_neg(json: Column) -> Column:
-    def part(*names):
-        return F.coalesce(*[F.nullif(F.get_json_object(json, f"$.{n}").try_cast("double"), F.lit(0.0)) for n in names], F.lit(0.0))
-    return part("pos", "positive") - part("neg", "negative")
+def _probabilities(json: Column) -> Column:
+    """``pos`` and ``neg`` of a probability map, parsed once; what is missing counts as 0."""
+    def part(m: Column, *names: str) -> Column:
+        return F.coalesce(*[F.nullif(F.try_element_at(m, F.lit(n)).try_cast("double"), F.lit(0.0)) for n in names], F.lit(0.0))
+    return let(_object(json), lambda m: F.struct(part(m, "pos", "positive").alias("pos"), part(m, "neg", "negative").alias("neg")))
 
 
-def _has_probs(json: Column) -> Column:
-    def part(*names):
-        return F.coalesce(*[F.nullif(F.get_json_object(json, f"$.{n}").try_cast("double"), F.lit(0.0)) for n in names], F.lit(0.0))
-    return (part("pos", "positive") != 0) | (part("neg", "negative") != 0)
+def _pos_neg(json: Column) -> Column:
+    return let(_probabilities(json), lambda p: p["pos"] - p["neg"])
 
 
 def signed_sentiment(label: Column, score: Column, raw: Column) -> Column:
@@ -142,7 +136,7 @@ def signed_sentiment(label: Column, score: Column, raw: Column) -> Column:
     by_label = (F.when(F.lower(label).isin("negative", "neg"), -F.abs(number))
                 .when(F.lower(label) == "neutral", F.lit(0.0)).otherwise(number))
     return (F.when(is_map, _pos_neg(score))
-            .when(no_score & raw_map & _has_probs(raw), _pos_neg(raw))
+            .when(no_score & raw_map & let(_probabilities(raw), lambda p: (p["pos"] != 0) | (p["neg"] != 0)), _pos_neg(raw))
             .when(score.isNull() & ~raw_map & raw.try_cast("double").isNotNull(), raw.try_cast("double"))
             .when(number.isNotNull(), by_label).otherwise(F.lit(0.0)))
 
@@ -157,42 +151,43 @@ def document_sentiment(score: Column, sentiment: Column) -> Column:
 
 def normalize_news(raw: DataFrame, value_col: str = "value", now: Column | None = None) -> DataFrame:
     """Analysed-news messages; without a url they are dropped, an unreadable time becomes ``now``."""
-    v = value_col
-    body = F.coalesce(_raw(v, "raw", "raw_score", "sentiment"), F.col(v))
-    signed = signed_sentiment(_raw(v, "sentiment_label", "label"), _raw(v, "sentiment_score", "score"), body)
-    return raw.select(
-        *[c for c in raw.columns if c != v],
-        F.coalesce(to_ts(F.get_json_object(v, "$.published_at")), now if now is not None else F.current_timestamp()).alias("time"),
-        _path(v, "url", "link").alias("url"), F.get_json_object(v, "$.source").alias("source"),
-        F.get_json_object(v, "$.title").alias("title"), signed.alias("sentiment_score"), unwrap_raw(body).alias("raw_score"),
-    ).filter("url is not null")
+    v = F.col(value_col)
+
+    def row(m: Column) -> Column:
+        body = F.coalesce(_get(m, "raw", "raw_score", "sentiment"), v)
+        return F.struct(
+            F.coalesce(to_ts(_get(m, "published_at")), now if now is not None else F.current_timestamp()).alias("time"),
+            _first(m, "url", "link").alias("url"), _get(m, "source").alias("source"), _get(m, "title").alias("title"),
+            signed_sentiment(_get(m, "sentiment_label", "label"), _get(m, "sentiment_score", "score"), body).alias("sentiment_score"),
+            unwrap_raw(body).alias("raw_score"))
+    return _exploded(raw, value_col, let(_object(v), row), lambda r: r["url"].isNotNull())
 
 
 # ------------------------------------------------------------------ insights and settings
 
 def normalize_insights(raw: DataFrame, value_col: str = "value", now: Column | None = None) -> DataFrame:
     """Insight messages: type, symbol and payload."""
-    v = value_col
-    has_both = _raw(v, "meta").isNotNull() & _raw(v, "predictions").isNotNull()
-    kind = F.when(has_both, "aggregated_prediction").otherwise(F.coalesce(_path(v, "type"), F.lit("unknown")))
-    keep = [c for c in raw.columns if c != v]
-    stamp = [] if now is None else [now.alias("time")]
-    return raw.filter(F.try_parse_json(v).isNotNull()).select(
-        *keep, *stamp, kind.alias("type"), _path(v, "meta.symbol", "predictions[0].symbol").alias("symbol"),
-        F.coalesce(F.get_json_object(v, "$.insight"), F.col(v)).alias("payload"))
+    v = F.col(value_col)
+
+    def row(m: Column) -> Column:
+        meta, first = _get(m, "meta"), _get(m, "predictions")
+        kind = F.when(meta.isNotNull() & first.isNotNull(), "aggregated_prediction").otherwise(F.coalesce(_first(m, "type"), F.lit("unknown")))
+        symbols = [F.nullif(F.nullif(F.get_json_object(x, path), F.lit("")), F.lit("0")) for x, path in ((meta, "$.symbol"), (first, "$[0].symbol"))]
+        stamp = [] if now is None else [now.alias("time")]
+        return F.struct(*stamp, kind.alias("type"), F.coalesce(*symbols).alias("symbol"), F.coalesce(_get(m, "insight"), v).alias("payload"))
+    return _exploded(raw.filter(F.try_parse_json(v).isNotNull()), value_col, let(_object(v), row), lambda r: F.lit(True))
 
 
 def normalize_settings(raw: DataFrame, value_col: str = "value") -> DataFrame:
     """User settings; incomplete messages are dropped."""
-    v = value_col
-    return raw.select(
-        *[c for c in raw.columns if c != v],
-        F.get_json_object(v, "$.user_id").alias("user_id"), F.get_json_object(v, "$.email").alias("email"),
-        F.get_json_object(v, "$.notification_settings").alias("_n"),
-    ).filter("user_id is not null and email is not null and _n is not null").select(
-        *[c for c in raw.columns if c != v], "user_id", "email",
-        F.coalesce(F.from_json(F.get_json_object("_n", "$.prediction_symbols"), "array<string>"), F.array().cast("array<string>")).alias("prediction_symbols"),
-        F.coalesce(F.get_json_object("_n", "$.investment_enabled") == "true", F.lit(False)).alias("investment_enabled"))
+    def row(m: Column) -> Column:
+        names = lambda n: F.coalesce(F.from_json(_get(n, "prediction_symbols"), "array<string>"), F.array().cast("array<string>"))
+        return F.struct(_get(m, "user_id").alias("user_id"), _get(m, "email").alias("email"), let(_get(m, "notification_settings"), lambda n: F.when(
+            n.isNotNull(), let(_object(n), lambda o: F.struct(
+                names(o).alias("prediction_symbols"), F.coalesce(_get(o, "investment_enabled") == "true", F.lit(False)).alias("investment_enabled"))))).alias("_n"))
+    known = lambda r: r["user_id"].isNotNull() & r["email"].isNotNull() & r["_n"].isNotNull()
+    rows = _exploded(raw, value_col, let(_object(F.col(value_col)), row), known)
+    return rows.select(*[c for c in rows.columns if c != "_n"], "_n.*")
 
 
 def payload_field(json: Column, path: str) -> Column:
