@@ -1,13 +1,16 @@
 """License scans by diagonal voting over word bigrams.
 
 Every word bigram of every text is hashed and joined to the positions of the same bigram in a fixed set of templates.
-A hit votes for the diagonal (position in the text minus position in the template).  Votes are summed per diagonal,
-diagonals that lie within ``GAP`` words are merged into one span, and a span counts when enough of the template's
-bigrams were found in it and it is not much longer than the template.  The join compares the words, not only hashes.
+A hit votes for the diagonal (position in the text minus position in the template).  Votes are summed per diagonal.
+From every diagonal on, those ahead that keep the span within ``STRETCH`` times the template and ``GAP`` words more are
+merged, and the window counts when enough of the template's bigrams were found in it; so hits that lie close behind a
+span cannot make it too long.  Windows that begin within ``GAP`` diagonals are one span.  The join compares the words, not only
+hashes.
 
 A *phrase* is a short template that must be found whole: all its bigrams on one diagonal.
 
-Null texts count as empty.  Rows that repeat an id keep one result each, and rows that repeat id and text share theirs.
+Null and empty texts give no span, an empty table no row.  Very long texts are exploded by word; the windows of one text
+and template are one sorted group.  Labels and places do not depend on the order of equal rows.  Extra columns are ignored.  Rows that repeat an id keep one result each, and rows that repeat id and text share theirs.
 Nothing is collected, and the broadcast side is the fixed template table.
 """
 
@@ -67,6 +70,11 @@ def template_rows(phrases=PHRASES, templates=TEMPLATES) -> list[tuple]:
     return rows
 
 
+def widest(phrases=PHRASES, templates=TEMPLATES) -> int:
+    """Diagonals that the longest template may spread over."""
+    return max((int(n_words * (STRETCH - 1)) + GAP for _, _, phrase, _, n_words, *_ in template_rows(phrases, templates) if not phrase), default=0)
+
+
 def template_table(spark: SparkSession, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
     """``template_rows`` with the hash ``h`` of the bigram."""
     table = values(spark, template_rows(phrases, templates), "tid int,label string,phrase int,n_grams int,n_words int,tpos long,t0 string,t1 string")
@@ -91,17 +99,21 @@ def license_spans(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, coverag
     of = ["doc_id", "text_key", "tid", "label", "phrase", "n_grams", "n_words"]
     votes = hits(docs, table).groupBy(*of, "diag").agg(  # at most one element per word of the template
         F.collect_set("tpos").alias("found"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    reach = F.when(F.col("phrase") == 1, 0).otherwise(F.floor(F.col("n_words") * F.lit(STRETCH - 1)).cast("long") + GAP)
     order = Window.partitionBy("doc_id", "text_key", "tid").orderBy("diag")
+    ahead = votes.withColumn("_ahead", F.collect_list(F.struct("diag", "found", "first", "last")).over(order.rangeBetween(0, widest(phrases, templates))))
+    near = F.filter("_ahead", lambda x: x["diag"] <= F.col("diag") + reach)
+    field = lambda n: F.transform("_near", lambda x: x[n])
+    windows_of = ahead.withColumn("_near", near).select(
+        *of, "diag", F.size(F.array_distinct(F.flatten(field("found")))).alias("n_found"), F.array_min(field("first")).alias("start_word"),
+        (F.array_max(field("last")) + 2).alias("end_word"))
+    whole = (F.col("phrase") == 1) & (F.col("n_found") == F.col("n_grams"))
+    enough = (F.col("phrase") == 0) & (F.col("n_found") >= F.col("n_grams") * F.lit(coverage))
     apart = (F.col("phrase") == 1) | (F.col("diag") - F.lag("diag").over(order) > GAP)
-    islands = votes.withColumn("_new", F.coalesce(apart, F.lit(True)).cast("int")).withColumn(
+    islands = windows_of.filter(whole | enough).withColumn("_new", F.coalesce(apart, F.lit(True)).cast("int")).withColumn(
         "_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = islands.groupBy(*of, "_island").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("found")))).alias("n_found"),
-        F.min("first").alias("start_word"), (F.max("last") + 2).alias("end_word"))
-    whole = (F.col("phrase") == 1) & (F.col("n_found") == F.col("n_grams"))
-    near = (F.col("phrase") == 0) & (F.col("n_found") >= F.col("n_grams") * F.lit(coverage)) & (
-        F.col("end_word") - F.col("start_word") <= F.col("n_words") * F.lit(STRETCH) + GAP)
-    return merged.filter(whole | near).select(
+    return islands.groupBy(*of, "_island").agg(
+        F.max("n_found").alias("n_found"), F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word")).select(
         "doc_id", "text_key", "label", "phrase", "start_word", "end_word", (F.col("n_found") / F.col("n_grams")).alias("coverage"))
 
 

@@ -16,13 +16,14 @@ w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''
 g AS (SELECT doc_id, i - 1 AS pos, ws[i] AS a, ws[i + 1] AS b FROM (SELECT doc_id, ws, unnest(range(1, len(ws))) AS i FROM w)),
 v AS (SELECT doc_id, tid, label, phrase, n_grams, n_words, pos - tpos AS diag, list(DISTINCT tpos) AS found, min(pos) AS first, max(pos) AS last
     FROM g JOIN t USING (a, b) GROUP BY ALL),
-n AS (SELECT *, CAST(phrase = 1 OR coalesce(diag - lag(diag) OVER o > {licenses.GAP}, true) AS INTEGER) AS new FROM v
-    WINDOW o AS (PARTITION BY doc_id, tid ORDER BY diag)),
+ah AS (SELECT *, list({{'diag': diag, 'found': found, 'first': first, 'last': last}}) OVER (PARTITION BY doc_id, tid ORDER BY diag
+    RANGE BETWEEN CURRENT ROW AND {licenses.widest()} FOLLOWING) AS ahead, CASE WHEN phrase = 1 THEN 0 ELSE CAST(floor(n_words * CAST({licenses.STRETCH - 1} AS DOUBLE)) AS BIGINT) + {licenses.GAP} END AS reach FROM v),
+m AS (SELECT doc_id, tid, label, phrase, n_grams, diag, len(list_distinct(flatten(list_transform(near, lambda x: x.found)))) AS n_found, list_min(list_transform(near, lambda x: x.first)) AS lo
+    FROM (SELECT *, list_filter(ahead, lambda x: x.diag <= diag + reach) AS near FROM ah)),
+n AS (SELECT *, CAST(phrase = 1 OR coalesce(diag - lag(diag) OVER o > {licenses.GAP}, true) AS INTEGER) AS new FROM m
+    WHERE (phrase = 1 AND n_found = n_grams) OR (phrase = 0 AND n_found >= n_grams * CAST({licenses.COVERAGE} AS DOUBLE)) WINDOW o AS (PARTITION BY doc_id, tid ORDER BY diag)),
 k AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, tid ORDER BY diag) AS island FROM n),
-m AS (SELECT doc_id, tid, label, phrase, n_grams, n_words, len(list_distinct(flatten(list(found)))) AS n_found, min(first) AS lo, max(last) + 2 AS hi
-    FROM k GROUP BY doc_id, tid, label, phrase, n_grams, n_words, island),
-s AS (SELECT *, n_found / CAST(n_grams AS DOUBLE) AS coverage FROM m WHERE (phrase = 1 AND n_found = n_grams)
-    OR (phrase = 0 AND n_found >= n_grams * CAST({licenses.COVERAGE} AS DOUBLE) AND hi - lo <= n_words * CAST({licenses.STRETCH} AS DOUBLE) + {licenses.GAP})),
+s AS (SELECT doc_id, tid, label, phrase, max(n_found) / CAST(n_grams AS DOUBLE) AS coverage, min(lo) AS lo FROM k GROUP BY doc_id, tid, label, phrase, n_grams, island),
 d AS (SELECT doc_id, count(*) FILTER (phrase = 1) AS n_base, min(lo) FILTER (phrase = 1) AS first_word, max(lo) FILTER (phrase = 1) AS last_word,
     array_to_string(list_sort(list(DISTINCT label) FILTER (phrase = 1)), ',') AS base_labels, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels,
     max(coverage) AS score, count(*) FILTER (phrase = 0) AS n_template_spans FROM s GROUP BY doc_id)
