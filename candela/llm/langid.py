@@ -1,15 +1,17 @@
 """Language identification with bit-sliced Bloom filters of character n-grams.
 
 Training counts hashed n-grams of at most ``MAX_DOCS`` labelled documents per language (chosen by the hash of their id),
-keeps for each language the ``MAX_GRAMS`` most frequent ones that are not much more frequent elsewhere, and writes them
+keeps for each language the ``MAX_GRAMS`` most frequent ones that are not much more frequent elsewhere (n-grams of one
+document alone count only for languages with no more than that many), and writes them
 into Bloom filters of one size for all languages.  The filters are stored bit-sliced: cell ``i`` holds one bit per
 language, so the cells of an n-gram combined with ``and`` give the mask of all languages that contain it.
 
 A text is scored by how many of its n-grams each language contains (population counts per language bit), less the false positives that the
-filter's fill predicts.  Texts are whole; long ones are cut into overlapping pieces whose counts add up.
+filter's fill predicts, divided by the share of the language's n-grams that its filter holds.  Texts are whole; long ones are cut into overlapping pieces whose counts add up.
 
 Null texts and texts without a letter are ``und`` with score 0.  Without training rows everything is ``und``.  Equal
-counts are decided by the order of the language names.
+counts are decided by the order of the language names.  Rows that repeat an id are predicted each.  An empty table gives no row; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from candela.llm.common import id_and_text, long_id, sampled_by
+from candela.llm.common import id_and_text, long_id, sampled_by, stored
 
 WIDTH = 4
 MAX_DOCS = 5_000
@@ -66,6 +68,7 @@ def _cells(h: np.ndarray) -> list[np.ndarray]:
 class LanguageFilters:
     languages: list[str] = field(default_factory=list)
     cells: np.ndarray = field(default_factory=lambda: np.zeros((1 << BITS, 0), np.uint64))
+    coverage: list[float] = field(default_factory=list)  # share of a language's n-grams (as often as they come) that its filter holds
 
     def __post_init__(self) -> None:
         n = len(self.languages)
@@ -73,13 +76,13 @@ class LanguageFilters:
         self.false_rate = np.array([b.mean() ** HASHES for b in bits])
 
     @classmethod
-    def build(cls, grams: dict[str, np.ndarray]) -> LanguageFilters:
+    def build(cls, grams: dict[str, np.ndarray], coverage: dict[str, float] | None = None) -> LanguageFilters:
         languages = sorted(grams)
         cells = np.zeros((1 << BITS, -(-len(languages) // 64)), np.uint64)
         for i, name in enumerate(languages):
             for at in _cells(grams[name].astype(np.uint64)):
                 cells[at, i // 64] |= np.uint64(1) << np.uint64(i % 64)
-        return cls(languages, cells)
+        return cls(languages, cells, [(coverage or {}).get(name) or 1.0 for name in languages])
 
     def counts(self, h: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Corrected numbers of n-grams per text and language; ``starts``: where the texts begin in ``h``."""
@@ -95,7 +98,8 @@ class LanguageFilters:
                 bit = ((mask >> np.uint64(i % 64)) & np.uint64(1)).astype(np.int64)
                 total = np.append(0, bit.cumsum())
                 out[:, i] = total[starts + n] - total[starts]
-        return np.maximum(0, (out - n[:, None] * self.false_rate) / np.maximum(1e-9, 1 - self.false_rate))
+        held = np.maximum(0, (out - n[:, None] * self.false_rate) / np.maximum(1e-9, 1 - self.false_rate))
+        return held / np.array(self.coverage or [1.0] * len(self.languages))
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         result: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
@@ -140,19 +144,22 @@ def learn_languages(docs: DataFrame, max_docs: int = MAX_DOCS, max_grams: int =
                 h, n = np.unique(np.concatenate(parts), return_counts=True)  # documents that hold the n-gram
                 yield pd.DataFrame({"lang": lang, "h": h.view(np.int64), "n": n})
 
-    counts = chosen.select("lang", "text").mapInPandas(run, "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n"))
+    counts = stored(chosen.select("lang", "text").mapInPandas(run, "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n")), "grams")
     sizes = {r["lang"]: r["count"] for r in chosen.groupBy("lang").count().collect()}  # a row per language
-    size = F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, float(v))]) if sizes else None
-    if size is None:
+    if not sizes:
         return LanguageFilters()
-    share = counts.filter("n > 1 OR n IS NULL").withColumn("share", F.col("n") / F.element_at(size, F.col("lang")))
+    size = F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, float(v))])
+    totals = {r["lang"]: (r["grams"], r["n"]) for r in counts.groupBy("lang").agg(F.count(F.lit(1)).alias("grams"), F.sum("n").alias("n")).collect()}
+    large = [name for name, (n, _) in totals.items() if n > max_grams]  # only these can do without what one document holds
+    share = counts.filter((F.col("n") > 1) | ~F.col("lang").isin(*large)).withColumn("share", F.col("n") / F.element_at(size, F.col("lang")))
     top = share.groupBy("h").agg(F.max("share").alias("top"))
-    typical = share.join(top, "h").filter(F.col("share") * F.lit(ELSEWHERE) >= F.col("top"))
-    grams = {}
+    typical = stored(share.join(top, "h").filter(F.col("share") * F.lit(ELSEWHERE) >= F.col("top")), "typical")
+    grams, coverage = {}, {}
     for name in sizes:  # at most ``max_grams`` numbers each
-        rows = typical.filter(F.col("lang") == name).orderBy(F.desc("share"), "h").limit(max_grams).select("h").toPandas()
+        rows = typical.filter(F.col("lang") == name).orderBy(F.desc("share"), "h").limit(max_grams).select("h", "n").toPandas()
         grams[name] = rows["h"].to_numpy(np.int64).view(np.uint64) if len(rows) else np.zeros(0, np.uint64)
-    return LanguageFilters.build(grams)
+        coverage[name] = float(rows["n"].sum()) / totals[name][1] if name in totals and len(rows) else 1.0
+    return LanguageFilters.build(grams, coverage)
 
 
 def identify_languages(docs: DataFrame, filters: LanguageFilters) -> DataFrame:
