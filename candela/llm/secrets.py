@@ -18,15 +18,17 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from candela.llm.common import id_and_text, long_id
+from candela.llm.common import id_and_text, long_id, stored
 
 KINDS = ("assign", "access", "hex", "format")
 ASSIGN = re.compile(
@@ -239,10 +241,11 @@ def learn_formats(docs: DataFrame, max_docs: int = MAX_DOCS, per_kind: int = MAX
                 if isinstance(text, str):
                     spans = base_spans(text)
                     rows |= {(kind, secret) for _, kind, _, secret in spans}
-                    rows |= {(3, m[0]) for m in CANDIDATE.finditer(text) if not _inside(m.start(), m.end(), spans)}
+                    covered = _Covered(spans)
+                    rows |= {(3, m[0]) for m in CANDIDATE.finditer(text) if not covered.meets(m.start(), m.end())}
             yield pd.DataFrame(sorted(rows), columns=["kind", "secret"])
 
-    found = some.select("text").mapInPandas(run, "kind int, secret string").distinct().withColumn("_h", F.xxhash64("secret"))
+    found = stored(some.select("text").mapInPandas(run, "kind int, secret string").distinct().withColumn("_h", F.xxhash64("secret")), "secrets")
     shape_of = F.pandas_udf(lambda s: s.map(shape), "string")
     place_of = Window.partitionBy("kind", "_shape").orderBy("_h", "secret")  # distinct strings of the bounded sample
     ranked = found.withColumn("_shape", shape_of("secret")).withColumn("_rank", F.row_number().over(place_of)).filter(F.col("_rank") <= per_kind)
@@ -265,16 +268,25 @@ def formats_of(strings: dict[int, list[str]]) -> Formats:
     return formats
 
 
-def _inside(start: int, end: int, spans: list[tuple[int, int, int, str]]) -> bool:
-    return any(start < e and s < end for s, _, e, _ in spans)
+class _Covered:
+    """Whether a stretch meets one of the spans: of those that begin before its end, the furthest end decides."""
+
+    def __init__(self, spans: list[tuple[int, int, int, str]]):
+        ordered = sorted((s, e) for s, _, e, _ in spans)
+        self.starts, self.furthest = [s for s, _ in ordered], list(accumulate((e for _, e in ordered), max))
+
+    def meets(self, start: int, end: int) -> bool:
+        before = bisect_left(self.starts, end)
+        return before > 0 and self.furthest[before - 1] > start
 
 
 def all_spans(text: str, formats: Formats) -> list[tuple[int, int, int]]:
     """(start, kind number, end): base spans and learned ones, by start, then kind."""
     base = base_spans(text)
+    covered = _Covered(base)
     more = [
         (m.start(), 3, m.end()) for m in CANDIDATE.finditer(text)
-        if formats.looks_secret(m[0]) and not _inside(m.start(), m.end(), base)]
+        if formats.looks_secret(m[0]) and not covered.meets(m.start(), m.end())]
     return sorted([s[:3] for s in base] + more)
 
 
