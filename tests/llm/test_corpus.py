@@ -1,12 +1,13 @@
 """The corpus operators against brute-force versions, exact round trips and held-out accuracy."""
 
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from corpus_rows import SF, prose, row
+from corpus_rows import SCHEMA, SF, prose, row
 from pyspark.sql import functions as F
 
 from candela.llm import boosting, decontaminate, langid, licenses, outliers, pieces, queries, rans, secrets, shards, simhash
@@ -90,6 +91,35 @@ def test_licenses(spark, documents, awkward, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def test_spans_that_crowd_each_other_against_all_windows(spark):
+    """Labels of the method: some window of a text holds enough of a template's bigrams, the allowed diagonals apart."""
+    r = random.Random(7)
+    notes = [" ".join(licenses.template_words(t)) for _, t in licenses.TEMPLATES]
+    texts = ["Released under the MIT License", "Released under the MIT License. The MIT License, the MIT License applies."]
+    for _ in range(40):
+        words = []
+        for _ in range(r.randrange(1, 5)):
+            note = r.choice(notes).split()
+            start = r.randrange(0, 3)
+            words += [w for w in note[start:] if r.random() > 0.04] + r.choice([[], ["the", "mit", "license"], note[-2:], ["x"] * r.randrange(6)])
+        texts.append(" ".join(words))
+    tables = {}
+    for tid, label, phrase, n_grams, n_words, tpos, a, b in licenses.template_rows():
+        if not phrase:
+            tables.setdefault((tid, label, n_grams, n_words), []).append((tpos, (a, b)))
+    got = {x.doc_id: set(x.labels.split(",")) - set(x.base_labels.split(",")) for x in licenses.scan_licenses(spark.createDataFrame([row(i, t) for i, t in enumerate(texts)], SCHEMA)).collect()}
+    assert "mit-text" in got[0] and "mit-text" in got[1]
+    for i, text in enumerate(texts):
+        words = licenses.template_words(text)
+        want = set()
+        for (_, label, n_grams, n_words), grams in tables.items():
+            hits = {(p - t, t) for p, pair in enumerate(zip(words, words[1:])) for t, gram in grams if gram == pair}
+            spread = int(n_words * (licenses.STRETCH - 1)) + licenses.GAP
+            if any(len({t for d, t in hits if first <= d <= first + spread}) >= n_grams * licenses.COVERAGE for first, _ in hits):
+                want.add(label)
+        assert got[i] - {""} == want, text
+
+
 def test_license_templates_survive_small_edits(spark):
     notice = ("Permission is hereby granted, at no cost, free of charge, to any person obtaining a copy of this software and associated "
               "documentation files")
@@ -371,6 +401,17 @@ def test_language_id(spark, awkward, empty):
     assert langid.identify_languages(empty, filters).count() == 0
 
 
+def test_a_language_of_one_document_is_found(spark):
+    """Its n-grams all come from one document; its own text must not go to the large language."""
+    r = random.Random(2)
+    words = {"aa": [f"ka{x}lo{y}" for x in "aeiou" for y in "bdgmn"], "bb": [f"zu{x}re{y}" for x in "aeiou" for y in "ptkfs"]}
+    text = lambda lang: " ".join(r.choice(words[lang]) for _ in range(80))
+    rows = [row(i, text("aa"), "aa") for i in range(60)] + [row(100, text("bb"), "bb")]
+    filters = langid.learn_languages(spark.createDataFrame(rows, SCHEMA))
+    held = spark.createDataFrame([row(i, text("bb" if i % 2 else "aa"), None) for i in range(20)], SCHEMA)
+    assert all(x.lang_pred == ("bb" if x.doc_id % 2 else "aa") for x in langid.identify_languages(held, filters).collect())
+
+
 def test_filters_hold_what_was_put_in():
     grams = {f"l{i:02d}": langid.gram_hashes(f"word{i} only in language number {i}") for i in range(70)}
     filters = langid.LanguageFilters.build(grams)
@@ -411,6 +452,17 @@ def test_secrets(spark, awkward, empty):
     assert secrets.scan_secrets(empty, secrets.learn_formats(empty)).count() == 0
 
 
+def test_covered_stretches_against_all_pairs():
+    r = random.Random(3)
+    for _ in range(50):
+        spans = [(s, 0, s + r.randrange(1, 30), "") for s in (r.randrange(200) for _ in range(r.randrange(8)))]
+        covered = secrets._Covered(spans)
+        for _ in range(40):
+            a = r.randrange(220)
+            b = a + r.randrange(1, 20)
+            assert covered.meets(a, b) == any(a < e and s < b for s, _, e, _ in spans)
+
+
 def test_learned_formats():
     import random
 
