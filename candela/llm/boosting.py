@@ -6,7 +6,8 @@ at most ``BINS`` quantile bins per statistic.  Trees are complete to ``DEPTH`` l
 walks all documents of a batch down one level at a time.
 
 Documents without a label take no part in the fit.  Null and empty texts have statistics of zero and get a score like
-any other.  With no labelled rows, or one label only, the score is that label's share (0.5 without rows).
+any other.  Repeated rows count as often as they come in the fit and get equal scores; an empty table gives no row; extra columns
+are ignored.  With no labelled rows, or one label only, the score is that label's share (0.5 without rows).
 """
 
 from __future__ import annotations

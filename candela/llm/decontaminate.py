@@ -10,7 +10,8 @@ joined by shuffling.  The candidate documents of the verification carry lists of
 
 Items shorter than the window get masks of their whole length for what the others miss (``short_masks``).  Null texts and
 items have no words and give no rows.  Rows that repeat an id
-with different texts are verified separately and reported under that id.
+with different texts are verified separately and reported under that id.  Of equally good places of an item the first one is
+reported.  An empty table or benchmark gives no row; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ eligible documents use the estimate of their language, and languages below that
 estimate at all only the base rules decide.
 
 Null texts have no words and fail the base rules; null language or source is a group of its own.  Only one table of
-numbers is stored and read again; the group tables are broadcast after their rows were counted.
+numbers is stored and read again; the group tables are broadcast after their rows were counted.  Repeated rows count as often as they
+come and get equal verdicts.  An empty table gives no row; extra columns are ignored.
 """
 
 from __future__ import annotations

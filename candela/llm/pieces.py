@@ -8,7 +8,7 @@ summed score; on equal sums the longest last piece wins.  Characters without a p
 pieces are compared with the word, so a hash collision cannot pass.
 
 Decoding is the exact inverse: a marker character that the text itself holds is written as bytes.  Null and empty texts
-have no ids.  The vocabulary (a file of fixed size) is shared with the tasks; the word cache is bounded.
+have no ids.  Repeated rows get equal ids; an empty table gives no row; extra columns are ignored.  The vocabulary (a file of fixed size) is shared with the tasks; the word cache is bounded.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ The container is Parquet without compression, one row per segment: its place (pa
 its documents, and the bytes of the segment.  Spark commits the files, so a lost executor leaves no half-written ones.
 
 Null and empty texts give the end id alone.  Documents without an id come first; rows that repeat an id stand next to
-each other in any order.  A segment is held in memory, nothing larger (a document longer than a segment makes a larger one).
+each other in any order.  An empty table gives files without a segment; extra columns are ignored.  A segment is held in memory, nothing larger (a document longer than a segment makes a larger one).
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ of the automaton, neither too unlikely nor too likely for that many characters.
 become spans of their own; those that overlap a base span do not.
 
 Null texts count as empty.  Without labelled credentials of a kind, that kind adds nothing.  Repeated rows get equal
-results.  Only the bounded sample reaches the driver; texts are scanned whole and in place.
+results.  Spans that begin at one place are listed by kind.  An empty table gives no row; extra columns are ignored.  Only the bounded sample reaches the driver; texts are scanned whole and in place.
 """
 
 from __future__ import annotations

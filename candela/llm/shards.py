@@ -10,7 +10,8 @@ whatever the corpus; these are packed into shards on the driver.
 
 With a number of shards instead of a capacity, the smallest capacity for which that number suffices is found by
 bisection; a group larger than an even share gets a shard of its own.  Null texts count as empty.  Rows that repeat are
-members of one group.  Slots count the rows of a shard in order of doc_id.
+members of one group.  Slots count the rows of a shard in order of doc_id.  Equal sizes go by the digest of the text, so ties are
+settled alike in every run.  Very long texts count with all their bytes.  An empty table gives no row; extra columns are ignored.
 """
 
 from __future__ import annotations

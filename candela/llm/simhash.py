@@ -17,7 +17,8 @@
    cut into tiles of about ``TILE_SHINGLES``, compared two by two.
 
 Null and empty texts have fingerprint zero and are linked like any other.  Rows without an id take part; the component
-id is the smallest id that is there (null if there is none).  Repeated rows get the same answer each.
+id is the smallest id that is there (null if there is none).  Repeated rows get the same answer each.  An empty table gives no row;
+extra columns are ignored.
 """
 
 from __future__ import annotations
