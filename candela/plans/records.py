@@ -258,11 +258,11 @@ def _(t):
     return im.staged_insert(a.filter("lang = 'en'"), a.filter("lang = 'de'"), ["published_at", "url"], "article_id").select("article_id", "url")
 
 
-@query("j10_lookup_labels", sql_with("articles", """SELECT a.article_id, coalesce(u.l, v.l) AS label FROM articles a LEFT JOIN (SELECT url, arg_max(quality, doc_id) AS l FROM labels JOIN articles ON article_id = doc_id WHERE doc_id % 2 = 0 AND lang = 'en' GROUP BY url) u ON u.url = a.url
-    LEFT JOIN (SELECT lower(trim(title)) AS t, CAST(published_at AS DATE) AS d, arg_max(quality, doc_id) AS l FROM labels JOIN articles ON article_id = doc_id WHERE doc_id % 2 = 0 AND lang = 'en' AND trim(title) <> '' GROUP BY 1, 2) v
+@query("j10_lookup_labels", sql_with("articles", """SELECT a.article_id, coalesce(u.l, v.l) AS label FROM articles a LEFT JOIN (SELECT url, arg_max(quality, doc_id) AS l FROM labels JOIN articles ON article_id = doc_id GROUP BY url) u ON u.url = a.url
+    LEFT JOIN (SELECT lower(trim(title)) AS t, CAST(published_at AS DATE) AS d, arg_max(quality, doc_id) AS l FROM labels JOIN articles ON article_id = doc_id WHERE trim(title) <> '' GROUP BY 1, 2) v
     ON v.t = lower(trim(a.title)) AND v.d = CAST(a.published_at AS DATE)"""))
 def _(t):
-    labels = t.raw("labels").select(F.col("doc_id").alias("article_id"), F.col("quality").alias("label")).join(t.articles, ["article_id"]).filter("article_id % 2 = 0 and lang = 'en'")
+    labels = t.raw("labels").select(F.col("doc_id").alias("article_id"), F.col("quality").alias("label")).join(t.articles, ["article_id"])
     labels = labels.select(F.col("article_id").alias("row_id"), "label", "url", "title", "published_at")
     return im.lookup_labels(t.articles.select("article_id", "url", "title", "published_at"), labels).select("article_id", "label")
 
