@@ -20,7 +20,7 @@ SAMPLE = (
     "s05_normalize_klines", "s06_f18_normalize_news", "s10_import_weighted_news", "s17_extract_articles", "t01_stream_klines",
     "t03_stream_news", "t09_stream_candles", "t12_stream_alerts", "w00_technical_indicators", "w03_rsi_ch", "w17_adx_ch", "w19_supertrend",
     "w27_feature_vector", "w33_indicator_flags", "a03_indicator_rows", "a20_apply_bar_scaler", "f19_unwrap_raw", "f23_discover_links",
-    "f42_novelty_content", "o09_sample_cases", "t07_last_n_state",
+    "f42_novelty_content", "f37_advice_class", "f38_explanation_text", "a20_bar_scaler", "j06_asof_tail", "m28_barrier_touch", "s07_normalize_insights", "o09_sample_cases", "t07_last_n_state",
 )
 NAMES = sorted(entry.QUERIES) if os.environ.get("CANDELA_ALL") else SAMPLE
 
