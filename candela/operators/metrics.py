@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from candela.functions.arrays import clip, temperature_softmax
+from candela.session import durable
 from candela.operators.ordering import exact_quantiles, ordered_index, running
 
 CLASSES = (0, 1, 2)
@@ -237,29 +238,63 @@ def position(pred: Column) -> Column:
     return F.when(pred == 2, 1.0).when(pred == 0, -1.0).otherwise(0.0)
 
 
+POLICY_SLOTS = 16   # at most this many policies share one pass
+_FALL_BLOCK = 4096  # rows of one block of the series
+
+
+def policy_drawdowns(rows: DataFrame, slots: int, order: Sequence[str], block: int = _FALL_BLOCK) -> DataFrame:
+    """(slot, max_drawdown): largest fall of each policy's compounded returns, with one sort for all policies.
+
+    ``rows`` carries ``_g0`` .. : the log growth of the row under the policy in that slot, null where it does not trade.
+    Rows are put in order once.  A block is summed up per slot by its growth, its peak, its deepest point and its own
+    largest fall; these four compose along the list of blocks, so no policy needs rows of its own.
+    """
+    at = range(slots)
+    placed = ordered_index(rows.select(*order, *[f"_g{k}" for k in at]), list(order))
+    placed = placed.withColumn("_blk", F.floor((F.col("rn") - 1) / F.lit(block)))
+    upto = Window.partitionBy("_blk").orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
+    inside = placed.select("_blk", "rn", *[F.when(F.col(f"_g{k}").isNotNull(), F.sum(f"_g{k}").over(upto)).alias(f"_s{k}") for k in at])
+    inside = inside.select("_blk", *[f"_s{k}" for k in at], "rn", *[(F.col(f"_s{k}") - F.max(f"_s{k}").over(upto)).alias(f"_f{k}") for k in at])
+    sums = inside.groupBy("_blk").agg(F.array(*[F.struct(
+        F.lit(k).alias("slot"), F.count(f"_s{k}").alias("k"), F.max_by(f"_s{k}", F.when(F.col(f"_s{k}").isNotNull(), F.col("rn"))).alias("grown"),
+        F.max(f"_s{k}").alias("peak"), F.min(f"_s{k}").alias("low"), F.min(f"_f{k}").alias("fall")) for k in at]).alias("_b"))
+    # a row per block and slot
+    blocks = sums.select("_blk", F.explode("_b").alias("_b")).select("_blk", "_b.*").filter("k > 0")
+    before = Window.partitionBy("slot").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_from", F.coalesce(F.sum("grown").over(before), F.lit(0.0)))
+    blocks = blocks.withColumn("_top", F.max(F.col("_from") + F.col("peak")).over(before))
+    fall = F.least("fall", F.col("_from") + F.col("low") - F.col("_top"))  # the first block has no peak before it
+    return blocks.groupBy("slot").agg(F.when(F.sum("k") < 2, F.lit(0.0)).otherwise(F.exp(F.min(fall)) - 1).alias("max_drawdown"))
+
+
 def policy_table(df: DataFrame, policies: DataFrame, order: Sequence[str], cost: float = ALERT_COST,
-                 conf: str = "confidence") -> DataFrame:
+                 conf: str = "confidence", slots: int = POLICY_SLOTS) -> DataFrame:
     """All alert and trading figures per policy.
 
-    ``policies`` is one row with an array ``policies`` of (policy_id, tau, gamma).
-    Rows that raise no alert are dropped as soon as the grid is attached.
+    ``policies`` is one row with an array ``policies`` of at most ``slots`` (policy_id, tau, gamma).  Counts and sums are
+    partial aggregates of the scan; the order of rows matters for the drawdowns only, which share one sort.
     """
+    policies = durable(policies)  # one row, met by every pass below
     slim = df.select(*order, "pred", "label", "ret", "max_prob", F.col(conf).alias("_conf"))
     total = df.agg(F.count(F.lit(1)).alias("n"))
-    grid = policies.select(F.explode("policies").alias("_p")).select("_p.policy_id", "_p.tau", "_p.gamma")
-    fired = F.filter("policies", lambda p: (F.col("_conf") >= p["tau"]) & (F.col("max_prob") >= p["gamma"]))
-    rows = slim.join(F.broadcast(policies)).withColumn("_p", F.explode(fired)).select(  # one row
-        F.col("_p.policy_id").alias("policy_id"), *order, "pred", "label", "ret")
+    grid = policies.select(F.posexplode("policies").alias("slot", "_p")).select("slot", "_p.policy_id", "_p.tau", "_p.gamma")
     sign = position(F.col("pred"))
-    rows = rows.withColumns({"_pos": sign != 0, "_net": sign * F.col("ret") - F.when(sign != 0, cost).otherwise(0.0)})
-    held = rows.filter("_pos")
-    alerts = rows.groupBy("policy_id").agg(
+    slim = slim.withColumns({"_pos": sign != 0, "_net": sign * F.col("ret") - F.when(sign != 0, cost).otherwise(0.0)})
+    fires = lambda p: (F.col("_conf") >= p["tau"]) & (F.col("max_prob") >= p["gamma"])
+    rows = slim.join(F.broadcast(policies))  # one row
+    fired = F.filter(F.transform("policies", lambda p, i: F.when(fires(p), i)), lambda i: i.isNotNull())
+    held = lambda c: F.when(F.col("_pos"), c)
+    alerts = rows.withColumn("slot", F.explode(fired)).withColumn("_held", held(F.col("_net"))).groupBy("slot").agg(
         F.count(F.lit(1)).alias("_a"), _count(F.col("pred") == F.col("label")).alias("_hit"),
-        *[_count(F.col("pred") == c).alias(f"_a{c}") for c in CLASSES], F.sum("_net").alias("_pnl"))
-    trades = held.groupBy("policy_id").agg(
-        *_ratio_parts("_net"), F.sum("_net").alias("_pos_pnl"), _count(F.col("_net") > 0).alias("_wins"))
-    falls = drawdown(held, order, "_net", ["policy_id"])
-    joined = (grid.join(alerts, ["policy_id"], "left").join(trades, ["policy_id"], "left").join(falls, ["policy_id"], "left")
+        *[_count(F.col("pred") == c).alias(f"_a{c}") for c in CLASSES], F.sum("_net").alias("_pnl"),
+        _count(F.col("_pos")).alias("_n"), F.avg("_held").alias("_mean"), F.stddev_pop("_held").alias("_std"),
+        F.sqrt(F.avg(held(F.pow(F.least("_net", F.lit(0.0)), F.lit(2))))).alias("_down"), F.sum("_held").alias("_pos_pnl"), _count(F.col("_held") > 0).alias("_wins"))
+    growth = F.log(1 + F.col("_net"))
+    # a trade without a return counts as one that changes nothing
+    series = rows.filter("_pos").select(*order, *[
+        F.when(F.coalesce(fires(F.get("policies", F.lit(k))), F.lit(False)), F.coalesce(growth, F.lit(0.0))).alias(f"_g{k}") for k in range(slots)])
+    falls = policy_drawdowns(series.filter(F.coalesce(*[f"_g{k}" for k in range(slots)]).isNotNull()), slots, order)
+    joined = (grid.join(F.broadcast(alerts), ["slot"], "left").join(F.broadcast(falls), ["slot"], "left")  # a row per policy
               .join(F.broadcast(total)))  # one row
     n, a, k = F.col("n"), F.coalesce("_a", F.lit(0)), F.coalesce("_n", F.lit(0))
     suppressed = (a == 0) | (k < F.greatest(F.lit(20), F.floor(0.05 * n)))
@@ -281,12 +316,12 @@ def single_policy(limits: DataFrame) -> DataFrame:
 def alert_backtest(df: DataFrame, limits: DataFrame, order: Sequence[str], cost: float = ALERT_COST, slippage: float = 0.0,
                    spread: float = 0.0) -> DataFrame:
     """Trading result of one alert policy after costs."""
-    return policy_table(df, single_policy(limits), order, cost + slippage + spread).drop(
+    return policy_table(df, single_policy(limits), order, cost + slippage + spread, slots=1).drop(
         "policy_id", "alert_precision", "selective_risk", "alert_down", "alert_neutral", "alert_up")
 
 
 def evaluate_policy(df: DataFrame, limits: DataFrame, order: Sequence[str]) -> DataFrame:
-    return policy_table(df, single_policy(limits), order).drop("policy_id")
+    return policy_table(df, single_policy(limits), order, slots=1).drop("policy_id")
 
 
 # Weights of the model selection score.
@@ -337,13 +372,17 @@ TAU_GRID, GAMMA_GRID = (0.35, 0.50, 0.70, 0.80), (0.35, 0.50, 0.60, 0.80)
 
 def policy_grid(df: DataFrame, order_id: str, conf: str = "confidence") -> DataFrame:
     """One row with the array of all (tau, gamma) pairs of the quantile grid."""
-    t = exact_quantiles(df, conf, {f"t{i}": p for i, p in enumerate(TAU_GRID)})
-    g = exact_quantiles(df, "max_prob", {f"g{i}": p for i, p in enumerate(GAMMA_GRID)})
+    # both columns in one pass, told apart by a key
+    scores = df.select(F.explode(F.array(
+        F.struct(F.lit("t").alias("_of"), F.col(conf).alias("_score")), F.struct(F.lit("g").alias("_of"), F.col("max_prob").alias("_score")))).alias("_s")).select("_s.*")
+    both = exact_quantiles(scores, "_score", {f"q{i}": p for i, p in enumerate((*TAU_GRID, *GAMMA_GRID))}, ["_of"])
+    found = both.agg(*[F.max(F.when(F.col("_of") == of, F.col(f"q{i + shift}"))).alias(f"{of}{i}")
+                       for of, shift in (("t", 0), ("g", 4)) for i in range(4)])
     taus = F.array_sort(F.array_distinct(F.array(*[F.col(f"t{i}") for i in range(4)])))
     gammas = F.array_sort(F.array_distinct(F.array(*[F.col(f"g{i}") for i in range(4)])))
     pairs = F.flatten(F.transform(taus, lambda a, i: F.transform(gammas, lambda b, j: F.struct(
         (i * 10 + j).alias("policy_id"), a.alias("tau"), b.alias("gamma")))))
-    return t.join(F.broadcast(g)).select(pairs.alias("policies"))  # one row each
+    return found.select(pairs.alias("policies"))
 
 
 def search_policy(df: DataFrame, order: Sequence[str], order_id: str, target: float = 0.35) -> DataFrame:
