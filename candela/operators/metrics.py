@@ -238,20 +238,21 @@ def position(pred: Column) -> Column:
     return F.when(pred == 2, 1.0).when(pred == 0, -1.0).otherwise(0.0)
 
 
-POLICY_SLOTS = 16   # at most this many policies share one pass
+POLICY_SLOTS = 16   # policies that share one pass, a bit for each (31 at most)
 _FALL_BLOCK = 4096  # rows of one block of the series
 
 
 def policy_drawdowns(rows: DataFrame, slots: int, order: Sequence[str], block: int = _FALL_BLOCK) -> DataFrame:
     """(slot, max_drawdown): largest fall of each policy's compounded returns, with one sort for all policies.
 
-    ``rows`` carries ``_g0`` .. : the log growth of the row under the policy in that slot, null where it does not trade.
+    ``rows`` carries ``growth``, the log growth of the trade, and ``fires``, a bit for each slot whose policy takes it.
     Rows are put in order once.  A block is summed up per slot by its growth, its peak, its deepest point and its own
     largest fall; these four compose along the list of blocks, so no policy needs rows of its own.
     """
     at = range(slots)
-    placed = ordered_index(rows.select(*order, *[f"_g{k}" for k in at]), list(order))
-    placed = placed.withColumn("_blk", F.floor((F.col("rn") - 1) / F.lit(block)))
+    placed = ordered_index(rows.select(*order, "growth", "fires"), list(order))
+    placed = placed.select("rn", F.floor((F.col("rn") - 1) / F.lit(block)).alias("_blk"), *[
+        F.expr(f"IF(fires & {1 << k} != 0, growth, NULL)").alias(f"_g{k}") for k in at])
     upto = Window.partitionBy("_blk").orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
     inside = placed.select("_blk", "rn", *[F.when(F.col(f"_g{k}").isNotNull(), F.sum(f"_g{k}").over(upto)).alias(f"_s{k}") for k in at])
     inside = inside.select("_blk", *[f"_s{k}" for k in at], "rn", *[(F.col(f"_s{k}") - F.max(f"_s{k}").over(upto)).alias(f"_f{k}") for k in at])
@@ -289,11 +290,10 @@ def policy_table(df: DataFrame, policies: DataFrame, order: Sequence[str], cost:
         *[_count(F.col("pred") == c).alias(f"_a{c}") for c in CLASSES], F.sum("_net").alias("_pnl"),
         _count(F.col("_pos")).alias("_n"), F.avg("_held").alias("_mean"), F.stddev_pop("_held").alias("_std"),
         F.sqrt(F.avg(held(F.pow(F.least("_net", F.lit(0.0)), F.lit(2))))).alias("_down"), F.sum("_held").alias("_pos_pnl"), _count(F.col("_held") > 0).alias("_wins"))
-    growth = F.log(1 + F.col("_net"))
+    bits = F.aggregate(fired, F.lit(0), lambda m, i: m.bitwiseOR(F.call_function("shiftleft", F.lit(1), i)))
     # a trade without a return counts as one that changes nothing
-    series = rows.filter("_pos").select(*order, *[
-        F.when(F.coalesce(fires(F.get("policies", F.lit(k))), F.lit(False)), F.coalesce(growth, F.lit(0.0))).alias(f"_g{k}") for k in range(slots)])
-    falls = policy_drawdowns(series.filter(F.coalesce(*[f"_g{k}" for k in range(slots)]).isNotNull()), slots, order)
+    series = rows.filter("_pos").select(*order, F.coalesce(F.log(1 + F.col("_net")), F.lit(0.0)).alias("growth"), bits.alias("fires"))
+    falls = policy_drawdowns(series.filter("fires != 0"), slots, order)
     joined = (grid.join(F.broadcast(alerts), ["slot"], "left").join(F.broadcast(falls), ["slot"], "left")  # a row per policy
               .join(F.broadcast(total)))  # one row
     n, a, k = F.col("n"), F.coalesce("_a", F.lit(0)), F.coalesce("_n", F.lit(0))
