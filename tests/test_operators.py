@@ -558,3 +558,49 @@ def test_late_ticks_count(spark, tmp_path):
     got = {(r.symbol, r.ts): (r.open, r.high, r.low, r.close, r.volume) for r in jobs.read_candles(spark, str(tmp_path / "sink")).collect()}
     bars = cd.resample(cd.ticks_as_bars(spark.createDataFrame(ticks, schema)), "1h", order=("ts", "event_id"))
     assert got == {(r.symbol, r.ts): (r.open, r.high, r.low, r.close, r.volume) for r in bars.collect()}
+
+
+# ------------------------------------------------------------------ means over a window, drawdowns of many policies
+
+
+def _mean(xs, span):
+    keep = 1 - 2 / (span + 1)
+    out = [xs[0]]
+    for x in xs[1:]:
+        out.append(keep * out[-1] + (1 - keep) * x)
+    return out
+
+
+def test_window_means_equal_recursions_over_the_window(spark):
+    closes, size, first = walk(160, 11), 31, 12
+    df = ind._open_means(candle_index(bars(spark, closes), "1h"), (4, 20), [(5, 9, 3)])
+    got = blocked(df, size, lambda d, w: d.withColumns({
+        "a": ind.window_mean(4, w, size), "b": ind.window_mean(20, w, size), "s": ind.window_signal(5, 9, 3, w, size),
+        "late": ind.window_signal(5, 9, 3, w, size, first)}), block=40).orderBy("rn").collect()
+    assert len(got) == len(closes)
+    for r in got:
+        seen = closes[max(0, r.rn - size):r.rn]
+        line = [f - s for f, s in zip(_mean(seen, 5), _mean(seen, 9))]
+        assert math.isclose(r.a, _mean(seen, 4)[-1], rel_tol=1e-9)
+        assert math.isclose(r.b, _mean(seen, 20)[-1], rel_tol=1e-9)
+        assert math.isclose(r.s, _mean(line, 3)[-1], abs_tol=1e-9)
+        if r.rn >= size:
+            assert math.isclose(r.late, _mean(line[first - 1:], 3)[-1], abs_tol=1e-9)
+
+
+@pytest.mark.parametrize("block", [3, 64])
+def test_policy_drawdowns_over_blocks(spark, block):
+    rnd = random.Random(5)
+    # the third policy takes one trade, the fourth none
+    rows = [(i, rnd.uniform(-0.2, 0.18), rnd.randrange(4) | (4 if i == 17 else 0)) for i in range(50)]
+    df = spark.createDataFrame([(i, math.log(1 + r), m) for i, r, m in rows if m], "id int, growth double, fires int")
+    got = {r.slot: r.max_drawdown for r in mt.policy_drawdowns(df, 4, ["id"], block).collect()}
+    assert set(got) == {0, 1, 2} and got[2] == 0
+    for k in (0, 1):
+        worth, top, fall = 1.0, None, 0.0
+        for _, r, m in rows:
+            if m >> k & 1:
+                worth *= 1 + r
+                top = worth if top is None else max(top, worth)
+                fall = min(fall, worth / top - 1)
+        assert math.isclose(got[k], fall, rel_tol=1e-9)
