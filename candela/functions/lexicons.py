@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 # English stop words dropped before TF-IDF.
-STOP_WORDS = tuple("""
-the a an and or but of to in for on with as by at is was are were be been this that these those it its they them
-their we our you your he his she her will would can could may might should shall has have had do does did not no
-if then than so just also from into over out up down off about after before between during more less most least
-very much many some any all each every one two three other another i me my
-""".split())
+STOP_WORDS = (
+    "the", "a", "an", "and", "or", "but", "of", "to", "in", "for", "on", "with", "as", "by", "at", "is", "was",
+    "are", "were", "be", "been", "this", "that", "these", "those", "it", "its", "they", "them", "their", "we",
+    "our", "you", "your", "he", "his", "she", "her", "will", "would", "can", "could", "may", "might", "should",
+    "shall", "has", "have", "had", "do", "does", "did", "not", "no", "if", "then", "than", "so", "just", "also",
+    "from", "into", "over", "out", "up", "down", "off", "about", "after", "before", "between", "during", "more",
+    "less", "most", "least", "very", "much", "many", "some", "any", "all", "each", "every", "one", "two", "three",
+    "other", "another", "i", "me", "my",
+)
 
 # Source credibility, first matching substring wins.
 SOURCE_CREDIBILITY = (

@@ -64,15 +64,29 @@ def active_users(users: DataFrame) -> DataFrame:
     return users.filter(F.coalesce("email_verified", F.lit(True)) & (F.lower(F.coalesce("status", F.lit("active"))) == "active") & F.col("email").isNotNull())
 
 
-def fan_out(alerts: DataFrame, users: DataFrame, shards: int = 64) -> DataFrame:
-    """Every alert for every verified active user.
+EVERYONE = "active"  # the class of all verified active users
 
-    The product is the result; it is built as an equi-join on a shard of users,
-    so neither side is collected and each user row is read by one shard only.
+
+def recipient_members(users: DataFrame) -> DataFrame:
+    """(recipients, user_id, email): who belongs to which class of recipients."""
+    return active_users(users).select(F.lit(EVERYONE).alias("recipients"), "user_id", "email")
+
+
+def addressed(alerts: DataFrame, members: DataFrame) -> DataFrame:
+    """Alerts with their class of recipients and the number of its members.
+
+    Every user of a class gets every alert sent to it, so a row per alert and a row per member say all that the pairs
+    would; the pairs are never written.
     """
-    u = active_users(users).select("user_id", "email").withColumn("_shard", F.pmod(F.xxhash64("user_id"), F.lit(shards)))
-    a = alerts.withColumn("_shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint"))))
-    return a.join(u, ["_shard"]).drop("_shard")
+    sizes = members.groupBy("recipients").agg(F.count(F.lit(1)).alias("n_recipients"))
+    sent = alerts.withColumn("recipients", F.lit(EVERYONE)).join(F.broadcast(sizes), ["recipients"], "left")  # a row per class
+    return sent.withColumn("n_recipients", F.coalesce("n_recipients", F.lit(0).cast("bigint")))
+
+
+def per_recipient(sent: DataFrame, members: DataFrame, by: Sequence[str] = (), **figures: Column) -> DataFrame:
+    """``figures`` (aggregates over addressed alerts) for every member, per ``by``: aggregated per class, then joined to it."""
+    per_class = sent.groupBy("recipients", *by).agg(*[c.alias(n) for n, c in figures.items()])
+    return members.join(per_class, ["recipients"]).select("user_id", *by, *figures)
 
 
 def result_recipients(results: DataFrame, users: DataFrame) -> DataFrame:

@@ -448,7 +448,15 @@ def _(t):
 @query("j15_fan_out", sql_with("predictions users", "SELECT user_id, count(*) AS alerts, count(DISTINCT pred_id) AS kinds FROM alr, users WHERE email_verified AND lower(coalesce(status, 'active')) = 'active' GROUP BY user_id", ALERTS))
 def _(t):
     alerts = tb.notifiable(tb.payload_predictions(_insights(t).drop("symbol"))).select(F.col("offset").alias("pred_id"))
-    return tb.fan_out(alerts, t.users).groupBy("user_id").agg(F.count(F.lit(1)).alias("alerts"), F.count_distinct("pred_id").alias("kinds"))
+    members = tb.recipient_members(t.users)
+    return tb.per_recipient(tb.addressed(alerts, members), members, alerts=F.count(F.lit(1)), kinds=F.count_distinct("pred_id"))
+
+
+@query("j15_alerts_by_user_and_symbol", sql_with("predictions users", "SELECT user_id, symbol, count(*) AS alerts, max(confidence)::DOUBLE AS top FROM alr, users WHERE email_verified AND lower(coalesce(status, 'active')) = 'active' GROUP BY user_id, symbol", ALERTS))
+def _(t):
+    alerts = tb.notifiable(tb.payload_predictions(_insights(t).drop("symbol"))).select("prediction.symbol", "forecast.confidence")
+    members = tb.recipient_members(t.users)
+    return tb.per_recipient(tb.addressed(alerts, members), members, ["symbol"], alerts=F.count(F.lit(1)), top=F.max("confidence").cast("double"))
 
 
 @query("j15_result_recipients", sql_with("users", "SELECT o_orderkey AS id, u.email FROM orders JOIN users u ON u.user_id = o_custkey WHERE email_verified AND lower(coalesce(status, 'active')) = 'active'"))
@@ -468,7 +476,7 @@ def _(t):
 def _(t):
     src, sink, ck = _stream(t, _insight_messages(t), "alerts")
     jobs.stream_alerts(src.drop("offset"), durable(t.users), sink, ck).awaitTermination()
-    return logs.read_log(t.spark, sink).groupBy("symbol", "direction").agg(F.count(F.lit(1)).alias("n"))
+    return logs.read_log(t.spark, sink).groupBy("symbol", "direction").agg(F.sum("n_recipients").alias("n"))
 
 
 @query("f40_payload_field", sql_with("predictions", f"SELECT pred_id, CASE WHEN pred_id % 4 < 3 THEN {DIR_SQL} END AS direction FROM predictions"))

@@ -11,7 +11,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from candela.operators.candles import OHLCV, dedupe_earliest, dedupe_latest, detect_gaps, last_n_per_key
-from candela.operators.tables import fan_out, notifiable, payload_predictions
+from candela.operators.tables import addressed, notifiable, payload_predictions, recipient_members
 from candela.sources.imports import insert_new
 from candela.sources.messages import normalize_insights, normalize_klines, normalize_news, normalize_settings
 from candela.streaming import logs
@@ -174,11 +174,11 @@ def read_settings(spark: SparkSession, sink: str, order: str = "offset") -> Data
 
 
 def stream_alerts(messages: DataFrame, users: DataFrame, sink: str, checkpoint: str, min_conf: float = 50, trigger: dict | None = None):
-    """Alerts of the insight stream for every verified active user."""
+    """Alerts of the insight stream, sent to the class of verified active users as it is when their batch arrives."""
     rows = notifiable(payload_predictions(normalize_insights(messages)), min_conf)
     alerts = rows.select(F.col("prediction.symbol").alias("symbol"), F.col("forecast.direction").alias("direction"),
                          F.col("forecast.confidence").alias("confidence"))
-    return logs.start(alerts, lambda b, i: logs.write_batch(fan_out(b, users), sink, i), checkpoint, trigger)
+    return logs.start(alerts, lambda b, i: logs.write_batch(addressed(b, recipient_members(users)), sink, i), checkpoint, trigger)
 
 
 # ------------------------------------------------------------------ scheduled decisions
