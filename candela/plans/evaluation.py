@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from candela.functions import arrays as ar
 from candela.operators import candles as cd, dataset as ds, metrics as mt
+from candela.operators.indicators import BASE_SCALE, FEATURE_NAMES
 from candela.plans.market import REGIME, bar_sql, tf_sql, DELTA
 from candela.plans.news import VISIBLE, _visible
 from candela.plans.registry import R, Rs, query, rd, rounded
@@ -490,6 +491,26 @@ def _(t):
     return reduce(DataFrame.unionByName, [ds.asof_tail(t.candles(), t.indexed(tf), tf) for tf in ds.TAIL])
 
 
+def _frames_sql() -> str:
+    extra, value, rsi = {}, [], []
+    for tf, n in ds.TAIL.items():
+        extra |= {f"d{tf}": DELTA["d"].replace("i1h", f"i{tf}"), f"g{tf}": DELTA["g"].replace("FROM d", f"FROM d{tf}"),
+                  f"f{tf}": tf_sql(BASE_SCALE, "", n).replace("FROM g)", f"FROM g{tf})")}
+        at = f"f{tf}.rn >= {ds.FRAME_ROWS}"
+        value += [f"CASE WHEN {at} THEN f{tf}.{x} ELSE 0 END" for x in FEATURE_NAMES]
+        rsi.append(f"CASE WHEN {at} THEN f{tf}.rsi ELSE 50 END")
+    value += [f"({' + '.join(rsi)}) / 5", f"{rsi[4]} - {rsi[0]}", f"least(10, greatest(0, ({value[11]}) / (({value[59]}) + 1e-8)))"]
+    joins = " ".join(f"ASOF LEFT JOIN f{tf} ON f{tf}.symbol = c1h.symbol AND c1h.ts >= f{tf}.ts" for tf in ds.TAIL)
+    cols = ", ".join(f"{R(v)} AS x{k:02d}" for k, v in enumerate(value))
+    return sql_with("c1h i1m i5m i15m i1h i4h", f"SELECT c1h.symbol, c1h.ts, {cols} FROM c1h {joins}", extra)
+
+
+@query("w27_vector_from_frames", _frames_sql())
+def _(t):
+    v = ds.frames_vector(t.candles(), {tf: t.indexed(tf) for tf in ds.TAIL})
+    return v.select("symbol", "ts", *[rd(F.col("features")[k]).alias(f"x{k:02d}") for k in range(63)])
+
+
 def _relative_sql(tf: str) -> dict[str, str]:
     """Bars relative to the last close, and mean and deviation of each feature over all slots, empty ones included."""
     rel = ", ".join(f"{f} - lc AS {f}" if i < 4 else f for i, f in enumerate(cd.BAR_FEATURES))
