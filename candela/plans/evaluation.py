@@ -491,6 +491,10 @@ def _(t):
     return reduce(DataFrame.unionByName, [ds.asof_tail(t.candles(), t.indexed(tf), tf) for tf in ds.TAIL])
 
 
+# ratios of prices in whole cents can end exactly half-way between two rounded values; both sides move off it alike
+_TIE = 1e-9
+
+
 def _frames_sql() -> str:
     extra, value, rsi = {}, [], []
     for tf, n in ds.TAIL.items():
@@ -501,14 +505,14 @@ def _frames_sql() -> str:
         rsi.append(f"CASE WHEN {at} THEN f{tf}.rsi ELSE 50 END")
     value += [f"({' + '.join(rsi)}) / 5", f"{rsi[4]} - {rsi[0]}", f"least(10, greatest(0, ({value[11]}) / (({value[59]}) + 1e-8)))"]
     joins = " ".join(f"ASOF LEFT JOIN f{tf} ON f{tf}.symbol = c1h.symbol AND c1h.ts >= f{tf}.ts" for tf in ds.TAIL)
-    cols = ", ".join(f"{R(v)} AS x{k:02d}" for k, v in enumerate(value))
+    cols = ", ".join(f"{R(f'{v} + {_TIE!r}')} AS x{k:02d}" for k, v in enumerate(value))
     return sql_with("c1h i1m i5m i15m i1h i4h", f"SELECT c1h.symbol, c1h.ts, {cols} FROM c1h {joins}", extra)
 
 
 @query("w27_vector_from_frames", _frames_sql())
 def _(t):
     v = ds.frames_vector(t.candles(), {tf: t.indexed(tf) for tf in ds.TAIL})
-    return v.select("symbol", "ts", *[rd(F.col("features")[k]).alias(f"x{k:02d}") for k in range(63)])
+    return v.select("symbol", "ts", *[rd(F.col("features")[k] + _TIE).alias(f"x{k:02d}") for k in range(63)])
 
 
 def _relative_sql(tf: str) -> dict[str, str]:
