@@ -1,7 +1,8 @@
 """Structured Streaming jobs for candles, news, insights, alerts and settings.
 
-All sinks are batch logs (``candela.streaming.logs``).  Late updates of a closed
-candle still merge, however late they come: no sink has a watermark on event time.
+All sinks are batch logs (``candela.streaming.logs``), folded into snapshots as
+they grow.  Late updates of a closed candle still merge, however late they come:
+no sink has a watermark on event time.
 """
 
 from __future__ import annotations
@@ -10,15 +11,18 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from candela.operators.candles import OHLCV, dedupe_earliest, dedupe_latest, detect_gaps, last_n_per_key
+from candela.operators.candles import OHLCV, dedupe_earliest, dedupe_latest
 from candela.operators.tables import addressed, notifiable, payload_predictions, recipient_members
 from candela.sources.imports import insert_new
 from candela.sources.messages import normalize_insights, normalize_klines, normalize_news, normalize_settings
 from candela.streaming import logs
+from candela.streaming.state import gaps_of_runs, keyed_state, merge_newest, merge_seen, newest_candles, seen_numbers
 
 # Topics of the message flow.
 TOPICS = ("market.prices", "news_raw", "news_analyzed", "ai_insights", "investment_results", "user_settings_updated")
 
+URL_BUCKETS = 64
+
 
 def read_stream(spark: SparkSession, fmt: str, options: Mapping[str, str], schema: str | None = None) -> DataFrame:
     """Stream of messages with a text column ``value`` (Kafka keys and values become text)."""
@@ -70,7 +74,7 @@ def stream_klines(messages: DataFrame, sink: str, checkpoint: str, order: str |
     def handle(batch: DataFrame, batch_id: int) -> None:
         at = order or "_batch"
         batch = batch if order else batch.withColumn("_batch", F.lit(batch_id))
-        logs.write_batch(partial_candles(batch, at), sink, batch_id)
+        logs.write_batch(partial_candles(batch, at), sink, batch_id, merge_partials)
     return logs.start(rows, handle, checkpoint, trigger)
 
 
@@ -83,58 +87,46 @@ def stream_candles(ticks: DataFrame, sink: str, checkpoint: str, interval: str =
         partial = batch.groupBy("symbol", F.col("ts_bar").alias("bar")).agg(
             F.min_by("price", at).alias("open"), F.min(at).alias("first_at"), F.max("price").alias("high"), F.min("price").alias("low"),
             F.max_by("price", at).alias("close"), F.max(at).alias("last_at"), F.sum("volume").alias("volume"))
-        logs.write_batch(partial, sink, batch_id)
+        logs.write_batch(partial, sink, batch_id, merge_bars)
     return logs.start(bars, handle, checkpoint, trigger)
 
 
+def merge_bars(log: DataFrame) -> DataFrame:
+    return log.groupBy("symbol", "bar").agg(
+        F.min_by("open", "first_at").alias("open"), F.min("first_at").alias("first_at"), F.max("high").alias("high"), F.min("low").alias("low"),
+        F.max_by("close", "last_at").alias("close"), F.max("last_at").alias("last_at"), F.sum("volume").alias("volume"))
+
+
 def read_candles(spark: SparkSession, sink: str) -> DataFrame:
     """The merged bars behind a tick sink."""
-    return logs.read_log(spark, sink).groupBy("symbol", F.col("bar").alias("ts")).agg(
-        F.min_by("open", "first_at").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
-        F.max_by("close", "last_at").alias("close"), F.sum("volume").alias("volume"))
+    return merge_bars(logs.read_log(spark, sink)).select("symbol", F.col("bar").alias("ts"), *OHLCV)
 
 
 def stream_last_n(messages: DataFrame, sink: str, checkpoint: str, n: int = 2000, trigger: dict | None = None):
-    """Newest ``n`` candles per symbol and interval as a bounded state table, one version per batch.
+    """Newest ``n`` candles per symbol and interval, kept as keyed state; a batch writes only what it changed.
 
     Updates of a candle are ordered by sequence number; those without one come before, in order of their batches.
     """
-    key = ["symbol", "interval", "ts"]
-    rows = normalize_klines(messages).select(*key, *OHLCV, "sequence")
-    order = F.struct("sequence", "arrival")  # never null as a whole; null numbers sort first
-    spark = messages.sparkSession
+    changed = newest_candles(normalize_klines(messages).select("symbol", "interval", "ts", *OHLCV, "sequence"), n)
+    with keyed_state(messages.sparkSession):
+        return logs.start(changed, lambda b, i: logs.write_batch(b, sink, i, lambda log: merge_newest(log, n)), checkpoint, trigger, "update")
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        state = logs.read_log(spark, sink, batch_id)
-        batch = batch.withColumn("arrival", F.lit(batch_id).cast("bigint"))
-        if state is not None:
-            newest = state.agg(F.max("batch_id").alias("batch_id"))
-            batch = state.join(F.broadcast(newest), ["batch_id"]).drop("batch_id").unionByName(batch)  # one row
-        logs.write_batch(last_n_per_key(dedupe_latest(batch, key, order), ["symbol", "interval"], n), sink, batch_id)
-    return logs.start(rows, handle, checkpoint, trigger)
 
+def read_state(spark: SparkSession, sink: str, n: int = 2000) -> DataFrame:
+    """The newest ``n`` candles behind a price cache."""
+    return merge_newest(logs.read_log(spark, sink).drop("batch_id"), n).drop("version")
 
-def read_state(spark: SparkSession, sink: str) -> DataFrame:
-    """Last version of a state table."""
-    log = logs.read_log(spark, sink)
-    newest = log.agg(F.max("batch_id").alias("batch_id"))
-    return log.join(F.broadcast(newest), ["batch_id"]).drop("batch_id", "arrival")  # one row
 
+def stream_gaps(messages: DataFrame, sink: str, checkpoint: str, trigger: dict | None = None):
+    """Sequence numbers seen per symbol, in any order and over all batches; ``read_gaps`` gives the gaps left."""
+    seen = seen_numbers(normalize_klines(messages).select("symbol", "sequence"))
+    with keyed_state(messages.sparkSession):
+        return logs.start(seen, lambda b, i: logs.write_batch(b, sink, i, merge_seen), checkpoint, trigger, "update")
 
-def stream_gaps(messages: DataFrame, sink: str, state: str, checkpoint: str, trigger: dict | None = None):
-    """Sequence gaps per symbol across batches; the last number seen is kept per symbol."""
-    rows = normalize_klines(messages).filter("sequence is not null").select("symbol", "sequence")
-    spark = messages.sparkSession
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        before = logs.read_log(spark, state, batch_id)
-        seen = batch
-        if before is not None:
-            last = before.groupBy("symbol").agg(F.max("last_seq").alias("sequence"))
-            seen = batch.unionByName(last)
-        logs.write_batch(detect_gaps(seen), sink, batch_id)
-        logs.write_batch(batch.groupBy("symbol").agg(F.max("sequence").alias("last_seq")), state, batch_id)
-    return logs.start(rows, handle, checkpoint, trigger)
+def read_gaps(spark: SparkSession, sink: str) -> DataFrame:
+    """Gaps that are open after the batches so far."""
+    return gaps_of_runs(merge_seen(logs.read_log(spark, sink).drop("batch_id")))
 
 
 # ------------------------------------------------------------------ news, insights, settings, alerts
@@ -146,14 +138,25 @@ def seen_urls(stream: DataFrame, ttl: str = "7 days", key: str = "url") -> DataF
 
 
 def stream_news(messages: DataFrame, sink: str, checkpoint: str, trigger: dict | None = None):
-    """Analysed news without urls that are stored already; of a url's rows in one batch the earliest stays."""
+    """Analysed news without urls that are stored already; of a url's rows in one batch the earliest stays.
+
+    The urls stored so far lie in an index by hash bucket beside the news; a batch opens only the buckets of its own urls.
+    """
     rows = normalize_news(messages)
     spark = messages.sparkSession
+    index = f"{sink.rstrip('/')}-urls"
+    bucket = F.pmod(F.xxhash64("url"), F.lit(URL_BUCKETS)).cast("int")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        stored = logs.read_log(spark, sink, batch_id)
         batch = dedupe_earliest(batch, ["url"], F.struct("time"))
-        logs.write_batch(batch if stored is None else insert_new(batch, stored), sink, batch_id)
+        known = logs.read_log(spark, index, batch_id)
+        if known is not None:
+            mine = [r[0] for r in batch.select(bucket.alias("bucket")).distinct().collect()]  # at most URL_BUCKETS numbers
+            batch = insert_new(batch, known.filter(F.col("bucket").isin(mine)))
+        logs.write_batch(batch, sink, batch_id)
+        # the index comes last: a batch that is repeated reads what was there before it
+        new = spark.read.parquet(logs.batch_path(spark, sink, batch_id)).select("url", bucket.alias("bucket"))
+        logs.write_batch(new, index, batch_id, lambda log: log, by=["bucket"])
     return logs.start(rows, handle, checkpoint, trigger)
 
 
@@ -166,7 +169,10 @@ def stream_insights(messages: DataFrame, sink: str, checkpoint: str, trigger: di
 def stream_settings(messages: DataFrame, sink: str, checkpoint: str, order: str = "offset", trigger: dict | None = None):
     """User settings, last write per user."""
     rows = normalize_settings(messages)
-    return logs.start(rows, lambda b, i: logs.write_batch(dedupe_latest(b, ["user_id"], order), sink, i), checkpoint, trigger)
+
+    def latest(log: DataFrame) -> DataFrame:
+        return dedupe_latest(log, ["user_id"], order)
+    return logs.start(rows, lambda b, i: logs.write_batch(latest(b), sink, i, latest), checkpoint, trigger)
 
 
 def read_settings(spark: SparkSession, sink: str, order: str = "offset") -> DataFrame:

@@ -407,7 +407,7 @@ def kline(seq, minute, price):
 
 def test_late_updates_replays_and_gaps(spark, tmp_path):
     src = str(tmp_path / "in")
-    sink, state, ck = str(tmp_path / "sink"), str(tmp_path / "state"), str(tmp_path / "ck")
+    sink, ck = str(tmp_path / "sink"), str(tmp_path / "ck")
     schema = "offset bigint, value string"
 
     def put(rows):
@@ -416,7 +416,7 @@ def test_late_updates_replays_and_gaps(spark, tmp_path):
     def run():
         stream = jobs.read_stream(spark, "json", {"path": src}, schema)
         jobs.stream_klines(stream, sink, ck, order="offset").awaitTermination()
-        jobs.stream_gaps(stream, str(tmp_path / "gaps"), state, ck + "-g").awaitTermination()
+        jobs.stream_gaps(stream, str(tmp_path / "gaps"), ck + "-g").awaitTermination()
 
     put([(1, kline(1, 1, 10)), (2, kline(2, 2, 12))])
     run()
@@ -425,10 +425,69 @@ def test_late_updates_replays_and_gaps(spark, tmp_path):
     run()  # nothing new
     row = jobs.read_klines(spark, sink).collect()
     assert [(r.open, r.high, r.low, r.close, r.volume, r.sequence) for r in row] == [(10.0, 15.0, 9.0, 9.0, 5.0, 5)]
-    gaps = logs.read_log(spark, str(tmp_path / "gaps")).collect()
-    assert [(r.from_seq, r.to_seq) for r in gaps] == [(2, 3)]
-    logs.compact(spark, sink, str(tmp_path / "compact"), jobs.merge_partials)
-    assert jobs.read_klines(spark, str(tmp_path / "compact")).count() == 1
+    assert [(r.from_seq, r.to_seq) for r in jobs.read_gaps(spark, str(tmp_path / "gaps")).collect()] == [(2, 3)]
+    put([(3, kline(3, 3, 11))])  # closes the gap
+    run()
+    assert jobs.read_gaps(spark, str(tmp_path / "gaps")).count() == 0
+    logs.compact(spark, sink, 3, jobs.merge_partials, every=1)
+    assert logs.live(spark, sink) == (1, 3)
+    assert jobs.read_klines(spark, sink).count() == 1
+
+
+def test_log_reads_stay_bounded_and_survive_crashes(spark, tmp_path):
+    def merge(log):
+        return log.groupBy("k").agg(F.sum("n").alias("n"))
+
+    def batch(i):
+        return spark.range(1).select((F.col("id") + i % 3).alias("k"), F.lit(i).cast("long").alias("n"))
+
+    sink = str(tmp_path / "log")
+    files = []
+    for i in range(14):
+        logs.write_batch(batch(i), sink, i, merge, every=4)
+        files.append(len(logs.read_log(spark, sink).inputFiles()))
+        logs.write_batch(batch(i), sink, i, merge, every=4)  # the same batch again
+    want = {k: sum(range(k, 14, 3)) for k in range(3)}
+    assert {r.k: r.n for r in merge(logs.read_log(spark, sink)).collect()} == want
+    assert max(files[8:]) <= max(files[4:8]) + 1
+    assert logs.live(spark, sink) == (3, 12)
+
+    # a crash after the snapshot and before its manifest row leaves the old generation in charge
+    logs._write(batch(0), f"{sink}/snapshot=4", ())
+    assert {r.k: r.n for r in merge(logs.read_log(spark, sink)).collect()} == want
+    for i in (14, 15, 16):
+        logs.write_batch(batch(i), sink, i, merge, every=4)
+    assert logs.live(spark, sink) == (4, 16)
+    assert {r.k: r.n for r in merge(logs.read_log(spark, sink)).collect()} == {k: sum(range(k, 17, 3)) for k in range(3)}
+
+
+def test_runs_of_numbers():
+    import numpy as np
+    from candela.streaming.state import joined_runs
+    rnd = random.Random(3)
+    seen, starts, ends = set(), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for _ in range(30):
+        new = np.unique([rnd.randrange(200) for _ in range(9)])
+        seen |= set(new.tolist())
+        starts, ends = joined_runs(np.concatenate([starts, new]), np.concatenate([ends, new]))
+        assert [x for s, e in zip(starts, ends) for x in range(s, e + 1)] == sorted(seen)
+        assert all(starts[1:] > ends[:-1] + 1)
+
+
+def test_gaps_over_blocks(spark):
+    from candela.streaming import state
+    rnd = random.Random(4)
+    numbers = sorted({rnd.randrange(400) for _ in range(120)} | {0, 9, 10, 399})
+    blocks = {}
+    for n in numbers:
+        blocks.setdefault(n // 10, []).append(n)
+    rows = []
+    for b, some in blocks.items():
+        runs = [n for n in some if n - 1 not in some], [n for n in some if n + 1 not in some]
+        rows.append(("x", b, *runs, len(some)))
+    table = spark.createDataFrame(rows, "symbol string, block long, starts array<long>, ends array<long>, seen long")
+    got = sorted((r.from_seq, r.to_seq, r.gap_size) for r in state.gaps_of_runs(table).collect())
+    assert got == [(a, b - 1, b - a - 1) for a, b in zip(numbers, numbers[1:]) if b > a + 1]
 
 
 def test_merge_equals_replay(spark):
@@ -541,7 +600,7 @@ def test_price_cache_keeps_unnumbered_candles_and_intervals(spark, tmp_path):
     batches = [[_kline("A", 0, 1.0)], [_kline("A", 0, 2.0, seq=5)], [_kline("A", 0, 3.0, seq=4)], [_kline("A", 0, 4.0)], [_kline("A", 0, 9.0, interval="1h"), _kline("B", 1, 7.0)]]
     stream = _messages_in_batches(spark, tmp_path, batches)
     jobs.stream_last_n(stream, str(tmp_path / "sink"), str(tmp_path / "ck"), 3).awaitTermination()
-    got = {(r.symbol, r.interval): r.close for r in jobs.read_state(spark, str(tmp_path / "sink")).collect()}
+    got = {(r.symbol, r.interval): r.close for r in jobs.read_state(spark, str(tmp_path / "sink"), 3).collect()}
     assert got == {("A", "1m"): 2.0, ("A", "1h"): 9.0, ("B", "1m"): 7.0}
 
 
