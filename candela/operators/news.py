@@ -12,7 +12,7 @@ from candela.functions.text import (
 )
 from candela.operators.candles import bucket_start, dedupe_earliest
 from candela.operators.joins import interval_join
-from candela.operators.ordering import ordered_index
+from candela.operators.ordering import ordered_index, rows_at
 from candela.session import durable
 
 
@@ -222,18 +222,22 @@ def news_timeline(news: DataFrame, interval: str = "1h", keep: int = 5) -> DataF
 
 
 def downsample_timeline(timeline: DataFrame, max_points: int = 100, keep: int = 5) -> DataFrame:
-    """At most ``max_points`` groups of consecutive buckets."""
+    """At most ``max_points`` groups of consecutive buckets: totals, the middle bucket and the first ``keep`` articles."""
     rows = ordered_index(timeline, ["bucket"])
-    size = rows.agg(F.greatest(F.ceil(F.count(F.lit(1)) / max_points), F.lit(1)).alias("_g"))
+    size = rows.agg(F.count(F.lit(1)).alias("_rows"), F.greatest(F.ceil(F.count(F.lit(1)) / max_points), F.lit(1)).alias("_g"))
     rows = rows.join(F.broadcast(size)).withColumn("_grp", F.floor((F.col("rn") - 1) / F.col("_g")))  # one row
-    place = F.col("rn") - 1 - F.col("_grp") * F.col("_g")
-    grouped = rows.withColumn("_place", place).groupBy("_grp").agg(
-        F.count(F.lit(1)).alias("_m"), F.sum("count").alias("count"),
-        (F.sum(F.col("average_sentiment") * F.col("count")) / F.sum("count")).alias("average_sentiment"),
-        F.array_sort(F.collect_list(F.struct("_place", "bucket"))).alias("_b"),  # at most _g buckets
-        F.slice(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_place", "articles"))), lambda x: x["articles"])), 1, keep).alias("articles"))
-    return grouped.select("count", "average_sentiment", "articles",
-                          F.element_at("_b", (F.floor(F.col("_m") / 2) + 1).cast("int"))["bucket"].alias("time"))
+    rows = rows.withColumn("_place", F.col("rn") - 1 - F.col("_grp") * F.col("_g"))
+    members = F.least(F.col("_g"), F.col("_rows") - F.col("_grp") * F.col("_g"))  # the last group may be smaller
+    totals = rows.groupBy("_grp").agg(
+        F.sum("count").alias("count"), (F.sum(F.col("average_sentiment") * F.col("count")) / F.sum("count")).alias("average_sentiment"),
+        F.max(F.when(F.col("_place") == F.floor(members / 2), F.col("bucket"))).alias("time"))
+    # the rank limit is applied before the shuffle too
+    first = Window.partitionBy("_grp").orderBy("_place", "_pos")
+    articles = rows.select("_grp", "_place", F.posexplode("articles").alias("_pos", "_a")).withColumn(
+        "_r", F.row_number().over(first)).filter(F.col("_r") <= keep).groupBy("_grp").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_r", "_a"))), lambda x: x["_a"]).alias("articles"))
+    return totals.join(articles, ["_grp"], "left").select(
+        "count", "average_sentiment", "articles", "time")
 
 
 def news_stats(news: DataFrame) -> DataFrame:
@@ -257,7 +261,7 @@ def query_news(news: DataFrame, start=None, end=None, source=None, limit: int =
         df = df.filter(F.col("published_at") <= F.lit(end).cast("timestamp"))
     if source is not None:
         df = df.filter(F.col("source") == source)
-    return df.orderBy(F.col("published_at").desc(), "article_id").offset(offset).limit(limit)
+    return rows_at(df, [F.col("published_at").desc(), F.col("article_id")], offset, limit)[0]
 
 
 def search_news(news: DataFrame, text: str = "", sentiment: str = "all") -> DataFrame:

@@ -17,8 +17,9 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from candela.session import durable
+from candela.session import durable, scratch_path
 
 INTERVAL_SECONDS = {
     "1m": 60, "5m": 300, "15m": 900, "30m": 1800, "1h": 3600,
@@ -81,6 +82,32 @@ def ordered_index(
     )
 
 
+def rows_at(df: DataFrame, order: Sequence[str | Column], offset: int, limit: int, top: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """Rows ``offset`` to ``offset + limit`` along ``order``, and one row with the total number of rows.
+
+    Rows near the beginning are picked by a bounded top-k in every task.  Beyond ``top`` the rows are range partitioned
+    into folders, and only the folders that the positions fall into are read.  Rows of equal order may change places.
+    """
+    if offset + limit <= top:
+        return df.orderBy(*order).offset(offset).limit(limit), df.agg(F.count(F.lit(1)).alias("total"))
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "positions")
+    df.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id()).write.partitionBy("_pid").parquet(path)
+    schema = StructType([*df.schema, StructField("_pid", IntegerType())])
+    placed = spark.read.schema(schema).parquet(path)
+    starts, total = [], 0
+    for pid, n in sorted(tuple(r) for r in placed.groupBy("_pid").count().collect()):  # a row per partition
+        if total < offset + limit and total + n > offset:
+            starts.append((pid, total))
+        total += n
+    some = placed.filter(F.col("_pid").isin([p for p, _ in starts]))
+    before = F.lit(0)
+    for pid, n in starts:
+        before = F.when(F.col("_pid") == pid, n).otherwise(before)
+    at = before + F.row_number().over(Window.partitionBy("_pid").orderBy(*order))  # a range partition is bounded
+    rows = some.withColumn("_at", at).filter((F.col("_at") > offset) & (F.col("_at") <= offset + limit))
+    return rows.orderBy("_at").drop("_pid", "_at"), spark.range(1).select(F.lit(total).cast("long").alias("total"))
+
+
 def blocked(
     df: DataFrame, halo: int, compute: Callable[[DataFrame, Window], DataFrame],
     keys: Sequence[str] = ("symbol",), rn: str = "rn", block: int = 4096, ahead: int = 0,

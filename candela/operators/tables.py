@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from candela.functions.decisions import forecast_accuracy, position_pnl
 from candela.operators.candles import dedupe_latest
 from candela.operators.joins import asof_join
-from candela.operators.ordering import ordered_index
+from candela.operators.ordering import ordered_index, rows_at
 
 
 def _ts(value: str | Column) -> Column:
@@ -123,9 +123,8 @@ def price_change(candles: DataFrame, now: str, lookbacks: Mapping[str, int]) ->
 # ------------------------------------------------------------------ users, settings, pages
 
 def page(df: DataFrame, order: Sequence[str | Column], number: int, size: int) -> DataFrame:
-    """One page of rows with the total and the number of pages."""
-    total = df.agg(F.count(F.lit(1)).alias("total"))
-    rows = df.orderBy(*order).offset((number - 1) * size).limit(size)
+    """One page of rows with the total and the number of pages; a far page reads only the rows around it."""
+    rows, total = rows_at(df, order, (number - 1) * size, size)
     return rows.join(F.broadcast(total)).withColumn("pages", F.ceil(F.col("total") / size))  # one row
 
 

@@ -490,6 +490,12 @@ def _(t):
     return tb.page(t.raw("customer"), [F.col("c_acctbal").desc(), "c_custkey"], 3, 20).select("c_custkey", "total", "pages")
 
 
+@query("a09_far_page", sql_with("", "SELECT l_orderkey, l_linenumber, (SELECT count(*) FROM lineitem) AS total, CAST(ceil((SELECT count(*) FROM lineitem) / 20) AS BIGINT) AS pages FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 20 OFFSET 59980"))
+def _(t):
+    order = [F.col("l_extendedprice").desc(), F.col("l_orderkey"), F.col("l_linenumber")]
+    return tb.page(t.raw("lineitem"), order, 3000, 20).select("l_orderkey", "l_linenumber", "total", "pages")
+
+
 SETTINGS = """SELECT user_id, max(email) AS email, coalesce(string_agg(symbol, ',' ORDER BY symbol) FILTER (type = 'PREDICTION' AND enabled), '') AS symbols, bool_or(type = 'INVESTMENT' AND enabled) AS investment_enabled, max(updated_at) AS updated_at FROM prefs GROUP BY user_id"""
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import csv
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from candela.functions.text import to_ts
 from candela.operators.candles import OHLCV, dedupe_latest
@@ -55,9 +55,57 @@ def sniff_delimiter(spark: SparkSession, path: str) -> str:
     return csv.Sniffer().sniff(head[0][0], ",;\t|").delimiter if head else ","
 
 
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """(first, record): CSV records as text, line ends inside quotes kept, and whether a record begins its file.
+
+    Files are read in splits.  Quotes are counted per line and summed up over the lines of a split and the splits of a
+    file: a line after an even number of quotes begins a record.  Only records of several lines are gathered.  Quotes
+    stand around whole fields, doubled inside them (RFC 4180).
+    """
+    raw = spark.read.text(path, lineSep="\n").select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("line"), "value")
+    lines = raw.withColumn("quotes", F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))))
+    splits = lines.groupBy("file", "split").agg(F.sum("quotes").alias("n"), F.count(F.lit(1)).alias("m"))
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)  # a row per split
+    splits = splits.select("file", "split", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in "nm"])
+    inside = Window.partitionBy("file", "split").orderBy("line")  # a split is bounded
+    known = lines.join(splits, ["file", "split"]).select(
+        "file", (F.row_number().over(inside) + F.col("m_before")).alias("at"), "value", "quotes",
+        (F.sum("quotes").over(inside) + F.col("n_before")).alias("upto"))
+    open_before, open_after = (F.col("upto") - F.col("quotes")) % 2 == 1, F.col("upto") % 2 == 1
+    alone = known.filter(~open_before & ~open_after).select((F.col("at") == 1).alias("first"), F.col("value").alias("record"))
+    parts = known.filter(open_before | open_after).select("file", "at", "value", (~open_before).alias("head"))
+    return alone.unionByName(_joined_lines(parts))
+
+
+def _joined_lines(parts: DataFrame, block: int = 4096) -> DataFrame:
+    """Records of the lines (file, at, value, head) with a quote open before or after them; ``head`` marks first lines.
+
+    A line belongs to the last head at or before it, looked up over blocks of lines so that no file is one task.
+    """
+    heads = parts.withColumn("block", F.floor(F.col("at") / block)).withColumn("head", F.when(F.col("head"), F.col("at")))
+    last = heads.groupBy("file", "block").agg(F.max("head").alias("last"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row per block
+    last = last.select("file", "block", F.max("last").over(earlier).alias("carried"))
+    upto = Window.partitionBy("file", "block").orderBy("at")
+    rows = heads.join(last, ["file", "block"]).withColumn("head", F.coalesce(F.max("head").over(upto), "carried"))
+    joined = rows.groupBy("file", "head").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("lines"))  # one record
+    return joined.select((F.col("head") == 1).alias("first"), F.array_join(F.transform("lines", lambda x: x["value"]), "\n").alias("record"))
+
+
+def read_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """Quoted CSV with a header per file, read in splits although quoted fields hold line ends; all columns are text."""
+    names = spark.read.csv(path, header=True, sep=sep, escape='"').columns
+    body = csv_records(spark, path).filter(~F.col("first") & (F.trim(F.col("record"), F.lit("\r ")) != ""))
+    fields = F.from_csv(F.rtrim("record", F.lit("\r")), ", ".join(f"c{i} string" for i in range(len(names))),
+                        {"sep": sep, "escape": '"', "multiLine": "true"})
+    return body.select(fields.alias("r")).select("r.*").toDF(*names)
+
+
 def read_articles(spark: SparkSession, path: str) -> DataFrame:
     """Article CSV; the publication column may be called published_at, publishedat or date."""
-    raw = spark.read.csv(path, header=True, sep=sniff_delimiter(spark, path), multiLine=True, escape='"')
+    raw = read_csv(spark, path, sniff_delimiter(spark, path))
     raw = raw.toDF(*[c.strip().lstrip("﻿") for c in raw.columns])
     names = {clean_name(c): c for c in raw.columns}
     found = next((names[n] for n in ("published_at", "publishedat", "date") if n in names), None)

@@ -663,3 +663,46 @@ def test_policy_drawdowns_over_blocks(spark, block):
                 top = worth if top is None else max(top, worth)
                 fall = min(fall, worth / top - 1)
         assert math.isclose(got[k], fall, rel_tol=1e-9)
+
+
+def test_csv_records_over_split_borders(spark, tmp_path):
+    import csv
+    rnd = random.Random(11)
+    pieces = ['a "quoted" word', "line\nend", "x;y", "", "tail\n\n", "\r\nwindows", '"', "plain"]
+    rows = [(str(i), "2024-01-01 00:00:00", rnd.choice(pieces) + rnd.choice(pieces)) for i in range(400)]
+    rows[7] = ("7", rows[7][1], "\n".join(["many", "lines"] * 700))  # longer than several splits
+    for k in range(2):
+        with open(tmp_path / f"{k}.csv", "w", newline="") as out:
+            writer = csv.writer(out, delimiter=";", lineterminator=("\n", "\r\n")[k])
+            writer.writerow(["id", "date", "title"])
+            writer.writerows(rows[k::2])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        table = files.read_articles(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 10
+        got = {r.id: r.title for r in table.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {k: v or "" for k, v in got.items()} == {r[0]: r[2] for r in rows}
+
+
+def test_far_rows_are_read_by_position(spark):
+    from candela.operators.ordering import rows_at
+    df = spark.range(0, 5000, 1, 7).select(F.xxhash64("id").alias("x"), "id")
+    want = [r.id for r in df.orderBy(F.col("x").desc()).collect()]
+    for offset, limit in ((0, 5), (2490, 20), (4990, 50), (6000, 10)):
+        near, far = (rows_at(df, [F.col("x").desc()], offset, limit, top) for top in (10_000, 0))
+        assert [r.id for r in near[0].collect()] == [r.id for r in far[0].collect()] == want[offset : offset + limit]
+        assert near[1].first().total == far[1].first().total == 5000
+
+
+def test_downsampled_timeline(spark):
+    rows = [(T0 + dt.timedelta(hours=i), i % 3 + 1, i / 10, [f"a{i}-{j}" for j in range(i % 4)]) for i in range(23)]
+    df = spark.createDataFrame(rows, "bucket timestamp, count long, average_sentiment double, articles array<string>")
+    got = sorted((r.time.replace(tzinfo=None), r["count"], list(r.articles or [])) for r in nw.downsample_timeline(df, 5, 4).collect())
+    want = []
+    for at in range(0, 23, 5):
+        part = rows[at : at + 5]
+        want.append((part[len(part) // 2][0].replace(tzinfo=None), sum(p[1] for p in part), [a for p in part for a in p[3]][:4]))
+    assert got == want
