@@ -11,7 +11,7 @@ from candela.functions.text import (
     is_bad_title, keyword_presence, recency, relevance, source_credibility, strip, tokens,
 )
 from candela.operators.candles import bucket_start, dedupe_earliest
-from candela.operators.joins import interval_join
+from candela.operators.joins import asof_join, interval_join
 from candela.operators.ordering import ordered_index, rows_at
 from candela.session import durable
 
@@ -143,24 +143,28 @@ def articles_for_decisions(decisions: DataFrame, news: DataFrame, interval_hours
     """Articles a decision at candle close may see: inside the look-back and past the ingest delay.
 
     ``limit`` keeps the newest ones; each publication moment is cut to ``limit``
-    before the join, so bursts do not multiply.
+    before the join, so bursts do not multiply.  All articles are numbered once,
+    newest first; a window is a stretch of these numbers, so the rank is the
+    distance from its first one and no window of pairs is sorted.
     """
     rows = news.select("article_id", "published_at")
     if limit is not None:
         moment = Window.partitionBy("published_at").orderBy("article_id")
         rows = rows.withColumn("_m", F.row_number().over(moment)).filter(F.col("_m") <= limit).drop("_m")
+    rows = ordered_index(rows.filter("published_at is not null"), [F.col("published_at").desc(), F.col("article_id")])
+    moments = rows.groupBy(F.col("published_at").alias("_newest")).agg(F.min("rn").alias("_start"))
     times = decisions.select(F.col(ts).alias("candle_ts")).distinct().withColumn(
-        "decision_ts", shift_hours("candle_ts", interval_hours))
-    pairs = interval_join(times, rows, shift_hours("decision_ts", -lookback_hours),
-                          shift_hours("decision_ts", -delay_minutes / 60), "published_at")
-    order = Window.partitionBy("candle_ts").orderBy(F.col("published_at").desc(), "article_id")
-    ranked = pairs.withColumn("rank", F.row_number().over(order))
+        "decision_ts", shift_hours("candle_ts", interval_hours)).withColumn("_until", shift_hours("decision_ts", -delay_minutes / 60))
+    times = asof_join(times, moments, "_until", "_newest", by=()).drop("_newest")
+    pairs = interval_join(times, rows, shift_hours("decision_ts", -lookback_hours), F.col("_until"), "published_at")
+    ranked = pairs.withColumn("rank", F.col("rn") - F.col("_start") + 1).drop("rn", "_start", "_until")
     return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
 
 
 def recency_rank(pairs: DataFrame, key: str = "candle_ts") -> DataFrame:
     """1 for the newest article of a window down to 0 for the oldest."""
-    sizes = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    # stored, so that adaptive execution can split the pairs of a large window
+    sizes = durable(pairs.groupBy(key).agg(F.count(F.lit(1)).alias("_n")))
     return pairs.join(sizes, [key]).withColumn(
         "rank_norm", (F.col("_n") - F.col("rank")) / F.greatest(F.col("_n") - 1, F.lit(1))).drop("_n")
 

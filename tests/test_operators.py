@@ -706,3 +706,21 @@ def test_downsampled_timeline(spark):
         part = rows[at : at + 5]
         want.append((part[len(part) // 2][0].replace(tzinfo=None), sum(p[1] for p in part), [a for p in part for a in p[3]][:4]))
     assert got == want
+
+
+def test_ranks_under_bursts(spark):
+    rnd = random.Random(12)
+    burst = T0 + dt.timedelta(hours=30)
+    news = [(i, burst if i % 3 else T0 + dt.timedelta(minutes=rnd.randrange(4000))) for i in range(300)] + [(300, None), (None, burst)]
+    decisions = [T0 + dt.timedelta(hours=h) for h in range(0, 80, 5)] * 2
+    frame = spark.createDataFrame(news, "article_id long, published_at timestamp")
+    times = spark.createDataFrame([(t,) for t in decisions], "ts timestamp")
+    for limit in (None, 4):
+        got = sorted((r.candle_ts.replace(tzinfo=None), r["rank"], r.article_id) for r in nw.articles_for_decisions(times, frame, limit=limit).collect())
+        want = []
+        for t in sorted(set(decisions)):
+            at = t + dt.timedelta(hours=1)
+            seen = [a for a in news if a[1] and at - dt.timedelta(hours=24) <= a[1] <= at - dt.timedelta(minutes=15)]
+            seen.sort(key=lambda a: (-a[1].timestamp(), a[0] is not None, a[0] or 0))
+            want += [(t.replace(tzinfo=None), i + 1, a[0]) for i, a in enumerate(seen[:limit])]
+        assert got == sorted(want)
