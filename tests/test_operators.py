@@ -251,7 +251,7 @@ def written_bytes(spark):
     return blocks + sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(top) for f in names)
 
 
-@pytest.mark.parametrize("column", ["content"])
+@pytest.mark.parametrize("column", ["content", "both"])
 def test_novelty_of_long_texts_writes_few_bytes_a_word(spark, column):
     """Texts of some hundred words: what goes to disk is a small multiple of the texts' words."""
     rnd = random.Random(6)
