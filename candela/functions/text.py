@@ -22,6 +22,80 @@ def tokens(col: Column, stop: Sequence[str] = lx.STOP_WORDS) -> Column:
     return F.filter(words, lambda x: (F.length(x) > 1) & ~x.isin(*stop))
 
 
+def word_hashes(texts, stop: Sequence[str] = lx.STOP_WORDS, size: int = 1 << 21):
+    """The words that ``tokens`` gives, as 64-bit hashes, for an Arrow array of texts, about ``size`` bytes at once.
+
+    Yields the number of the first text, where the words of each text begin (and the last one's end), and the hashes of all words in order.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    texts = pc.fill_null(texts, "")
+    _, at, data = texts.buffers()
+    at = np.frombuffer(at, "<i8" if pa.types.is_large_string(texts.type) else "<i4")[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(data, "u1") if data is not None else np.zeros(0, "u1")
+    joined = np.frombuffer(" ".join(stop).encode(), "u1")
+    known = np.unique(_word_hashes(joined, np.array([0, len(joined)]))[1])
+    i = 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(at, at[i] + size, "right")) - 1)
+        begins, hashes = _word_hashes(data[at[i]:at[j]], at[i:j + 1] - at[i])
+        if len(known):
+            keep = known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] != hashes
+            begins, hashes = np.append(0, keep.cumsum())[begins], hashes[keep]
+        yield i, begins, hashes
+        i = j
+
+
+_LETTERS = bytes(b | 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b == 95 else 0 for b in range(256))  # 0 stands between words
+
+
+def _word_hashes(data, bounds):
+    """Where the words of each text begin, and hashes of all words of two and more letters; bounds: where the texts begin and end."""
+    import hashlib
+
+    import numpy as np
+
+    n = len(data)
+    low = np.zeros(n + 8, "u1")
+    low[:n] = np.frombuffer(_LETTERS, "u1")[data]
+    inside = low[:n] != 0
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    cuts = bounds[(bounds > 0) & (bounds < n)]
+    first[cuts] = inside[cuts]
+    last[cuts - 1] = inside[cuts - 1]
+    first, size = np.flatnonzero(first), np.flatnonzero(last) + 1
+    size -= first
+    first, size = first[size > 1], size[size > 1]
+    begins = np.searchsorted(first, bounds)
+    eights = np.ndarray(n + 1, "<u8", low, 0, (1,))  # eight letters from each place on
+    masks = np.array([(1 << 8 * min(k, 8)) - 1 for k in range(9)], "u8")
+    hashes = _mixed(size.astype("u8") ^ (eights[first] & masks[np.minimum(size, 8)]) * np.uint64(0x9E3779B97F4A7C15))
+    todo, k = np.flatnonzero(size > 8), 8
+    while len(todo) and k < 256:
+        hashes[todo] = _mixed(hashes[todo] ^ (eights[first[todo] + k] & masks[np.minimum(size[todo] - k, 8)]) * np.uint64(0x9E3779B97F4A7C15))
+        k += 8
+        todo = todo[size[todo] > k]
+    for i in todo:
+        hashes[i] = int.from_bytes(hashlib.blake2b(low[first[i]:first[i] + size[i]].tobytes(), digest_size=8).digest(), "little")
+    return begins, hashes
+
+
+def _mixed(x):
+    """A one-to-one mixing of 64 bits."""
+    import numpy as np
+
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
 def sentences(col: Column) -> Column:
     """Split after ``.``, ``!`` or ``?``; keep sentences longer than 15 characters."""
     parts = F.transform(F.split(strip(F.coalesce(col, F.lit(""))), r"(?<=[.!?])\s+"), strip)

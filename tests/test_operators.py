@@ -6,6 +6,7 @@ import math
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -281,6 +282,59 @@ def test_novelty_of_a_crowded_day_writes_few_bytes_a_word(spark):
     assert (written_bytes(spark) - before) / words < 30
 
 
+def test_word_hashes_are_those_of_tokens(spark):
+    """Texts of all kinds of characters in one array, in chunks of some sizes: a hash for every token, the same one for the same token only."""
+    import pyarrow as pa
+
+    rnd = random.Random(8)
+    texts = [None, "", "The the A b_c x1", "Caf\u00e9 K\u0130 \u212aelvin", "z" * 9 + " " + "y" * 300 + " " + "Y" * 300 + " " + "y" * 256, "ab", "cd"]
+    texts += ["".join(rnd.choice("abAB_ 0\u00e9.\n\x00") for _ in range(rnd.randrange(60))) for _ in range(400)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, s string").select("i", tx.tokens(F.col("s")).alias("w")).orderBy("i").collect()
+    known, words = {}, {}
+    for size in (1, 100, 1 << 21):
+        found = [hashes[s:e].tolist() for _, at, hashes in tx.word_hashes(pa.array(["cut off", *texts]).slice(1), size=size) for s, e in zip(at[:-1], at[1:])]
+        assert [len(x) for x in found] == [len(r.w) for r in rows]
+        for h, w in zip((h for x in found for h in x), (w for r in rows for w in r.w)):
+            assert known.setdefault(w, h) == h and words.setdefault(h, w) == w
+    assert len(known) > 100
+
+
+def test_novelty_of_two_languages_is_compared_in_parts(spark):
+    """Two vocabularies with common and rare words, texts of 1 to 400 words, near copies and copies hours later: parts by vocabulary, and the highest cosines as by brute force."""
+    rnd = random.Random(11)
+    word = lambda k: f"{'ab'[k]}{int(rnd.paretovariate(0.5)) % 3000}"
+    texts = []
+    for i in range(600):
+        old = rnd.choice(texts).split() if i > 20 and i % 10 < 2 else []
+        texts.append(" ".join(old[:-1] + [word(0)] if i % 10 == 0 and old else old or ["common"] * (i % 3 == 0) + [word(i % 2) for _ in range(rnd.choice([1, 5, 60, 200, 400]))]))
+    rows = [(i, t, T0 + dt.timedelta(minutes=4 * i + rnd.randrange(9))) for i, t in enumerate(texts)]
+    docs = [t.split() for t in texts]
+    df = {}
+    for ws in docs:
+        for w in set(ws):
+            df[w] = df.get(w, 0) + 1
+    place = {w: k for k, w in enumerate(df)}
+    x = np.zeros((len(docs), len(df)))
+    for i, ws in enumerate(docs):
+        for w in set(ws):
+            x[i, place[w]] = (1 + math.log(ws.count(w))) * (math.log(len(docs) / df[w]) if df[w] > 1 else 0)
+    norm = np.sqrt((x * x).sum(1, keepdims=True))
+    x /= np.where(norm > 0, norm, 1)
+    cosines, at = x @ x.T, [(t, i) for i, _, t in rows]
+    news = spark.createDataFrame(rows, "article_id int, title string, published_at timestamp")
+    for size in (128, 2048):
+        got = {r.article_id: r.similarity for r in nw.novelty(news, tile=size).collect()}
+        for i, (t, _) in enumerate(at):
+            best = max((cosines[i, j] for j in range(len(at)) if at[j] < at[i] and at[j][0] >= t - 24 * HOUR), default=0)
+            assert math.isclose(got[i], best, abs_tol=1e-12), i
+    tile = nw.tiles(nw.copies_of(news)[1]).collect()
+    assert len(tile) == 1
+    part = np.frombuffer(tile[0].part, "u1")[tile[0].member]
+    alike = [[part[tile[0].ids.index(i)] for i in range(600) if len(docs[i]) > 50 and i % 10 > 1 and i % 2 == k] for k in (0, 1)]
+    most = [max(set(p), key=p.count) for p in alike]
+    assert most[0] != most[1] and all(p.count(m) > 0.9 * len(p) for p, m in zip(alike, most))
+
+
 @pytest.mark.parametrize("step", [0, 1, 200])
 def test_novelty_of_bursts_and_copies(spark, step):
     """Crowded hours, minutes and seconds are cut finely; copies stand in one tile or in several, and some texts share no word that counts."""
